@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,19 +20,27 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 #: Rows in an Arrow batch: long texts make thousands of rows too large for a Python worker.
-ARROW_ROWS = 256
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch size for texts; a smaller one set by the user stays."""
+def prepare(spark: SparkSession) -> None:
+    """For operators that run Python: small Arrow batches (a smaller size set by the user stays), and
+    this library's folder on the workers' path where they share the driver's file system. Clusters
+    that do not get the library with --py-files."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if not 0 < now <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864", "64MB", "9223372036854775807"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    path = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in path:
+        env["PYTHONPATH"] = os.pathsep.join([*path, root])
 
 
 def ascii_lower(text: Column) -> Column:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from lattica.llm import licenses, quality
+from lattica.llm import licenses, pii, quality, simhash
 from lattica.llm.common import table
 
 
+def op2_pii_candidate_boosting(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_deletion_variants(spark, sf_dir):
+    return simhash.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_license_rules(spark, sf_dir):
     return licenses.digest(table(spark, sf_dir, "documents"))
 
@@ -14,5 +22,5 @@ def op9_quality_rules(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_license_rules, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_pii_candidate_boosting, op7_simhash_deletion_variants, op8_license_rules, op9_quality_rules)}
 ORACLES = {"op9_quality_rules": quality.ORACLE}
