@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from lattica.llm import licenses, pii, quality, simhash
+from lattica.llm import decontaminate, licenses, packing, pii, quality, sharding, simhash, toxicity
 from lattica.llm.common import table
 
 
+def op1_virtual_slot_shards(spark, sf_dir):
+    return sharding.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_pii_candidate_boosting(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.digest(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_bm25_decontamination(spark, sf_dir):
+    return decontaminate.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_deletion_variants(spark, sf_dir):
     return simhash.digest(spark, table(spark, sf_dir, "documents"))
 
@@ -22,5 +34,21 @@ def op9_quality_rules(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_candidate_boosting, op7_simhash_deletion_variants, op8_license_rules, op9_quality_rules)}
+def op10_ftrl_toxicity(spark, sf_dir):
+    return toxicity.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_virtual_slot_shards,
+        op2_pii_candidate_boosting,
+        op5_best_fit_packing,
+        op6_bm25_decontamination,
+        op7_simhash_deletion_variants,
+        op8_license_rules,
+        op9_quality_rules,
+        op10_ftrl_toxicity,
+    )
+}
 ORACLES = {"op9_quality_rules": quality.ORACLE}
