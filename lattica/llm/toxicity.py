@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Words, pairs of neighbours and pairs with one word between are hashed into 2 ** BITS places; a place
+Words, their stems (the first STEM letters of longer words), pairs of neighbours and pairs with one word between are hashed into 2 ** BITS places; a place
 that a text has counts once. FTRL-proximal keeps a rate for each coordinate, and its L1 term leaves
 most weights at zero, so the model is a short list of places and weights, which is broadcast (at most
 2 ** BITS of them). It is fitted on at most FIT_ROWS labelled rows, those with the least hash of their
@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from lattica.llm.common import prepare
 
 BITS = 20
-FIT_ROWS = 12_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 1.0
+FIT_ROWS = 20_000
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
+STEM = 5
 THRESHOLD = 0.3
 #: Words remembered in a worker, then forgotten together.
 REMEMBERED = 500_000
@@ -36,25 +37,36 @@ REMEMBERED = 500_000
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
-class _Hashes(dict):
+class _Numbers(dict):
+    """Hash of each word and of its stem, in two columns of `table`, by a number for the word."""
+
+    def __init__(self):
+        self.table = np.zeros((1 << 12, 2), dtype=np.uint64)
+
     def __missing__(self, word):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
-        return h
+        k = self[word] = len(self)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        made = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
+        stem = xxhash.xxh64_intdigest(word[:STEM].encode("utf-8", "surrogatepass"), 11) if len(word) > STEM else made
+        self.table[k] = made, stem
+        return k
 
 
-_hashes = _Hashes()
+_numbers = _Numbers()
 
 
 def places(text: str | None) -> np.ndarray:
-    """Places of all words, pairs and skip pairs of a text, repeats included."""
+    """Places of all words, stems, pairs and skip pairs of a text, repeats included."""
     words = _WORDS((text or "").lower())
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    if len(_numbers) > REMEMBERED:
+        _numbers.clear()
+    at = np.fromiter(map(_numbers.__getitem__, words), dtype=np.int64, count=len(words))
+    h, stems = _numbers.table[at].T
     with np.errstate(over="ignore"):
         left = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
-        pairs = [(left[: -k or None] ^ (h[k:] * np.uint64(2 * k + 1))) * np.uint64(0xBF58476D1CE4E5B9) for k in (1, 2) if len(h) > k]
-    return np.concatenate([h, *pairs]) >> np.uint64(64 - BITS)
+        pairs = [(left[:-k] ^ (h[k:] * np.uint64(2 * k + 1))) * np.uint64(0xBF58476D1CE4E5B9) for k in (1, 2) if len(h) > k]
+    return np.concatenate([h, stems, *pairs]) >> np.uint64(64 - BITS)
 
 
 def _features(batches):
