@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, licenses, packing, pii, quality, sharding, simhash, toxicity
+from lattica.llm import decontaminate, licenses, lm, packing, pii, quality, resample, sharding, simhash, toxicity
 from lattica.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op2_pii_candidate_boosting(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_importance_resampling(spark, sf_dir):
+    return resample.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_log_frequency_bloom(spark, sf_dir):
+    return lm.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return packing.digest(spark, table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,8 @@ QUERIES = {
     for f in (
         op1_virtual_slot_shards,
         op2_pii_candidate_boosting,
+        op3_importance_resampling,
+        op4_log_frequency_bloom,
         op5_best_fit_packing,
         op6_bm25_decontamination,
         op7_simhash_deletion_variants,
