@@ -43,53 +43,110 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbered(dict):
+    """Numbers chunks as they are met; those without ids yet wait in `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        k = self[chunk] = len(self)
+        self.new.append(chunk)
+        return k
+
+
 class Chunks:
     """Ids of texts, with the ids of each chunk between white space looked up once.
 
     The tokenizer drops white space and never joins what it parts, so ids of chunks are the ids of
-    the text. Texts with separators that str.split takes and the tokenizer keeps go to it whole.
+    the text. New chunks of plain letters are tokenized together in one text, whose ids are parted
+    after each end of a word; stops behind them are looked up apart, as the tokenizer parts letters
+    from other signs. All other chunks are tokenized one by one. Texts with separators that
+    str.split takes and the tokenizer keeps go to it whole.
     """
 
+    STOPS = ".,;:!?"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.start, self.count, self.used, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), 0, 0
-
-    def learn(self, chunks: list[str]) -> None:
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
-            ids = got.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if self.n == len(self.start):
-                self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[self.n], self.count[self.n] = self.used, len(ids)
-            self.known[chunk] = self.n
-            self.used, self.n = self.used + len(ids), self.n + 1
-
-    def ids(self, text: str) -> np.ndarray:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        chunks = text.split()
-        if not chunks:
-            return np.zeros(0, dtype=np.uint32)
-        if self.n > REMEMBERED:
-            self.clear()
-        known = self.known
-        try:
-            at = np.fromiter(map(known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        except KeyError:
-            self.learn([c for c in dict.fromkeys(chunks) if c not in known])
-            at = np.fromiter(map(known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        self.known = _Numbered()
+        self.flat, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
+        self.start, self.count = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+
+    @staticmethod
+    def plain(chunk: str) -> bool:
+        """Letters that stay one letter each in lower case and in composed form."""
+        return chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0130")
+
+    def encode(self, chunks: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def put(self, numbers: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[numbers] = self.used + np.cumsum(counts) - counts
+        self.count[numbers] = counts
+        self.used += len(ids)
+
+    def learn(self) -> None:
+        known, words, stopped, others = self.known, [], [], []
+        for chunk in known.new:
+            if self.plain(chunk):
+                words.append(chunk)
+                continue
+            core = chunk.rstrip(self.STOPS)
+            if core is not chunk and core and self.plain(core):
+                stopped.append((chunk, core, chunk[len(core) :]))
+            else:
+                others.append(chunk)
+        known.new = []
+        numbers = [known[c] for _, core, stops in stopped for c in (core, stops)]
+        for chunk in known.new:
+            (words if self.plain(chunk) else others).append(chunk)
+        known.new = []
+        while len(known) > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        if words:
+            ids = np.array(self.encode([" ".join(words)])[0], dtype=np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) != len(words):
+                others += words
+            else:
+                self.put([known[c] for c in words], ids, np.diff(ends, prepend=-1))
+        if others:
+            ids = self.encode(others)
+            self.put([known[c] for c in others], np.array([i for x in ids for i in x], dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64))
+        if stopped:
+            at = np.array(numbers, dtype=np.int64)
+            self.put([known[c] for c, _, _ in stopped], self.joined(at), self.count[at].reshape(-1, 2).sum(1))
+
+    def joined(self, at: np.ndarray) -> np.ndarray:
+        """The ids of chunks, by number, behind each other."""
         n = self.count[at]
         ends = np.cumsum(n)
-        return self.flat[np.repeat(self.start[at] - ends + n, n) + np.arange(ends[-1])]
+        return self.flat[np.repeat(self.start[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > REMEMBERED:
+            self.clear()
+        find, numbers = self.known.__getitem__, []
+        for text in texts:
+            if text.isprintable() or not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                chunks = text.split()
+                numbers.append(np.fromiter(map(find, chunks), dtype=np.int64, count=len(chunks)))
+            else:
+                numbers.append(np.array(self.encode([text])[0], dtype=np.uint32))
+        self.learn()
+        return [x if x.dtype == np.uint32 else self.joined(x) for x in numbers]
 
 
 #: By path, for the life of a worker.
@@ -106,8 +163,8 @@ def _cutter(path: str, room: int, end_id: int):
         chunks = packing._chunks.get(path) or packing._chunks.setdefault(path, packing.Chunks(path))
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column(0).to_pylist()):
-                ids = np.append(chunks.ids(text or ""), np.uint32(end_id)).astype("<u4")
+            for k, ids in enumerate(chunks.ids([x or "" for x in batch.column(0).to_pylist()])):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for p, at in enumerate(range(0, len(ids), room)):
                     part = ids[at : at + room]
                     rows.append(k)

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,5 +217,22 @@ def groups(spark: SparkSession, docs: DataFrame, config: Config = Config(), key:
     return prints.join(class_of, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(spark: SparkSession, docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group, with the columns it came with: the row with the smallest key, of equal
+    keys the smallest checksum and length, and of rows equal in all of these any one."""
+    crc, size = F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")), F.coalesce(F.octet_length(f"`{text}`"), F.lit(-1))
+    row = F.struct(F.col(f"`{key}`").isNull().alias("o"), F.col(f"`{key}`").alias("k"), crc.alias("c"), size.alias("n"))
+    named = lambda x: F.concat_ws(":", F.coalesce(x["k"].cast("string"), F.lit("-")), x["c"], x["n"])
+    found = groups(spark, docs.select(row.alias("doc_id"), F.col(f"`{text}`").alias("text")), config)
+    found = written(spark, found.select(named(F.col("doc_id")).alias("__d_key"), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("goes")), "decided")
+    left = docs.withColumn("__d_key", named(row)).join(found.where("goes").select("__d_key").distinct(), "__d_key", "left_anti")
+    many = written(spark, found.where("not goes").groupBy("__d_key").count().where("count > 1").select("__d_key"), "repeated")
+    if not many.isEmpty():  # repeated rows, which no key tells apart
+        turn = Window.partitionBy("__d_key").orderBy("__d_key")
+        one = left.join(many, "__d_key", "left_semi").withColumn("__d_turn", F.row_number().over(turn)).where("__d_turn = 1").drop("__d_turn")
+        left = left.join(many, "__d_key", "left_anti").unionByName(one)
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return groups(spark, docs.select("doc_id", "text")).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
