@@ -122,7 +122,9 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 def filter_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judge(docs, text, rules).where("__q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # Were it deterministic, the optimizer would push the filter down and write every metric out in it.
+    once = F.col("__q_kept") & (F.monotonically_increasing_id() >= 0)
+    return judge(docs, text, rules).withColumn("__q_kept", once).where("__q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
