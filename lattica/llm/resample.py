@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ASCII_LOWER, SPACE_CLASS, prepare, written
+from lattica.llm.common import SPACE_CLASS, prepare, written
 
 BUCKETS = 10_000
 TARGET_ROWS = 20_000

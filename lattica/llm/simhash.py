@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import ASCII_LOWER, SPACE_CLASS, prepare, written
+from lattica.llm.common import prepare, written
 
 #: Members of a variant that are compared pair by pair; larger ones are walked.
 DIRECT = 32
@@ -51,17 +51,15 @@ class Config:
 
 
 def _fingerprinter(config: Config):
-    import regex as re
-
-    find, n = re.compile(f"[^{SPACE_CLASS[1:-1]}]+").findall, config.words
+    n = config.words
     lanes = config.bits // 64
 
     def run(batches):
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             out = []
-            for text in batch.column(0).to_pylist():
-                w = [x.encode() for x in find((text or "").translate(ASCII_LOWER))]
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                w = (text or b"").lower().split()  # of bytes: A-Z, and the white space of the word rule
                 if len(w) > n:
                     s = map(b" ".join, zip(*(w[i:] for i in range(n))))
                     s = list(s if config.repeats else set(s))
