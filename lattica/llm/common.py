@@ -53,6 +53,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(trimmed, SPACE_CLASS + "+"), lambda w: w != "")
 
 
+def once(value: Column) -> Column:
+    """The same value, which filters above are not pushed through: the optimizer would write whole
+    chains of array expressions out in them, once for each use."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

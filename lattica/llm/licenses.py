@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import once
+
 #: The base phrases and their labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -134,7 +136,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         {"__l_scan": "named_struct('n_words', __l_n, 'starts', __l_s, 'base_labels', sort_array(array_distinct(__l_b)), 'found', __l_f)"},
     )
     for step in steps:
-        docs = docs.withColumns({k: F.expr(v) for k, v in step.items()})
+        docs = docs.withColumns({k: once(F.expr(v)) if k == "__l_scan" else F.expr(v) for k, v in step.items()})
     return docs.drop(*(k for s in steps[:-1] for k in s))
 
 

@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import once
+
 #: Kinds in their order; the first four have base rules.
 KINDS = ("email", "ip", "card", "phone", "email_spelled", "phone_local", "id_number", "secret")
 BASE_KINDS = 4
@@ -193,7 +195,7 @@ def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     limit = "element_at(array({}), c.k + 1)".format(", ".join(f"{t!r}D" for t in model.thresholds))
     span = "transform(filter({}, c -> {}), c -> named_struct('s', c.s, 'k', c.k, 'e', c.e))"
     docs = candidates(docs, text)
-    docs = docs.withColumn("__p_base", F.expr(f"array_sort({span.format('__p_c', f'c.k < {BASE_KINDS} and c.v')})"))
+    docs = docs.withColumn("__p_base", once(F.expr(f"array_sort({span.format('__p_c', f'c.k < {BASE_KINDS} and c.v')})")))
     docs = docs.withColumn("__p_q", F.expr(f"transform(filter(__p_c, c -> not (c.k < {BASE_KINDS} and c.v)), c -> named_struct('s', c.s, 'k', c.k, 'e', c.e, 'p', {model.sql()}, 'l', {limit}))"))
     docs = docs.withColumn(
         "__p_q",
@@ -202,7 +204,7 @@ def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             " and not exists(__p_q, o -> o.p >= o.l and o.s < c.e and c.s < o.e and (o.p > c.p or (o.p = c.p and (o.s < c.s or (o.s = c.s and o.k < c.k))))))"
         ),
     )
-    return docs.withColumn("__p_all", F.expr("array_sort(__p_base || transform(__p_q, c -> named_struct('s', c.s, 'k', c.k, 'e', c.e)))")).drop("__p_c", "__p_q")
+    return docs.withColumn("__p_all", once(F.expr("array_sort(__p_base || transform(__p_q, c -> named_struct('s', c.s, 'k', c.k, 'e', c.e)))"))).drop("__p_c", "__p_q")
 
 
 _KIND = "element_at(array({}), c.k + 1)".format(", ".join(f"'{k}'" for k in KINDS))

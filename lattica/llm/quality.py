@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import once
+
 SYMBOLS = "#*$%&|<>"
 
 #: Frequent function words of the languages that the rules are made for.
@@ -89,7 +91,7 @@ def measure(docs: DataFrame, text: str = "text", into: str = "__q_metrics") -> D
     for step in _STEPS[:-1]:
         docs = docs.withColumns({k: F.expr(v.format(**names)) for k, v in step.items()})
     fields = ", ".join(f"'{k}', {v.format(**names)}" for k, v in _STEPS[-1].items())
-    return docs.withColumn(into, F.expr(f"named_struct({fields})")).drop(*(k for s in _STEPS[:-1] for k in s))
+    return docs.withColumn(into, once(F.expr(f"named_struct({fields})"))).drop(*(k for s in _STEPS[:-1] for k in s))
 
 
 def ratios(metrics: Column) -> dict[str, Column]:
@@ -122,9 +124,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 def filter_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    # Were it deterministic, the optimizer would push the filter down and write every metric out in it.
-    once = F.col("__q_kept") & (F.monotonically_increasing_id() >= 0)
-    return judge(docs, text, rules).withColumn("__q_kept", once).where("__q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judge(docs, text, rules).where("__q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
