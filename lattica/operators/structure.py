@@ -47,20 +47,20 @@ def rearrange(x: TensorFrame, pattern: str, **sizes: int) -> TensorFrame:
 
 class RearrangeOp(LinearOperator):
     def __init__(self, pattern: str, **sizes: int):
-        self.pattern, self.sizes = pattern, sizes
+        self.pattern, self.sizes, self.names = pattern, sizes, None
 
     def forward(self, x):
         left, _ = self.pattern.split("->")
         for group, size in zip(_parse(left), x.shape):
             if len(group) == 1:
                 self.sizes.setdefault(group[0], size)
-        self.names = x.axes
+        self.names = x.names
         return rearrange(x, self.pattern, **self.sizes)
 
     def adjoint(self, y):
         left, right = self.pattern.split("->")
         out = rearrange(y, f"{right.strip()} -> {left.strip()}", **self.sizes)
-        return out
+        return out.renamed(dict(zip(out.names, self.names))) if self.names else out
 
 
 class PadOrCropOp(LinearOperator):

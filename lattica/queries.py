@@ -64,10 +64,10 @@ def vector_frame(spark, d) -> TensorFrame:
 def image(spark, d) -> TensorFrame:
     key = F.col("p_partkey")
     df = table(spark, d, "part").groupBy(F.pmod(key, F.lit(16)).cast("int").alias("y"), F.pmod(F.floor(key / 16), F.lit(16)).cast("int").alias("x")).agg((F.sum("p_retailprice") / F.count("*") / 1013).alias("re"), (F.sum("p_size") / F.count("*") / 10.7).alias("im"))
-    return TensorFrame(df, {"y": 16, "x": 16})
+    return TensorFrame(df, {"y": 16, "x": 16}).dense()
 
 
-IMAGE = "img AS (SELECT (p_partkey % 16)::INT AS y, ((p_partkey // 16) % 16)::INT AS x, sum(p_retailprice) / count(*) / 1013 AS re, sum(p_size) / count(*) / 10.7::DOUBLE AS im FROM part GROUP BY 1, 2)"
+IMAGE = "i AS (SELECT (p_partkey % 16)::INT AS y, ((p_partkey // 16) % 16)::INT AS x, sum(p_retailprice) / count(*) / 1013 AS re, sum(p_size) / count(*) / 10.7::DOUBLE AS im FROM part GROUP BY 1, 2), img AS (SELECT y, x, coalesce(re, 0) AS re, coalesce(im, 0) AS im FROM ((SELECT unnest(range(16))::INT AS y) CROSS JOIN (SELECT unnest(range(16))::INT AS x)) LEFT JOIN i USING (y, x))"
 
 
 def values(x: TensorFrame, digits: int = 6) -> DataFrame:
@@ -513,10 +513,10 @@ def mask_bounding_box(spark, d):
     return generators.bounding_box(table(spark, d, "part"), F.col("p_retailprice") > 1000, ["p_brand"], ["p_size"])
 
 
-@query("SELECT l_orderkey, round(sum(l_quantity * l_linenumber * 0.0987::DOUBLE) / sum(l_quantity), 6) AS value, arg_max(l_linenumber, (l_quantity, -l_linenumber)) AS main FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, round(sum(l_quantity * l_linenumber * 0.0987654321::DOUBLE) / sum(l_quantity), 6) AS value, arg_max(l_linenumber, (l_quantity, -l_linenumber)) AS main FROM lineitem GROUP BY 1")
 def tissue_weighted_map(spark, d):
     f = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("tissue"), F.col("l_quantity").alias("fraction"))
-    t = spark.range(1, 8).select(F.col("id").cast("int").alias("tissue"), (F.col("id") * 0.0987).alias("value"))
+    t = spark.range(1, 8).select(F.col("id").cast("int").alias("tissue"), (F.col("id") * 0.0987654321).alias("value"))
     return generators.tissue_map(f, t, ["l_orderkey"]).select("l_orderkey", r(F.col("value")).alias("value"), "main")
 
 
