@@ -255,10 +255,10 @@ def natural_sort_key(spark, d):
     return df.withColumn("n", acquisitions.natural_key("name"))
 
 
-@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y%m%d%H%M%S') AS text, date_trunc('second', ts)::TIMESTAMP AS parsed FROM events")
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y%m%d%H%M%S') AS text, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS parsed FROM events")
 def parse_datetimes(spark, d):
     df = table(spark, d, "events").select("event_id", F.date_format(F.date_trunc("second", "ts"), "yyyyMMddHHmmss").alias("text"))
-    return df.withColumn("parsed", acquisitions.parse_datetime(F.col("text")))
+    return df.withColumn("parsed", F.date_format(acquisitions.parse_datetime(F.col("text")), "yyyy-MM-dd HH:mm:ss"))
 
 
 # Structure
@@ -663,11 +663,11 @@ def trajectory_variable_density(spark, d):
     return generators.variable_density(spark, -32, 32, 24, 20.0, [-1, 0, 1])
 
 
-@query(f"""WITH {IMAGE} SELECT y, x, round(re / (2 + y / 16 + 1), 4) AS re, round(im / (2 + y / 16 + 1), 4) AS im FROM img""")
+@query(f"""WITH {IMAGE} SELECT y, x, round(re / (3 + (y % 4) / 4), 4) AS re, round(im / (3 + (y % 4) / 4), 4) AS im FROM img""")
 def conjugate_gradient(spark, d):
     from lattica.plans.algebra import Identity
 
-    w = TensorFrame(spark.range(16).select(F.col("id").cast("int").alias("y"), (2 + F.col("id") / 16).alias("re"), F.lit(0.0).alias("im")), {"y": 16})
+    w = TensorFrame(spark.range(16).select(F.col("id").cast("int").alias("y"), (2 + F.col("id") % 4 / 4).alias("re"), F.lit(0.0).alias("im")), {"y": 16})
     op = gather.DensityCompensationOp(w) + Identity()
     return values(solvers.cg(op, image(spark, d), max_iterations=6, tolerance=1e-12), 4)
 
