@@ -14,6 +14,8 @@ from lattica.workers import reachable
 
 #: Rows of a dictionary or table that may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a lookup table that is searched inside the row.
+TABLE_ROWS = 10_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -229,12 +231,20 @@ def dictionary_match(signals: DataFrame, atoms: DataFrame, key: str, scale: bool
 
 
 def interp(points: DataFrame, table: DataFrame, x: str = "x", xp: str = "xp", fp: str = "fp") -> DataFrame:
-    """Piecewise-linear lookup clamped to the ends; adds `f`. The table is bounded (checked): it
-    becomes one sorted array, searched by halving inside the row."""
-    rows = table.where(F.col(xp).isNotNull()).orderBy(xp).select(F.col(xp).cast("double"), F.col(fp).cast("double")).limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} rows: join intervals instead, see interp_join")
-    return interp_join(points, table, x, xp, fp)
+    """Piecewise-linear lookup clamped to the ends; adds `f`. A table of at most TABLE_ROWS rows
+    (checked) becomes one sorted array that each row searches by halving; larger ones are joined."""
+    known = table.where(F.col(xp).isNotNull()).select(F.col(xp).cast("double").alias("x"), F.col(fp).cast("double").alias("f"))
+    if known.limit(TABLE_ROWS + 1).count() > TABLE_ROWS:
+        return interp_join(points, table, x, xp, fp)
+    held = known.agg(F.array_sort(F.collect_list(F.struct("x", "f"))).alias("__t"))
+    out = points.join(F.broadcast(held)).withColumn("__x", F.col(x).cast("double"))
+    halve = "(a, k) -> if(a.hi - a.lo <= 1, a, if(get(__t, cast((a.lo + a.hi) div 2 as int)).x <= __x, named_struct('lo', cast((a.lo + a.hi) div 2 as int), 'hi', a.hi), named_struct('lo', a.lo, 'hi', cast((a.lo + a.hi) div 2 as int))))"
+    out = out.withColumn("__i", F.expr(f"aggregate(sequence(1, {TABLE_ROWS.bit_length() + 1}), named_struct('lo', -1, 'hi', size(__t)), {halve}, a -> a.lo)"))
+    a, b = F.get("__t", F.greatest(F.col("__i"), F.lit(0))), F.get("__t", F.least(F.greatest(F.col("__i") + 1, F.lit(0)), F.size("__t") - 1))
+    out = out.withColumns({"__a": a, "__b": b})
+    at, span = F.greatest(F.col("__x"), F.col("__a.x")), F.col("__b.x") - F.col("__a.x")
+    value = F.when(span <= 0, F.col("__a.f")).otherwise(F.col("__a.f") + (at - F.col("__a.x")) * F.try_divide(F.col("__b.f") - F.col("__a.f"), span))
+    return out.select(*(F.col(f"`{c}`") for c in points.columns), value.alias("f"))
 
 
 def interp_join(points: DataFrame, table: DataFrame, x: str = "x", xp: str = "xp", fp: str = "fp") -> DataFrame:
@@ -252,8 +262,10 @@ def interp_join(points: DataFrame, table: DataFrame, x: str = "x", xp: str = "xp
     at = Window.orderBy("__b")  # at most `buckets` rows
     every = points.sparkSession.range(buckets).select(F.col("id").cast("int").alias("__b")).join(ends, "__b", "left")
     edges = every.select("__b", F.last("last", True).over(at.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(at.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    w = Window.partitionBy("__b").orderBy("__x", F.col("__p").isNotNull())
-    rows = t.unionByName(p).withColumns({"__lo": F.last("__t", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__hi": F.first("__t", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    # Both are running values: frames that look ahead would be summed anew for each row.
+    up = Window.partitionBy("__b").orderBy("__x", F.col("__p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("__b").orderBy(F.desc("__x"), F.col("__p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = t.unionByName(p).withColumns({"__lo": F.last("__t", True).over(up), "__hi": F.last("__t", True).over(down)})
     rows = rows.where("__p is not null").join(F.broadcast(edges), "__b")
     a, b = F.coalesce("__lo", "before"), F.coalesce("__hi", "after")
     a, b = F.coalesce(a, b), F.coalesce(b, a)

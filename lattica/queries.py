@@ -401,7 +401,7 @@ SELECT l_orderkey, l_linenumber, round(CASE WHEN xa IS NULL THEN fb WHEN xb IS N
 def table_interpolation(spark, d):
     t = table(spark, d, "part").groupBy(F.col("p_size").cast("double").alias("xp")).agg(F.avg("p_retailprice").alias("fp"))
     q = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 1.1 - 2.05).alias("x"))
-    return gather.interp_join(q, t).select("l_orderkey", "l_linenumber", r(F.col("f"), 4).alias("f"))
+    return gather.interp(q, t).select("l_orderkey", "l_linenumber", r(F.col("f"), 4).alias("f"))
 
 
 @query(f"""WITH {IMAGE}, n AS (SELECT i, greatest(0.0, least(15.0, (i + 0.5::DOUBLE) * 1.6::DOUBLE - 0.5)) AS p FROM (SELECT unnest(range(10)) AS i)),

@@ -132,6 +132,8 @@ def test_interpolation_and_dictionary_parts(spark):
     p = spark.createDataFrame([(k, v) for k, v in enumerate((-1.0, 0.0, 0.5, 1.0, 2.5, 9.0))], "k int, x double")
     got = [r.f for r in gather.interp(p, t).orderBy("k").collect()]
     assert np.allclose(got, np.interp((-1, 0, 0.5, 1, 2.5, 9), (0, 1, 4), (1, 3, 0)))
+    got = [r.f for r in gather.interp_join(p, t).orderBy("k").collect()]
+    assert np.allclose(got, np.interp((-1, 0, 0.5, 1, 2.5, 9), (0, 1, 4), (1, 3, 0)))
 
 
 def test_moving_average_of_long_key(spark):
