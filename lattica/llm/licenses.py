@@ -125,7 +125,9 @@ _KEPT = (
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the struct `__l_scan`: n_words, base places (array of start words), base_labels, found (label, confidence)."""
     starts = " or ".join("(" + " and ".join(f"get(__l_w, i + {k}) = '{w}'" if k else f"w = '{w}'" for k, w in enumerate(p.split())) + ")" for p in BASE)
-    gate = " or ".join(f"contains(__l_x, ' {k} ')" for k in KEYWORDS)
+    # One pass over the text, that leaves most words at their first letter.
+    heads = sorted({k[0] for k in KEYWORDS})
+    gate = "__l_x rlike ' (?:{})'".format("|".join(f"{h}(?:{'|'.join(k[1:] for k in KEYWORDS if k[0] == h)}) " for h in heads))
     steps = (
         {"__l_x": rf"concat(' ', btrim(regexp_replace(lower(coalesce(`{text}`, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ')), ' ')"},
         {"__l_n": "if(__l_x = '  ', 0L, cast(length(__l_x) - length(replace(__l_x, ' ', '')) - 1 as bigint))", "__l_g": gate},
