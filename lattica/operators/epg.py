@@ -57,8 +57,9 @@ class Spins:
         new[:, 2] = self.s[:, 2]
         self.s = new
 
-    def spoil(self):
-        self.s[:, :2] = 0
+    def spin_lock(self, time):
+        """Decay of the locked transverse states."""
+        self.s[:, :2] *= np.exp(-time / self.t1_rho)[:, None, None]
 
     def acquire(self):
         self.signal.append(self.m0 * self.s[:, 0, 0])
@@ -172,7 +173,7 @@ class T2Prep(Block):
         x.pulse(math.pi, math.pi / 2)
         x.relax(self.te / 2)
         x.pulse(-math.pi / 2, 0.0)
-        x.spoil()
+        x.dephase()  # spoils what is left across
 
 
 @dataclass
@@ -184,7 +185,10 @@ class T1RhoPrep(Block):
 
     def run(self, x):
         if x.t1_rho is not None:
-            x.s[:, 2] *= np.exp(-self.lock / x.t1_rho)[:, None]
+            x.pulse(math.pi / 2, 0.0)
+            x.spin_lock(self.lock)
+            x.pulse(-math.pi / 2, 0.0)
+            x.dephase()
 
 
 @dataclass
@@ -204,24 +208,43 @@ def multi_echo_spin_echo(angles, phases, te=0.02) -> Sequence_:
     return Sequence_([Tse(angles, phases, te)])
 
 
-def inversion_fisp(angles, te=0.0007, tr=0.012, ti=0.02) -> Sequence_:
+def triangle(rise: int, flat: int, fall: int, peak: float) -> list[float]:
+    return [peak * (k + 1) / rise for k in range(rise)] + [peak] * flat + [peak * (fall - 1 - k) / fall for k in range(fall)]
+
+
+def ramp_angles(count: int = 500) -> list[float]:
+    """Two triangles up to 25 and 75 degrees, then a constant angle. In rad."""
+    degrees = triangle(84, 40, 84, 25.0) + triangle(84, 0, 84, 75.0)
+    return [math.radians(d) for d in degrees + [8.3333] * (count - len(degrees))]
+
+
+def inversion_fisp(angles: Sequence[float] | None = None, te: float = 0.0007, tr: float = 0.012, ti: float = 0.02) -> Sequence_:
+    angles = ramp_angles() if angles is None else angles
     return Sequence_([Inversion(ti), Fisp(angles, [0.0] * len(angles), te, tr)])
 
 
+#: Largest angle in degrees of each block of cardiac fingerprinting.
+BLOCK_PEAKS = (12.5, 18.75, 25, 25, 25) * 3
+
+
 def cardiac_fingerprinting(times: Sequence[float] = tuple(range(15)), te: float = 0.0015, tr: float = 0.005, prep: Sequence[float] = (0.03, 0.05, 0.08), per_block: int = 47) -> Sequence_:
-    """15 blocks: inversion, none and three T2 preparations in turn, each with a ramp of angles."""
-    degrees = [4 + 11 * k / 15 for k in range(16)] + [15.0] * (per_block - 16)
-    angles, out, clock = [math.radians(d) for d in degrees], [], times[0]
-    for k, at in enumerate(times):
-        kind = k % 5
-        block = [Inversion(0.0210), None, *(T2Prep(t) for t in prep)][kind]
-        start = at - (block.duration if block else 0.0)
+    """15 blocks: inversion, no preparation and three T2 preparations in turn, each with angles that
+    rise from 4 degrees in 16 steps and then stay. times: of the blocks, or of all readouts."""
+    if len(times) == 15 * per_block:
+        times = times[::per_block]
+    if len(times) != 15:
+        raise ValueError(f"15 or {15 * per_block} acquisition times, not {len(times)}")
+    out: list[Block] = []
+    for k, peak in enumerate(BLOCK_PEAKS):
+        angles = [math.radians(4 + (peak - 4) * min(j, 15) / 15) for j in range(per_block)]
+        before = [Inversion(0.02), None, *(T2Prep(t) for t in prep)][k % 5]
+        block = Sequence_([b for b in (before, Fisp(angles, [0.0] * per_block, te, tr)) if b])
         if k:
-            if start < clock:
-                raise ValueError("the blocks do not fit between the acquisition times")
-            out.append(Delay(start - clock))
-        out += [b for b in (block, Fisp(angles, [0.0] * per_block, te, tr)) if b]
-        clock = at + tr * per_block
+            wait = times[k] - times[k - 1] - block.duration
+            if wait < 0:
+                raise ValueError(f"block {k} would begin before the one before it ends")
+            out.append(Delay(wait))
+        out.append(block)
     return Sequence_(out)
 
 

@@ -119,6 +119,12 @@ def test_epg_matches_exponentials(spark):
     assert np.isclose(abs(complex(r.re[0], r.im[0])), abs(1 - 2 * math.exp(-0.3 / 0.8)))
     with pytest.raises(ValueError):
         epg.Delay(-1)
+    with pytest.raises(ValueError):
+        epg.cardiac_fingerprinting([k / 10 for k in range(15)])
+    assert len(epg.ramp_angles()) == 500 and len(epg.simulate(df, epg.cardiac_fingerprinting(), "v").first().re) == 705
+    prep = epg.Sequence_([epg.T2Prep(0.04), epg.Pulse(math.pi / 2), epg.Acquire()])
+    r = epg.simulate(df, prep, "v").orderBy("v").first()
+    assert np.isclose(abs(complex(r.re[0], r.im[0])), math.exp(-0.04 / 0.05), atol=1e-6)
 
 
 def test_phantom_and_voronoi():
