@@ -383,3 +383,16 @@ def mean_rotation(df: DataFrame, by: list[str], q=("qz", "qy", "qx", "qw"), weig
     flat = flat.withColumn("__v", F.expr(f"aggregate(sequence(1, 40), __v, {step})"))
     sign = F.when(F.get("__v", F.lit(3)) < 0, -1.0).otherwise(1.0)
     return flat.select(*by, *((F.get("__v", F.lit(i)) * sign).alias(q[i]) for i in range(4)))
+
+
+def align_vectors(df: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str], weight: str | None = None) -> tuple[np.ndarray, float]:
+    """The rotation that takes b closest to a (least squares), and the root of the residual: nine sums,
+    then one 3 x 3 decomposition."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    row = df.agg(*(F.sum(w * F.col(a[i]) * F.col(b[j])).alias(f"m{i}{j}") for i in range(3) for j in range(3)), F.sum(w * sum((F.col(c) ** 2 for c in (*a, *b)), F.lit(0.0))).alias("n")).first()
+    m = np.array([[row[f"m{i}{j}"] or 0.0 for j in range(3)] for i in range(3)])
+    u, s, v = np.linalg.svd(m)
+    d = np.sign(np.linalg.det(u @ v))
+    s[2] *= d
+    u[:, 2] *= d
+    return u @ v, math.sqrt(max(0.0, (row["n"] or 0.0) - 2 * s.sum()))

@@ -142,3 +142,58 @@ def field_map(spark: SparkSession, ny: int, nx: int, order: int = 3, sigma: floa
         for j in range(order + 1 - i):
             value = value + float(c[i, j]) * y**i * x**j
     return TensorFrame(df.select("y", "x", value.alias("re"), F.lit(0.0).alias("im")), {"y": ny, "x": nx})
+
+
+def random_directions(df: DataFrame, kappa: float = 0.0, seed: int = 0) -> DataFrame:
+    """Adds dz, dy, dx: von Mises-Fisher directions around z (uniform for kappa 0), by inverting the
+    distribution of the cosine, which is closed in three dimensions."""
+    u = 1 - F.rand(seed)
+    w = 2 * u - 1 if kappa == 0 else 1 + F.log(u + (1 - u) * math.exp(-2 * kappa)) / kappa
+    df = df.withColumns({"dz": w, "__phi": F.rand(seed + 1) * (2 * math.pi)})
+    s = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("dz") * F.col("dz")))
+    return df.withColumns({"dy": s * F.sin("__phi"), "dx": s * F.cos("__phi")}).drop("__phi")
+
+
+def random_rotations(df: DataFrame, seed: int = 0) -> DataFrame:
+    """Adds qz, qy, qx, qw: uniform rotations, four normal numbers divided by their norm."""
+    names = ("qz", "qy", "qx", "qw")
+    df = df.withColumns({f"__{n}": F.randn(seed + k) for k, n in enumerate(names)})
+    norm = F.sqrt(sum((F.col(f"__{n}") ** 2 for n in names[1:]), F.col("__qz") ** 2))
+    return df.withColumns({n: F.col(f"__{n}") / norm for n in names}).drop(*(f"__{n}" for n in names))
+
+
+def sunflower(df: DataFrame, center: int) -> DataFrame:
+    """Golden-angle radial phase encoding, k1 shifted by the rank of the line's angle; one row a line
+    is ranked, not one a sample."""
+    from pyspark.sql import Window
+
+    angle = F.pmod(F.col("k2") * GOLDEN, F.lit(math.pi))
+    lines = df.select("k2").distinct().withColumn("__a", angle)
+    n = lines.count()
+    rank = (F.row_number().over(Window.orderBy("__a")) - 1) / n
+    out = df.join(F.broadcast(lines.withColumn("__s", rank)), "k2")
+    r = F.when(F.col("k1") == center, F.lit(0.0)).otherwise(F.col("k1") - center + F.col("__s"))
+    return out.withColumns({"ky": r * F.cos("__a"), "kz": r * F.sin("__a")}).drop("__a", "__s")
+
+
+def projection_matrix(spark: SparkSession, volume: tuple[int, int, int], rotation: np.ndarray, shift: float, profile, half_width: int) -> DataFrame:
+    """(target, source, w) of a slice through a volume: each pixel's ray across the slice is sampled at
+    -half_width..half_width, weighted by profile(distance) and spread over eight voxels by distance. A
+    row's weights add up to the part of its profile that lies in the volume. rotation: 3 x 3, z y x."""
+    nz, ny, nx = volume
+    size = max(ny, nx)
+    df = spark.range(size * size).select(F.col("id").alias("target"), (F.floor(F.col("id") / size) - size / 2 + 0.5).alias("v"), (F.pmod("id", F.lit(size)) - size / 2 + 0.5).alias("u"))
+    df = df.withColumn("s", F.explode(F.sequence(F.lit(-half_width), F.lit(half_width))))
+    total = sum(float(profile(k)) for k in range(-half_width, half_width + 1))
+    table = F.array(*(F.lit(float(profile(k)) / total) for k in range(-half_width, half_width + 1)))
+    df = df.withColumn("w", F.get(table, F.col("s") + half_width))
+    for name, row, n in zip("zyx", np.asarray(rotation, float), volume):
+        at = (F.col("s") + shift) * float(row[0]) + F.col("v") * float(row[1]) + F.col("u") * float(row[2]) + (n / 2 - 0.5)
+        df = df.withColumn(f"p{name}", at)
+    source = F.lit(0)
+    for name, n in zip("zyx", volume):
+        p = F.col(f"p{name}")
+        df = df.withColumn("__e", F.explode(F.array(F.struct(F.floor(p).alias("i"), (1 - p + F.floor(p)).alias("w")), F.struct((F.floor(p) + 1).alias("i"), (p - F.floor(p)).alias("w")))))
+        df = df.withColumns({f"i{name}": F.col("__e.i"), "w": F.col("w") * F.col("__e.w")}).drop("__e").where((F.col(f"i{name}") >= 0) & (F.col(f"i{name}") < n) & (F.col("w") > 0))
+        source = source * n + F.col(f"i{name}")
+    return df.groupBy("target", source.alias("source")).agg(F.sum("w").alias("w"))

@@ -81,3 +81,29 @@ def test_moving_average_stream(spark, tmp_path):
     _, s = stream(spark, tmp_path)
     got = {(r.k, r.i): r.ema for r in run(spark, windows.moving_average(s, "k", "i", "v", 0.5), "ema", "append").collect()}
     assert len(got) == 40 and got[0, 0] == 0.0 and got[0, 3] == 1.5
+
+
+def test_random_directions_and_alignment(spark):
+    df = generators.random_rotations(generators.random_directions(spark.range(4000), 5.0, 3), 9)
+    got = df.selectExpr("avg(dz) z", "avg(dy) y", "max(abs(dz * dz + dy * dy + dx * dx - 1)) e", "max(abs(qz * qz + qy * qy + qx * qx + qw * qw - 1)) q").first()
+    assert abs(got.z - (1 / np.tanh(5) - 1 / 5)) < 0.02 and abs(got.y) < 0.03 and got.e < 1e-9 and got.q < 1e-9
+    q = rotation.Rot.about("z", 0.5)
+    v = q.apply(rotation.Vec(F.col("dz"), F.col("dy"), F.col("dx")))
+    turned = df.withColumns({"az": v.z, "ay": v.y, "ax": v.x})
+    m, rest = reduce.align_vectors(turned, ("az", "ay", "ax"), ("dz", "dy", "dx"))
+    want = np.array([[1, 0, 0], [0, np.cos(0.5), np.sin(0.5)], [0, -np.sin(0.5), np.cos(0.5)]])
+    assert np.allclose(m, want, atol=1e-6) and rest < 1e-3
+
+
+def test_projection_matrix_rows(spark):
+    m = generators.projection_matrix(spark, (6, 6, 6), np.eye(3), 0.0, lambda s: np.exp(-s * s), 1)
+    rows = m.groupBy("target").agg(F.sum("w").alias("w")).collect()
+    assert len(rows) == 36 and all(abs(r.w - 1) < 1e-9 for r in rows)
+    outside = generators.projection_matrix(spark, (6, 6, 6), np.eye(3), 20.0, lambda s: 1.0, 1)
+    assert outside.count() == 0
+
+
+def test_sunflower(spark):
+    df = spark.range(40).selectExpr("cast(id div 8 as int) k2", "cast(id % 8 as int) k1")
+    got = generators.sunflower(df, 4).collect()
+    assert len(got) == 40 and all(r.ky == 0 and r.kz == 0 for r in got if r.k1 == 4)
