@@ -203,27 +203,32 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         before = now
 
 
+def named(spark: SparkSession, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) from (doc_id, fp) and (fp, first, root): a root's smallest doc_id names it."""
+    roots = written(spark, roots, "roots")
+    best = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    class_of = roots.join(best, "root").select("fp", "component_id")
+    return prints.join(class_of, "fp").select("doc_id", "fp", "component_id")
+
+
 def groups(spark: SparkSession, docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): one row per document."""
     prints = written(spark, fingerprints(spark, docs, config, key, text), "fingerprints")
     firsts = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(spark, links(spark, firsts.select("fp"), config))
-    named = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = written(spark, named, "roots")
-    best = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    class_of = named.join(best, "root").select("fp", "component_id")
-    return prints.join(class_of, "fp").select("doc_id", "fp", "component_id")
+    return named(spark, prints, firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group, with the columns it came with: the row with the smallest key, of equal
+def deduplicate(spark: SparkSession, docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text", grouped=None) -> DataFrame:
+    """One row of each group (of `groups`, or of `grouped`), with the columns it came with: the row with the smallest key, of equal
     keys the smallest checksum and length, and of rows equal in all of these any one."""
     crc, size = F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")), F.coalesce(F.octet_length(f"`{text}`"), F.lit(-1))
     row = F.struct(F.col(f"`{key}`").isNull().alias("o"), F.col(f"`{key}`").alias("k"), crc.alias("c"), size.alias("n"))
-    named = lambda x: F.concat_ws(":", F.coalesce(x["k"].cast("string"), F.lit("-")), x["c"], x["n"])
-    found = groups(spark, docs.select(row.alias("doc_id"), F.col(f"`{text}`").alias("text")), config)
-    found = written(spark, found.select(named(F.col("doc_id")).alias("__d_key"), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("goes")), "decided")
-    left = docs.withColumn("__d_key", named(row)).join(found.where("goes").select("__d_key").distinct(), "__d_key", "left_anti")
+    name = lambda x: F.concat_ws(":", F.coalesce(x["k"].cast("string"), F.lit("-")), x["c"], x["n"])
+    rows = docs.select(row.alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    found = grouped(spark, rows) if grouped else groups(spark, rows, config)
+    found = written(spark, found.select(name(F.col("doc_id")).alias("__d_key"), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("goes")), "decided")
+    left = docs.withColumn("__d_key", name(row)).join(found.where("goes").select("__d_key").distinct(), "__d_key", "left_anti")
     many = written(spark, found.where("not goes").groupBy("__d_key").count().where("count > 1").select("__d_key"), "repeated")
     if not many.isEmpty():  # repeated rows, which no key tells apart
         turn = Window.partitionBy("__d_key").orderBy("__d_key")

@@ -76,3 +76,23 @@ def test_packing(stages):
 
 def test_run_is_all_stages(spark, stages):
     assert corpus_pipeline.run(spark, DATA).count() == stages[-1][2].count()
+
+
+def test_near_dedup_is_jaccard_of_shingles(stages):
+    """One document of each component of the true links (5-word shingles, Jaccard >= 0.8), no other goes."""
+    _, before, after = stages[1]
+    rows = sorted((r.doc_id, tuple(r.text.lower().encode().split())) for r in before.select("doc_id", "text").collect())
+    sets = [{w[i : i + 5] for i in range(max(1, len(w) - 4))} for _, w in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * (both := len(a & b)) >= 4 * (len(a) + len(b) - both):
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    assert ids(after) == {rows[top(i)][0] for i in range(len(rows))}
