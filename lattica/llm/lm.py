@@ -2,11 +2,11 @@
 
 A bigram model of words (texts end with an end token) is held in Bloom filters of quantised counts:
 level i holds every n-gram with a count of at least 2 ** i, so a count is read by probing levels
-upwards until one says no. Filters are built where the counts are: n-grams are dealt by hash, each
-part counts its own, and makes its own small filter for each level. Parts and levels are written as
-rows; the driver adds up their sizes, leaves out the lowest levels of bigrams that would make the
-whole larger than `max_bytes` (an n-gram seen less often than the lowest level held then counts as
-unseen), and broadcasts the rest: never more than `max_bytes`, whatever the corpus.
+upwards until one says no. Bigrams are dealt by hash into parts whose number grows with the corpus.
+All of a text's bigrams go there once, with what else their chances need; a part counts those that
+train, makes its filters of all levels, probes them for all its bigrams and gives the sums of each
+text back. So no bigram filter leaves its part, and no level is left out. The filters of words are
+broadcast: they grow with the vocabulary.
 
 P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU) with P(w) = (c(w) + 1) / (N + V + 1). Counts read from
 the filter are the lower ends of their steps, so the chances of all w add up to 1 at most, false
@@ -41,8 +41,11 @@ HEAD = 150_000
 #: Bits for each n-gram of a level, and bits set for it in one 64-bit word of the filter.
 BITS_EACH, SET_BITS = 12, 4
 LEVELS = 40
+#: Of filters that `train` gathers with pairs, which scoring does not.
 MAX_BYTES = 32 << 20
 MU = 6.0
+#: Bigrams of a part, about.
+PART = 4_000_000
 #: Counts kept in a worker before they are passed on.
 HELD = 150_000
 
@@ -227,8 +230,9 @@ class Filters:
         return out
 
 
-def train(spark: SparkSession, docs: DataFrame, max_bytes: int = MAX_BYTES):
-    """(table of token counts, N, V, broadcast head, broadcast filters)."""
+def train(spark: SparkSession, docs: DataFrame, max_bytes: int = MAX_BYTES, pairs: bool = True):
+    """(table of token counts, N, V, broadcast head, broadcast filters). With pairs, the filters of
+    bigrams are gathered too, without the lowest levels that would make the whole exceed max_bytes."""
     prepare(spark)
     rows = docs.select("doc_id", "text")
     counts = written(spark, rows.mapInArrow(_count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
@@ -243,7 +247,7 @@ def train(spark: SparkSession, docs: DataFrame, max_bytes: int = MAX_BYTES):
         out = grams.repartition("part").sortWithinPartitions("part")
         return out.mapInArrow(_filters(order, parts), "ord int, part int, level int, n long, bits binary")
 
-    pairs = dealt(rows.mapInArrow(_count_pairs, "gram long, n long"), 2)
+    grams = dealt(rows.mapInArrow(_count_pairs, "gram long, n long"), 2) if pairs else None
 
     def hashed(batches):
         from lattica.llm import lm
@@ -253,7 +257,7 @@ def train(spark: SparkSession, docs: DataFrame, max_bytes: int = MAX_BYTES):
             yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(1)], ["gram", "n"])
 
     words = dealt(counts.mapInArrow(hashed, "gram long, n long"), 1)
-    made = written(spark, words.unionByName(pairs), "filters")
+    made = written(spark, words.unionByName(grams) if pairs else words, "filters")
     sizes = {(r.ord, r.level): r.b for r in made.groupBy("ord", "level").agg(F.sum(F.octet_length("bits")).alias("b")).collect()}  # at most 2 * LEVELS rows
     lowest = 0
     while sum(b for (o, k), b in sizes.items() if o == 1 or k >= lowest) > max_bytes and lowest < LEVELS:
@@ -295,14 +299,106 @@ class Words(dict):
         return out
 
 
-def score(spark: SparkSession, docs: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+def _codes(counts: np.ndarray) -> np.ndarray:
+    """0 for 0 and k + 1 for 2 ** k."""
+    return np.where(counts > 0, np.log2(np.maximum(counts, 1)) + 1, 0).astype(np.uint8)
+
+
+def _counts(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, 2.0 ** (codes.astype(float) - 1), 0.0)
+
+
+def _pack(*parts: np.ndarray) -> bytes:
+    raw = b"".join(x.tobytes() for x in parts)
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, kind) -> np.ndarray:
+    """Two rows of numbers."""
+    return np.frombuffer(pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "zstd", asbytes=True), kind).reshape(2, -1)
+
+
+def _narrow(gram: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash; the lower ones tell the part."""
+    return np.ascontiguousarray(gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def _answers(n_all: int, v_all: int):
+    """Filters of a part, and the sum of log chances of each text over its bigrams there. Rows come
+    sorted by part, so one part is held at a time."""
+
+    def run(batches):
+        from lattica.llm import lm
+
+        now, held = None, []
+
+        def done():
+            runs = [lm._unpack(x[1], np.uint32) for x in held]
+            text, times = np.concatenate(runs, 1)
+            codes = np.concatenate([lm._unpack(x[2], np.uint8) for x in held], 1)
+            gram = np.concatenate([lm._wide(x[3]) for x in held])
+            v, n = np.unique(gram[np.repeat(text & 1 == 0, times)], return_counts=True)
+            level = lm._levels(n)
+            made = [(2, k, 0, lm.build(v[level >= k]).tobytes()) for k in range(int(level.max(initial=-1)) + 1)]
+            seen = lm.Filters(made, 1, 0).counts(2, gram)
+            before, word = lm._counts(codes[0]), lm._counts(codes[1])
+            value = np.log10(np.minimum((seen + MU * (word + 1) / (n_all + v_all + 1)) / (before + MU), 1))
+            first = np.cumsum(times, dtype=np.int64) - times
+            total, at, rows = np.add.reduceat(value, first), 0, []
+            for (row, *_), (mine, _) in zip(held, runs):
+                rows.append((row, now, (mine >> 1).tobytes(), total[at : at + len(mine)].tobytes()))
+                at += len(mine)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["row", "part", "texts", "sums"])
+
+        for batch in batches:
+            for part, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now:
+                    if held:
+                        yield done()
+                    now, held = part, []
+                held.append(rest)
+        if held:
+            yield done()
+
+    return run
+
+
+def _sums(batches):
+    """(row, score); rows come sorted by the first row of their texts, and part."""
+    now, total = None, np.zeros(0)
+
+    def done():
+        return pa.RecordBatch.from_arrays([pa.array(now + np.arange(len(total))), pa.array(total)], ["row", "score"])
+
+    for batch in batches:
+        for row, _, texts_, sums in zip(*(c.to_pylist() for c in batch.columns)):
+            if row != now:
+                if len(total):
+                    yield done()
+                now, total = row, np.zeros(0)
+            at = np.frombuffer(texts_, np.uint32).astype(np.int64)
+            total = np.pad(total, (0, max(0, int(at[-1]) + 1 - len(total))))
+            total[at] += np.frombuffer(sums)
+    if len(total):
+        yield done()
+
+
+def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    counts, n_all, v_all, head, filters = train(spark, docs, max_bytes)
+    counts, n_all, v_all, head, filters = train(spark, docs, pairs=False)
     base = math.log10(n_all + v_all + 1)
-    names = ["row", "token", "times", "doc_id", "n_tokens", "n_known", "base", "score", "held_out"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+    parts = 1 << max(4, math.ceil(math.log2(max(1, n_all / PART))))
+    names = ["row", "token", "times", "doc_id", "n_tokens", "n_known", "base", "held_out", "part", "texts", "codes", "grams"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), None, pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
-    def run(batches):
+    def run(batches, asking):
+        # Both runs read the same splits, so a row has the same number in both.
         from pyspark import TaskContext
 
         from lattica.llm import lm
@@ -313,43 +409,56 @@ def score(spark: SparkSession, docs: DataFrame, max_bytes: int = MAX_BYTES) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
+
+            def made(**given):
+                n = len(next(iter(given.values())))
+                types = [batch.column(0).type if name == "doc_id" else kind for name, kind in zip(names, kinds)]
+                return pa.RecordBatch.from_arrays([given[x] if isinstance(given.get(x), pa.Array) else pa.array(given[x], t) if x in given else pa.nulls(n, t) for x, t in zip(names, types)], names)
+
             at = words.numbers([lm.tokens(x) for x in lm.texts(batch.column(1))])
             size = np.array([len(x) for x in at], dtype=np.int64)
             starts, at = np.cumsum(size) - size, np.concatenate(at)
-            value, h, c1 = words.logs[at], words.hashes[at], words.counts[at]
-            before = np.concatenate([[end_count], c1[:-1]])
-            before[starts] = end_count
-            p1 = (c1 + 1) / (n_all + v_all + 1)
-            p = np.minimum((filters.value.counts(2, lm.pair_hashes(h, starts)) + MU * p1) / (before + MU), 1)
+            n, out = len(size), [is_held_out(k) for k in batch.column(0).to_pylist()]
+            if asking:
+                h, c1 = words.hashes[at], words.counts[at]
+                before = np.concatenate([[end_count], c1[:-1]])
+                before[starts] = end_count
+                gram = lm.pair_hashes(h, starts)
+                part = lm.part_of(gram, parts)
+                text = np.repeat(2 * np.arange(n, dtype=np.uint32) + np.array(out, np.uint32), size)
+                codes = np.stack([lm._codes(before), lm._codes(c1)])
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                mine = [(p, order[a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                texts_ = [lm._pack(*(x.astype(np.uint32) for x in np.unique(text[k], return_counts=True))) for _, k in mine]
+                yield made(row=np.full(len(mine), row), part=[p for p, _ in mine], texts=texts_, codes=[lm._pack(codes[:, k]) for _, k in mine], grams=[lm._narrow(gram[k]) for _, k in mine])
+                row += n
+                continue
+            value = words.logs[at]
             known = value >= 0
             total = lambda v: np.add.reduceat(v, starts)
-            n = len(size)
-            docs_ = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row + np.arange(n)),
-                    pa.array([b"\0%d" % (row + k) for k in range(n)], pa.binary()),  # no word, and another for each row
-                    pa.array(np.zeros(n, np.int64)),
-                    batch.column(0),
-                    pa.array(size),
-                    pa.array(total(known.astype(np.int64))),
-                    pa.array(total(np.where(known, value, 0.0)) - size * base),
-                    pa.array(total(np.log10(p))),
-                    pa.array([is_held_out(k) for k in batch.column(0).to_pylist()]),
-                ],
-                names,
+            yield made(
+                row=row + np.arange(n),
+                token=[b"\0%d" % (row + k) for k in range(n)],  # no word, and another for each row
+                times=np.zeros(n, np.int64),
+                doc_id=batch.column(0),
+                n_tokens=size,
+                n_known=total(known.astype(np.int64)),
+                base=total(np.where(known, value, 0.0)) - size * base,
+                held_out=out,
             )
             rare = np.flatnonzero(~known)
             pairs, times = np.unique((np.repeat(np.arange(n), size)[rare] << 32) | at[rare], return_counts=True)
-            nulls = [pa.nulls(len(pairs), docs_.schema.field(k).type) for k in names[3:]]
-            tail = pa.RecordBatch.from_arrays([pa.array(row + (pairs >> 32)), pa.array([words.listed[k] for k in pairs & 0xFFFFFFFF], pa.binary()), pa.array(times.astype(np.int64)), *nulls], names)
+            yield made(row=row + (pairs >> 32), token=[words.listed[k] for k in pairs & 0xFFFFFFFF], times=times.astype(np.int64))
             row += n
-            yield docs_
-            yield tail
 
-    schema = f"row long, token binary, times long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base double, score double, held_out boolean"
-    rows = docs.select("doc_id", "text").mapInArrow(run, schema)
-    joined = rows.join(counts, "token", "left")
-    return joined.groupBy("row").agg(
+    schema = f"row long, token binary, times long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base double, held_out boolean, part int, texts binary, codes binary, grams binary"
+    rows, asked = (docs.select("doc_id", "text").mapInArrow(lambda batches, asking=asking: run(batches, asking), schema) for asking in (False, True))
+    asked = asked.select("part", "row", "texts", "codes", "grams").repartition("part").sortWithinPartitions("part", "row")
+    answers = asked.mapInArrow(_answers(n_all, v_all), "row long, part int, texts binary, sums binary")
+    sums = answers.repartition("row").sortWithinPartitions("row", "part").mapInArrow(_sums, "row long, score double")
+    joined = rows.drop("part", "texts", "codes", "grams").join(counts, "token", "left")
+    return joined.unionByName(sums, allowMissingColumns=True).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.coalesce(F.max("held_out"), F.lit(False)).alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),

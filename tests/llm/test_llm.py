@@ -393,6 +393,22 @@ def test_filter_counts_are_one_sided(spark, docs):
     assert lm.digest(spark, docs.limit(0)).count() == 0
 
 
+def test_no_bigram_is_left_out(spark, docs, monkeypatch):
+    """Scores are those of all counts, however little the model may gather."""
+    real = lm.train
+    monkeypatch.setattr(lm, "train", lambda s, d, *_, **named: real(s, d, 30_000, **named))
+    texts = {i: [b"\n", *lm.tokens((t or "").encode())] for i, t in rows(docs)}
+    taught = [w for i, w in texts.items() if not lm.is_held_out(i)]
+    one, two = Counter(x for w in taught for x in w[1:]), Counter(p for w in taught for p in zip(w, w[1:]))
+    low = lambda c: 2.0 ** int(np.log2(c)) if c else 0.0
+    n = sum(one.values()) + len(one) + 1
+    chance = lambda a, b: min(1, (low(two[a, b]) + lm.MU * (low(one[b]) + 1) / n) / (low(one[a]) + lm.MU))
+    got = {r.doc_id: r.score for r in lm.digest(spark, docs).collect()}
+    want = {i: sum(log10(chance(*p)) for p in zip(w, w[1:])) for i, w in texts.items()}
+    off = [abs(got[i] - want[i]) / len(texts[i]) for i in want]
+    assert got.keys() == want.keys() and np.mean(off) < 0.01  # false positives of the filters
+
+
 # 10
 
 
