@@ -499,7 +499,7 @@ def density_weights_1d(spark, d):
 
 @query()
 def density_weights_2d(spark, d):
-    df = table(spark, d, "customer").where("c_custkey <= 400").select(F.col("c_nationkey").alias("g"), "c_custkey", (F.col("c_custkey") * 7 % 31).cast("double").alias("k1"), (F.col("c_acctbal") / 500).alias("k2"))
+    df = table(spark, d, "customer").select(F.col("c_nationkey").alias("g"), "c_custkey", (F.col("c_custkey") * 7 % 31).cast("double").alias("k1"), (F.col("c_acctbal") / 500).alias("k2"))
     return reduce.density_2d(df, ["g"], "k1", "k2").select("g", "c_custkey", r(F.col("w"), 4).alias("w"))
 
 

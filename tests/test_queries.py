@@ -32,3 +32,10 @@ def test_query(spark, duck, name):
     assert cols == sorted(want.columns)
     sort = lambda x: x[cols].sort_values(cols).reset_index(drop=True)
     pd.testing.assert_frame_equal(sort(got), sort(want), check_dtype=False, rtol=1e-6, atol=2e-5)
+
+
+def test_density_weights_of_all_customers(spark):
+    got = queries.QUERIES["density_weights_2d"](spark, DATA).toPandas()
+    assert sorted(got.c_custkey) == sorted(r.c_custkey for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey").collect())
+    more = queries.QUERIES["density_weights_2d"](spark, "/root/testdata/sf0.01")
+    assert more.count() == spark.read.parquet("/root/testdata/sf0.01/customer.parquet").count()
