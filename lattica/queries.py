@@ -478,14 +478,12 @@ def channel_covariance(spark, d):
 @query()
 def coil_compression(spark, d):
     x = vector_frame(spark, d)
-    x = TensorFrame(x.df.where("x < 8"), {"y": x.axes["y"], "x": 8})
     return values(reduce.compress_coils(x, 3, "x").map(lambda v: Pair(v.magnitude(), F.lit(0.0))))
 
 
 @query()
 def noise_prewhitening(spark, d):
     x = vector_frame(spark, d)
-    x = TensorFrame(x.df.where("x < 8"), {"y": x.axes["y"], "x": 8})
     return values(reduce.prewhiten(x, x, coil="x"))
 
 

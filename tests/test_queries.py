@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import DATA
@@ -39,3 +40,14 @@ def test_density_weights_of_all_customers(spark):
     assert sorted(got.c_custkey) == sorted(r.c_custkey for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey").collect())
     more = queries.QUERIES["density_weights_2d"](spark, "/root/testdata/sf0.01")
     assert more.count() == spark.read.parquet("/root/testdata/sf0.01/customer.parquet").count()
+
+
+def test_whitening_and_compression_use_all_components(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").select("vec_id", "embedding").collect()
+    x = np.array([r.embedding for r in rows], float)
+    got = queries.noise_prewhitening(spark, DATA).toPandas().pivot(index="y", columns="x", values="re").loc[[r.vec_id for r in rows]].to_numpy()
+    want = x @ np.linalg.inv(np.linalg.cholesky(x.T @ x / len(x))).T
+    np.testing.assert_allclose(got, want, atol=1e-4)
+    got = queries.coil_compression(spark, DATA).toPandas().pivot(index="y", columns="x", values="re").loc[[r.vec_id for r in rows]].to_numpy()
+    top = np.linalg.eigh(np.cov(x.T, bias=True))[1][:, ::-1][:, :3]
+    np.testing.assert_allclose(got, abs(x @ top), atol=1e-4)
