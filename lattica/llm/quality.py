@@ -3,7 +3,9 @@
 Defined results: a null or blank text has no words, so the length rule rejects it. Rows are judged
 one by one, so repeated rows, ties and null ids change nothing. Other columns pass through; working
 columns start with `__q_` and are dropped again. An empty table gives an empty table. A text of any
-length stays in its own row; 3-word windows are found by hash and confirmed word by word.
+length stays in its own row. 3-word windows are sorted by a part of their hash and confirmed word by
+word; a text in which two different windows share that part is sorted by the windows themselves, so
+counts are exact at any length.
 """
 
 from __future__ import annotations
@@ -55,6 +57,9 @@ RULES = (
     Rule("stop_ratio", low=0.01, min_words=100),
 )
 
+#: Bits of a sorted window that hold its place; the others hold the upper bits of its hash.
+PLACE_BITS = 31
+
 #: Projections, in order: each uses what those before it made.
 _STEPS = (
     {"__q_t": "coalesce({text}, '')"},
@@ -62,15 +67,18 @@ _STEPS = (
         "__q_w": r"filter(split(btrim(__q_t, ' \t\n\u000b\u000c\r'), '[\\x20\\x09-\\x0D]+'), x -> x != '')",
         "__q_l": r"filter(split(__q_t, '\n'), x -> length(btrim(x, ' \t\n\u000b\u000c\r')) > 0)",
     },
-    # Place of a window in the low bits, as many as its text needs, below the bits of its hash.
-    {"__q_n": "cast(size(__q_w) as bigint)", "__q_m": "if(size(__q_w) <= 1048576, 1048575L, 2147483647L)"},
+    {"__q_n": "cast(size(__q_w) as bigint)", "__q_m": "{mask}L"},
     {"__q_p": "if(__q_n < 3, array(), sort_array(transform(sequence(0, cast(__q_n as int) - 3), i -> (xxhash64(get(__q_w, i), get(__q_w, i + 1), get(__q_w, i + 2)) & ~__q_m) | i)))"},
-    {"__q_k": "transform(__q_p, (v, j) -> named_struct('at', cast(v & __q_m as int), 'same', j > 0 and (v & ~__q_m) = (get(__q_p, j - 1) & ~__q_m)"
-              " and get(__q_w, cast(v & __q_m as int)) = get(__q_w, cast(get(__q_p, j - 1) & __q_m as int))"
+    {"__q_k": "transform(__q_p, (v, j) -> named_struct('at', cast(v & __q_m as int), 'near', j > 0 and (v & ~__q_m) = (get(__q_p, j - 1) & ~__q_m),"
+              " 'same', j > 0 and (v & ~__q_m) = (get(__q_p, j - 1) & ~__q_m) and get(__q_w, cast(v & __q_m as int)) = get(__q_w, cast(get(__q_p, j - 1) & __q_m as int))"
               " and get(__q_w, cast(v & __q_m as int) + 1) = get(__q_w, cast(get(__q_p, j - 1) & __q_m as int) + 1)"
               " and get(__q_w, cast(v & __q_m as int) + 2) = get(__q_w, cast(get(__q_p, j - 1) & __q_m as int) + 2)))"},
+    # Different windows under one part of a hash: all of the text's windows, sorted.
+    {"__q_x": "if(exists(__q_k, k -> k.near and not k.same), array_sort(transform(sequence(0, cast(__q_n as int) - 3),"
+              " i -> named_struct('s', concat_ws(' ', get(__q_w, i), get(__q_w, i + 1), get(__q_w, i + 2)), 'i', i))), cast(array() as array<struct<s:string,i:int>>))"},
     # Windows equal to the one before or after them, by place.
-    {"__q_d": "sort_array(transform(filter(transform(__q_k, (k, j) -> if(k.same or coalesce(get(__q_k, j + 1).same, false), k.at, -1)), a -> a >= 0), a -> cast(a as bigint)))"},
+    {"__q_d": "sort_array(transform(filter(if(size(__q_x) = 0, transform(__q_k, (k, j) -> if(k.same or coalesce(get(__q_k, j + 1).same, false), k.at, -1)),"
+              " transform(__q_x, (x, j) -> if(x.s = get(__q_x, j - 1).s or x.s = get(__q_x, j + 1).s, x.i, -1))), a -> a >= 0), a -> cast(a as bigint)))"},
     {
         "n_words": "__q_n",
         "word_chars": "aggregate(__q_w, 0L, (a, x) -> a + length(x))",
@@ -87,7 +95,7 @@ METRICS = tuple(_STEPS[-1])
 
 def measure(docs: DataFrame, text: str = "text", into: str = "__q_metrics") -> DataFrame:
     """Add one struct column with the counts of METRICS."""
-    names = {"text": f"`{text}`", "stops": ", ".join(f"'{w}'" for w in STOP_WORDS)}
+    names = {"text": f"`{text}`", "mask": (1 << PLACE_BITS) - 1, "stops": ", ".join(f"'{w}'" for w in STOP_WORDS)}
     for step in _STEPS[:-1]:
         docs = docs.withColumns({k: F.expr(v.format(**names)) for k, v in step.items()})
     fields = ", ".join(f"'{k}', {v.format(**names)}" for k, v in _STEPS[-1].items())

@@ -82,6 +82,13 @@ def test_quality(docs, edge):
         assert not (r.kept and r.base_failed)
 
 
+def test_quality_is_exact_when_hashes_meet(docs, edge, monkeypatch):
+    """With two bits of hash all long texts hold different windows under one part."""
+    monkeypatch.setattr(quality, "PLACE_BITS", 62)
+    df = both(docs.limit(60), edge.where("doc_id != 5 or doc_id is null"))
+    counted([(r.doc_id, *r[1:6]) for r in quality.digest(df).collect()], [(i, *quality_row(t)) for i, t in rows(df)])
+
+
 def test_quality_filter_keeps_columns(edge, docs):
     out = quality.filter_documents(edge)
     assert out.columns == edge.columns and out.count() == 0
