@@ -1,9 +1,10 @@
 """Quality classifier: importance resampling with hashed n-gram generative models.
 
 Two bag-of-n-grams models are counted over BUCKETS hash buckets of words and word pairs: one over the
-target texts and one over all raw texts. A document's log weight is the sum of log(target / raw) of
-its n-grams, divided by their number to the power LENGTH_POWER. Adding Gumbel noise to the weight and keeping
-the k largest keys draws k documents without replacement with chances in proportion to the weights.
+target texts and one over all raw texts. A document's log weight is the sum of log(target / raw) over
+its n-grams. Adding standard Gumbel noise to the log weight and keeping the k largest keys draws k
+documents one after another, each with a chance in proportion to its weight among those left. k is a
+budget, KEEP of all documents, which no label has a say in.
 
 The target is a bounded sample: the texts of at most TARGET_ROWS rows labelled good, those with the
 least hash of their id. Raw counts and statistics cover all documents. The k-th largest key is found
@@ -24,19 +25,16 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import SPACE_CLASS, prepare, written
 
 BUCKETS = 10_000
 TARGET_ROWS = 20_000
-KEEP = 0.87
+#: Share of the documents that is drawn.
+KEEP = 0.7
 SEED = 17
-#: 1 averages over a text's n-grams, 0 sums; sums favour long texts beyond their worth.
-LENGTH_POWER = 1.0
-#: Weights are multiplied by it before noise is added: large means almost no chance.
-SHARPNESS = 100.0
 REMEMBERED = 500_000
 
 _WORDS = re.compile(f"[^{SPACE_CLASS[1:-1]}]+").findall
@@ -107,7 +105,7 @@ def weigh(spark: SparkSession, docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 g = resample.grams(text)
                 n.append(len(g))
-                weight.append(float(table.value[g.astype(np.int64)].sum() / max(1, len(g)) ** LENGTH_POWER))
+                weight.append(float(table.value[g.astype(np.int64)].sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(weight, pa.float64())], ["doc_id", "crc", "n_grams", "log_weight"])
 
     rows = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
@@ -115,13 +113,14 @@ def weigh(spark: SparkSession, docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def keyed(weights: DataFrame, sharpness: float = SHARPNESS, seed: int = SEED) -> DataFrame:
+def keyed(weights: DataFrame, seed: Column | int = SEED) -> DataFrame:
     """Add gumbel_key, and rank_bits: a long that grows with the key, with ties settled by a hash."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "crc"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    out = weights.withColumn("gumbel_key", F.col("log_weight") * sharpness - F.log(-F.log(u)))
-    # 40 bits of the key in steps of 1e-6 above 23 bits of a hash.
-    step = F.greatest(F.lit(0), F.least(F.lit((1 << 40) - 1), F.floor((F.col("gumbel_key") + 500_000) * 1_000_000)))
-    return out.withColumn("rank_bits", F.shiftleft(step.cast("long"), 23).bitwiseOR(F.shiftrightunsigned(F.xxhash64("crc", "doc_id", F.lit(seed)), 41)))
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    u = (F.shiftrightunsigned(F.xxhash64(seed, "doc_id", "crc"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    out = weights.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
+    # 46 bits of the key in steps of 1e-5 (texts of 10^7 words fit) above 17 bits of a hash.
+    step = F.greatest(F.lit(0), F.least(F.lit((1 << 46) - 1), F.floor((F.col("gumbel_key") + 350_000_000) * 100_000)))
+    return out.withColumn("rank_bits", F.shiftleft(step.cast("long"), 17).bitwiseOR(F.shiftrightunsigned(F.xxhash64("crc", "doc_id", seed), 47)))
 
 
 def cut(keys: DataFrame, k: int) -> tuple[int, int]:
