@@ -3,14 +3,18 @@
 The items are indexed: postings with BM25 impacts, in blocks of items with the largest impact of each
 term in a block. Every document is cut into passages that overlap by half, so that each item that a
 document holds lies whole in one of them. A passage's terms are the query. Impacts are divided by the
-part of the item's own score that a passage must reach, so 1 is the threshold for all items. A
+score that a passage must reach for the item, so 1 is the threshold for all items. That score is the
+least that a passage with OVERLAP of the item's shingles can have: a word that is missing takes a
+shingle of its own with it (one that begins or ends with it), so at most as many words are missing as
+shingles may be, or twice as many where shingles repeat; the dearest ones are taken off. A
 passage is dropped when the largest impacts of its terms do not add up to 1; a block is skipped when
 its largest impacts do not; items of the other blocks get their full scores, and all that reach 1 are
 retrieved. Then the words are compared: a hit holds OVERLAP of the item's 5-word shingles, and of its
 answer's where the benchmark names answers (else the answer counts as part of the question).
 
-The index is cut by size: items are dealt into parts of at most PART_BYTES of text, each broadcast
-and searched in its own pass, so a larger benchmark costs passes, not memory.
+Numbers of items, their mean length and the items of each term are counted over the whole benchmark.
+The index is cut by size: items are dealt into parts of about PART_BYTES of text, each broadcast
+and searched in its own pass, so a larger benchmark costs passes, not memory, and changes no score.
 
 Defined results: null and empty texts hold nothing; items without words are left out. A document with
 an item several times gives one row for the item, with its best passage (the first of a tie).
@@ -29,12 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import prepare
+from lattica.llm.common import prepare, written
 
 SHINGLE = 5
 OVERLAP = 0.8
-#: Part of an item's own BM25 score that retrieves it. Four fifths of its shingles leave more.
-REACH = 0.6
 BLOCK = 16
 PART_BYTES = 8 << 20
 #: Passages for items of up to so many words, doubled for longer ones, are twice as long.
@@ -55,20 +57,20 @@ def _shingles(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """BM25 index of the items of one length class."""
+    """BM25 index of the items of one length class; idf by term, and the mean length, of all items."""
 
-    def __init__(self, items: list, span: int, terms: dict[str, int], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list, span: int, terms: dict[str, int], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
         self.span, self.ids = span, [i for i, _, _ in items]
         words = [np.array([terms[w] for w in q], dtype=np.int64) for _, q, _ in items]
         size = np.array([len(w) for w in words], dtype=float)
         rows = [np.unique(w, return_counts=True) for w in words]
-        df = np.bincount(np.concatenate([t for t, _ in rows]), minlength=len(terms))
-        idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-        own = [idf[t] * n * (k1 + 1) / (n + k1 * (1 - b + b * size[i] / size.mean())) for i, (t, n) in enumerate(rows)]
-        self.self_score = np.array([x.sum() for x in own])
+        own = [idf[t] * n * (k1 + 1) / (n + k1 * (1 - b + b * size[i] / mean)) for i, (t, n) in enumerate(rows)]
+        self.question = [np.unique(_shingles(w, min(SHINGLE, len(w)))) for w in words]
+        self.width = [min(SHINGLE, len(w)) for w in words]
+        self.need = np.array([self._least(x, len(w) - k + 1, len(q)) for x, w, k, q in zip(own, words, self.width, self.question)])
         term = np.concatenate([t for t, _ in rows])
         item = np.repeat(np.arange(len(items)), [len(t) for t, _ in rows])
-        impact = np.concatenate([x / (REACH * x.sum()) for x in own])
+        impact = np.concatenate([x / need for x, need in zip(own, self.need)])
         order = np.lexsort((item, term))
         self.item, self.impact, term = item[order], impact[order], term[order]
         self.at = np.searchsorted(term, np.arange(len(terms) + 1))
@@ -80,12 +82,16 @@ class Index:
         self.blocks = len(items) // BLOCK + 1
         self.block = cell % self.blocks
         self.block_at = np.searchsorted(cell // self.blocks, np.arange(len(terms) + 1))
-        self.question = [np.unique(_shingles(w, min(SHINGLE, len(w)))) for w in words]
-        self.width = [min(SHINGLE, len(w)) for w in words]
         answers = [np.array([terms[w] for w in a], dtype=np.int64) for _, _, a in items]
         self.answer = [np.unique(_shingles(w, min(SHINGLE, len(w)))) if len(w) else None for w in answers]
         self.answer_width = [min(SHINGLE, len(w)) for w in answers]
 
+    @staticmethod
+    def _least(own: np.ndarray, shingles: int, distinct: int) -> float:
+        """The least score of a passage that holds OVERLAP of the distinct shingles."""
+        missing = int((1 - OVERLAP) * distinct + 1e-9) * (1 if shingles == distinct else 2)
+        return float(np.sort(own)[: max(1, len(own) - missing)].sum())
+
     @staticmethod
     def _ranges(at: np.ndarray, terms: np.ndarray) -> np.ndarray:
         n = at[terms + 1] - at[terms]
@@ -114,23 +120,26 @@ class Index:
                 q = np.isin(self.question[i], _shingles(ids[s:e], self.width[i])).mean()
                 a = q if self.answer[i] is None else np.isin(self.answer[i], _shingles(ids[s:e], self.answer_width[i])).mean()
                 if q >= OVERLAP and a >= OVERLAP:
-                    yield i, float(score[i] * REACH * self.self_score[i]), float(q), float(a), int(s)
+                    yield i, float(score[i] * self.need[i]), float(q), float(a), int(s)
 
 
 class Part:
-    """The items of one part, by length class, with one table of terms."""
+    """The items of one part, by length class, with one table of terms. df: items of each term of
+    their questions, in the whole benchmark of `count` items with `mean` words."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], df: dict[str, int], count: int, mean: float):
         split = [(i, _WORDS((q or "").lower()), _WORDS((a or "").lower())) for i, q, a in items]
         split = sorted((x for x in split if x[1]), key=lambda x: str(x[0]))
         self.terms = {w: k for k, w in enumerate(sorted({w for _, q, a in split for w in [*q, *a]}))}
+        seen = np.array([df.get(w, 0) for w in self.terms], dtype=float)
+        idf = np.log1p((count - seen + 0.5) / (seen + 0.5))
         classes: dict[int, list] = {}
         for x in split:
             span = LEAST_SPAN
             while span < max(len(x[1]), len(x[2])):
                 span *= 2
             classes.setdefault(span, []).append(x)
-        self.classes = [Index(x, span, self.terms) for span, x in sorted(classes.items())]
+        self.classes = [Index(x, span, self.terms, idf, mean) for span, x in sorted(classes.items())]
 
     def hits(self, text: str | None) -> dict:
         """Best hit of each item in a text: item_id -> (score, question, answer, first word)."""
@@ -147,14 +156,33 @@ class Part:
         return out
 
 
+def _terms(batches):
+    """A row for each item and term of its question, and one without a term and with the words of the item."""
+    for batch in batches:
+        part, term, n = [], [], []
+        for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = _WORDS((text or "").lower())
+            if words:
+                own = sorted(set(words))
+                part += [k] * (len(own) + 1)
+                term += [None, *own]
+                n += [len(words)] + [1] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(term, pa.string()), pa.array(n, pa.int64())], ["part", "term", "n"])
+
+
 def parts(spark: SparkSession, bench: DataFrame, item: str = "item_id", question: str = "text", answer: str | None = None):
-    """Broadcast parts of at most about PART_BYTES of text each, made one at a time."""
+    """Broadcast parts of about PART_BYTES of text each, made one at a time."""
     size = F.coalesce(F.octet_length(question), F.lit(0)) + (F.coalesce(F.octet_length(answer), F.lit(0)) if answer else 0)
     n = -(-(bench.agg(F.sum(size)).first()[0] or 0) // PART_BYTES) or 1
     columns = [F.col(item), F.col(question), F.col(answer) if answer else F.lit(None).cast("string")]
+    dealt = bench.select(F.pmod(F.xxhash64(item, question), F.lit(n)).cast("int").alias("__part"), *columns)
+    terms = written(spark, dealt.select("__part", question).mapInArrow(_terms, "part int, term string, n long"), "terms")
+    total = terms.where("term is null").agg(F.count("*").alias("n"), F.sum("n").alias("words")).first()
+    df = written(spark, terms.where("term is not null").groupBy("term").agg(F.sum("n").alias("df")), "frequencies")
     for k in range(n):
-        rows = bench.where(F.pmod(F.xxhash64(item, question), F.lit(n)) == k).select(*columns).collect()  # bounded by PART_BYTES
-        yield spark.sparkContext.broadcast(Part([tuple(r) for r in rows]))
+        rows = dealt.where(F.col("__part") == k).drop("__part").collect()  # bounded by PART_BYTES, as are its terms
+        own = df.join(terms.where(F.col("part") == k).select("term").distinct(), "term").collect()
+        yield spark.sparkContext.broadcast(Part([tuple(r) for r in rows], {r.term: r.df for r in own}, total.n, (total.words or 0) / max(1, total.n)))
 
 
 def search(spark: SparkSession, docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", question: str = "text", answer: str | None = None) -> DataFrame:
