@@ -1,19 +1,27 @@
 """Personal data: candidate spans judged by gradient-boosted trees, all in DataFrame expressions.
 
-High-recall generators propose spans that may overlap. Every candidate gets small integer features of
-its format and its context. `fit` counts labelled candidates per feature vector over the whole table
-(one grouped aggregate; the number of vectors is bounded by the product of the features' ranges, see
-MAX_CELLS) and boosts trees on those counts on the driver, which is the same as boosting on all rows.
-A threshold for each kind is calibrated to a precision on the same counts. The trees come back as one
-CASE expression, so scoring runs in the JVM, row by row, without shuffle or Python.
-
-Labels are distant: a candidate with a validator (Luhn sum, octets, digit count) is labelled by it,
-and one without by whether words around it say what it is. Spans of the base rules always stay.
+High-recall generators propose spans that may overlap. Every candidate is seen in two views that share
+nothing. The label view is what can be known of it for certain: for kinds with a validator (octets,
+Luhn sum, number of digits) its verdict, for the others whether a word for the kind stands in or before
+the match. The feature view is format and surroundings without what the label view reads: kinds with a
+validator keep their context words as features, the others do not, and no feature tells a validator's
+verdict or a secret's key word.
+
+`fit` counts candidates per feature vector, label and half (by a checksum of the text) over the whole
+table (one grouped aggregate; the number of vectors is bounded by MAX_CELLS). Trees are boosted on the
+counts of one half on the driver, which is the same as boosting on its rows; the threshold of each kind
+is the least score at which the isotonic rate of true labels in the other half reaches the precision.
+The trees come back as one expression, so scoring runs in the JVM, row by row, without shuffle or Python.
+
+Spans of the base rules always stay. Of the rest, a candidate is added if a word names it, or if its
+score reaches its kind's threshold; one that fails its validator must also stand behind a word for its
+kind. Added spans overlap neither base spans nor better added ones.
 
 Defined results: null text counts as empty and has no span. Repeated rows are treated alike, ties go
 to the earlier span and then to the kind listed first. Null ids and other columns do not matter
 (working columns start with `__p_`). An empty table gives an empty table and an empty model. Texts
-of any length are searched whole; runs of digits of any length are matched without recursion.
+of any length are searched whole, in time that grows with their length: matches are placed by running
+sums in chunks, and only spans of one run of overlaps are compared.
 """
 
 from __future__ import annotations
@@ -22,10 +30,10 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import once
+from lattica.llm.common import once, written
 
 #: Kinds in their order; the first four have base rules.
 KINDS = ("email", "ip", "card", "phone", "email_spelled", "phone_local", "id_number", "secret")
@@ -34,18 +42,18 @@ BASE_KINDS = 4
 #: Possessive forms of the base rules: the same matches, without backtracking over long runs.
 GENERATORS = (
     r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     r"[0-9]++(?:[\x20-][0-9]++)*+",
     r"\+[0-9][\x20().0-9-]+[0-9]",
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]{2,63}){1,4}",
     r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    r"(?i)\b(?:token|api_?key|secret|password|passwd)\b\x20?[=:]\x20?[\"']?[A-Za-z0-9/+_-]{12,256}[\"']?",
+    r"(?i:\b(?:token|api_?key|secret|password|passwd)\b\x20?[=:]\x20?[\"']?[A-Za-z0-9/+_-]{12,256}[\"']?)|(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+_-]{20,256}+(?![A-Za-z0-9/+_-])",
 )
 #: Texts that match none of it have no candidate.
 GATE = r"[0-9@]|[\[(]\x20?at\x20?[\])]|(?i:token|api_?key|secret|passw)"
 
-#: What words before a candidate say, by kind of word; 0 says nothing.
+#: Words that name a kind, and the group of words of each kind.
 CONTEXTS = (
     r"\b(?:e-?mails?|mail|contact|write to|reach)\b",
     r"\b(?:ip|host|server|address|ping)\b",
@@ -54,9 +62,14 @@ CONTEXTS = (
     r"\b(?:ssn|social security|id number|passport)\b",
     r"\b(?:token|key|secret|password|passwd)\b",
 )
-#: Features and their number of values.
-FEATURES = {"kind": 8, "digits": 6, "valid": 2, "context": 7, "open": 2, "shut": 2, "seps": 4, "size": 4}
-MAX_CELLS = math.prod(FEATURES.values())
+GROUP_OF = (0, 1, 2, 3, 0, 3, 4, 5)
+#: Features and their number of values. named: 1 a word for the kind, 2 for another (kinds with a
+#: validator only); mix: 0 no letters, 1 no digits, 2 both, 3 both and both cases.
+FEATURES = {"kind": 8, "named": 3, "open": 2, "shut": 2, "seps": 4, "size": 5, "mix": 4}
+MAX_CELLS = math.prod(FEATURES.values()) * 4
+
+#: Code points of a block of text in `redact`.
+BLOCK = 16384
 
 _DIGITS = "regexp_replace({m}, '[^0-9]', '')"
 _LUHN = (
@@ -64,16 +77,27 @@ _LUHN = (
 )
 
 
+def running(values: str, step: str = "{a} + {b}", chunk: int = 256) -> str:
+    """SQL of the running sum (or other step from 0) before each of an array of int, in chunks, as
+    each step of an aggregate copies what it has gathered."""
+    gather = "aggregate({of}, named_struct('t', 0, 'd', cast(array() as array<int>)), (a, x) -> named_struct('t', {step}, 'd', a.d || array(a.t)){end})"
+    parts = f"transform(sequence(0, (size({values}) - 1) div {chunk}), k -> slice({values}, k * {chunk} + 1, {chunk}))"
+    inner = f"transform({parts}, c -> {gather.format(of='c', step=step.format(a='a.t', b='x'), end='')})"
+    outer = gather.format(of="v", step=step.format(a="a.t", b="x.t"), end=", a -> a.d")
+    return f"transform(array({inner}), v -> transform(array({outer}), o -> flatten(transform(v, (c, i) -> transform(c.d, x -> {step.format(a='get(o, i)', b='x')}))))[0])[0]"
+
+
 def _spans(kind: int, text: str) -> str:
     """All matches of a generator with their places: lengths of the pieces between them add up."""
     rx = GENERATORS[kind].replace("\\", "\\\\").replace("'", "\\'")
-    digits = _DIGITS.format(m="z.m")
+    digits = _DIGITS.format(m="q.m")
     keep = {2: f"length({digits}) between 12 and 19", 3: f"length({digits}) >= 7"}.get(kind, "true")
-    return (
-        f"aggregate(filter(zip_with(regexp_extract_all({text}, '{rx}', 0), split({text}, '{rx}', -1), (m, g) -> named_struct('m', m, 'g', g)), z -> z.m is not null),"
-        " named_struct('at', 0, 'd', cast(array() as array<struct<k:int,s:int,e:int,m:string>>)),"
-        f" (a, z) -> named_struct('at', a.at + length(z.g) + length(z.m), 'd', if({keep}, a.d || array(named_struct('k', {kind}, 's', a.at + length(z.g), 'e', a.at + length(z.g) + length(z.m), 'm', z.m)), a.d)), a -> a.d)"
-    )
+    found = f"zip_with(regexp_extract_all({text}, '{rx}', 0), split({text}, '{rx}', -1), (m, g) -> named_struct('m', coalesce(m, ''), 'g', g))"
+    # What is around a match comes from the pieces, as a substring of the text would walk up to it each time.
+    around = "'b', lower(right(concat(coalesce(get(z, j - 1).m, ''), x.g), 32)), 'a', left(concat(get(z, j + 1).g, get(z, j + 1).m), 1)"
+    placed = f"transform(z, (x, j) -> named_struct('k', {kind}, 's', get(w, j) + length(x.g), 'e', get(w, j) + length(x.g) + length(x.m), 'm', x.m, {around}))"
+    widths = "transform(z, x -> length(x.g) + length(x.m))"
+    return f"filter(transform(array({found}), z -> transform(array(transform(array({widths}), y -> {running('y')})[0]), w -> {placed})[0])[0], q -> q.m != '' and {keep})"
 
 
 _VALID = (
@@ -86,29 +110,33 @@ _VALID = (
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add `__p_c`: array of candidates (k kind, s start, e end, v valid, and the features f_...)."""
+    """Add `__p_c`: array of candidates (k kind, s start, e end, v valid, y label, and the features
+    f_...), and `__p_h`, the half that the text belongs to."""
     docs = docs.withColumn("__p_t", F.expr(f"coalesce(`{text}`, '')"))
     gate = GATE.replace("\\", "\\\\")
-    empty = "cast(array() as array<struct<k:int,s:int,e:int,m:string>>)"
+    empty = "cast(array() as array<struct<k:int,s:int,e:int,m:string,b:string,a:string>>)"
     found = " || ".join(_spans(k, "__p_t") for k in range(len(KINDS)))
     docs = docs.withColumn("__p_r", F.expr(f"if(__p_t rlike '{gate}', {found}, {empty})"))
+    value = "if(c.k = 7, regexp_extract(c.m, '([A-Za-z0-9/+_-]+)[^A-Za-z0-9/+_-]?$', 1), c.m)"
     docs = docs.withColumn(
         "__p_v",
         F.expr(
-            f"transform(__p_r, c -> named_struct('k', c.k, 's', c.s, 'e', c.e, 'm', c.m, 'v', {_VALID},"
-            f" 'd', length({_DIGITS.format(m='c.m')}), 'b', lower(substring(__p_t, greatest(1, c.s - 31), least(32, c.s))), 'a', substring(__p_t, c.e + 1, 1)))"
+            f"transform(__p_r, c -> named_struct('k', c.k, 's', c.s, 'e', c.e, 'm', {value}, 'v', {_VALID}, 'i', c.k = 7 and length(c.m) > length({value}),"
+            " 'b', c.b, 'a', c.a))"
         ),
     )
-    context = "case " + " ".join("when c.b rlike '{}' then {}".format(rx.replace("\\", "\\\\"), i + 1) for i, rx in enumerate(CONTEXTS)) + " else 0 end"
-    return docs.withColumn(
+    names = "array({})".format(", ".join("c.b rlike '{}'".format(rx.replace("\\", "\\\\")) for rx in CONTEXTS))
+    docs = docs.withColumn("__p_v", F.expr(f"transform(__p_v, c -> named_struct('c', c, 'n', {names}))"))
+    own = "element_at(q.n, element_at(array({}), q.c.k + 1))".format(", ".join(str(g + 1) for g in GROUP_OF))
+    return docs.withColumn("__p_h", F.expr("cast(crc32(cast(__p_t as binary)) % 2 as int)")).withColumn(
         "__p_c",
         F.expr(
-            "transform(__p_v, c -> named_struct('k', c.k, 's', c.s, 'e', c.e, 'v', c.v, 'f_kind', c.k,"
-            " 'f_digits', case when c.d = 0 then 0 when c.d < 7 then 1 when c.d < 9 then 2 when c.d < 12 then 3 when c.d < 16 then 4 else 5 end,"
-            f" 'f_valid', cast(c.v as int), 'f_context', {context},"
-            " 'f_open', cast(c.b = '' or right(c.b, 1) rlike '[^a-z0-9]' as int), 'f_shut', cast(c.a rlike '^[^A-Za-z0-9]?$' as int),"
-            " 'f_seps', least(3, length(c.m) - length(regexp_replace(c.m, '[ ().-]', ''))),"
-            " 'f_size', case when length(c.m) < 8 then 0 when length(c.m) < 16 then 1 when length(c.m) < 32 then 2 else 3 end))"
+            f"transform(__p_v, q -> named_struct('k', q.c.k, 's', q.c.s, 'e', q.c.e, 'v', q.c.v, 'y', if(q.c.k < {BASE_KINDS}, q.c.v, {own} or q.c.i), 'f_kind', q.c.k,"
+            f" 'f_named', case when q.c.k >= {BASE_KINDS} then 0 when {own} then 1 when exists(q.n, x -> x) then 2 else 0 end,"
+            " 'f_open', cast(q.c.k = 7 or q.c.b = '' or right(q.c.b, 1) rlike '[^a-z0-9]' as int), 'f_shut', cast(q.c.k = 7 or q.c.a rlike '^[^A-Za-z0-9]?$' as int),"
+            " 'f_seps', least(3, length(q.c.m) - length(regexp_replace(q.c.m, '[ ().-]', ''))),"
+            " 'f_size', case when length(q.c.m) < 8 then 0 when length(q.c.m) < 16 then 1 when length(q.c.m) < 24 then 2 when length(q.c.m) < 36 then 3 else 4 end,"
+            " 'f_mix', case when not q.c.m rlike '[A-Za-z]' then 0 when not q.c.m rlike '[0-9]' then 1 when q.c.m rlike '[a-z]' and q.c.m rlike '[A-Z]' then 3 else 2 end))"
         ),
     ).drop("__p_r", "__p_v")
 
@@ -119,7 +147,9 @@ class Model:
 
     start: float = 0.0
     trees: list = field(default_factory=list)
-    thresholds: tuple = (0.5,) * len(KINDS)
+    thresholds: tuple = (1.0,) * len(KINDS)
+    #: By kind, in the half that thresholds are taken from: candidates, labels, candidates chosen, labels among them.
+    report: dict = field(default_factory=dict)
 
     def sql(self, c: str = "c") -> str:
         def of(t):
@@ -145,22 +175,30 @@ def _calibrated(score: np.ndarray, n: np.ndarray, y: np.ndarray, precision: floa
     return float(next((s - 1e-9 for s, c, t in pools if t >= precision * c), 1.0))
 
 
-def fit(docs: DataFrame, text: str = "text", trees: int = 16, depth: int = 3, rate: float = 0.4, precision: float = 0.9) -> Model:
-    """Count labelled candidates per feature vector over all documents, then boost on the counts."""
-    label = f"if(c.k < {BASE_KINDS}, c.v, c.f_context > 0 or c.k >= 6)"
+def fit(docs: DataFrame, text: str = "text", **settings) -> Model:
+    """Count labelled candidates over all documents, then boost on one half and calibrate on the other."""
+    return boost(candidates(docs.select(text), text), **settings)
+
+
+def boost(found: DataFrame, trees: int = 16, depth: int = 3, rate: float = 0.4, precision: float = 0.9) -> Model:
+    """The model of a table of `candidates`."""
     names = list(FEATURES)
+    listed = ", ".join(f"'{n}', c.f_{n}" for n in names)
     cells = (
-        candidates(docs.select(text), text)
-        .select(F.expr(f"explode(transform(__p_c, c -> named_struct({', '.join(f"'{n}', c.f_{n}" for n in names)}, 'y', cast({label} as int))))").alias("x"))
-        .groupBy(*(F.col("x")[n].alias(n) for n in names))
+        found.select(F.expr(f"explode(transform(__p_c, c -> named_struct({listed}, 'half', __p_h, 'y', cast(c.y as int))))").alias("x"))
+        .groupBy(*(F.col("x")[n].alias(n) for n in (*names, "half")))
         .agg(F.count("*").alias("n"), F.sum("x.y").alias("y"))
         .collect()  # at most MAX_CELLS rows
     )
     if not cells:
         return Model()
-    cells.sort(key=lambda r: tuple(r[k] for k in names))
-    x = {k: np.array([r[k] for r in cells]) for k in names}
-    n, y = (np.array([r[k] for r in cells], dtype=float) for k in ("n", "y"))
+    cells.sort(key=lambda r: tuple(r[k] for k in (*names, "half")))
+    every = {k: np.array([r[k] for r in cells]) for k in names}
+    taught = np.array([r["half"] == 0 for r in cells])
+    if not taught.any():
+        return Model()
+    n_all, y_all = (np.array([r[k] for r in cells], dtype=float) for k in ("n", "y"))
+    x, n, y = {k: v[taught] for k, v in every.items()}, n_all[taught], y_all[taught]
     base = (y.sum() + 1) / (n.sum() + 2)
     model = Model(start=float(math.log(base / (1 - base))))
     splits = [(k, v) for k in names for v in range(FEATURES[k] - 1)]
@@ -180,31 +218,39 @@ def fit(docs: DataFrame, text: str = "text", trees: int = 16, depth: int = 3, ra
 
     for _ in range(trees):
         p = model.score(x)
-        model.trees.append(grow(np.ones(len(cells), bool), y - n * p, n * p * (1 - p), depth))
-    score, limits = model.score(x), []
-    for k in range(len(KINDS)):
-        own = np.flatnonzero(x["kind"] == k)
-        limits.append(_calibrated(score[own], n[own], y[own], precision))
+        model.trees.append(grow(np.ones(len(n), bool), y - n * p, n * p * (1 - p), depth))
+    score, limits = model.score(every), []
+    for k, kind in enumerate(KINDS):
+        own = np.flatnonzero((every["kind"] == k) & ~taught)
+        limits.append(_calibrated(score[own], n_all[own], y_all[own], precision))
+        taken = own[score[own] >= limits[-1]]
+        model.report[kind] = tuple(int(v.sum()) for v in (n_all[own], y_all[own], n_all[taken], y_all[taken]))
     model.thresholds = tuple(limits)
     return model
 
 
 def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add `__p_base` (spans of the base rules) and `__p_all` (with what the model adds): arrays of
-    (s, k, e), by start and kind. Added spans overlap neither base spans nor better added ones."""
+    """Add `__p_base` (spans of the base rules) and `__p_all` (with what is added): arrays of
+    (s, k, e), by start and kind."""
+    return choose(candidates(docs, text), model)
+
+
+def choose(found: DataFrame, model: Model) -> DataFrame:
+    """`__p_base` and `__p_all` of a table of `candidates`."""
     limit = "element_at(array({}), c.k + 1)".format(", ".join(f"{t!r}D" for t in model.thresholds))
-    span = "transform(filter({}, c -> {}), c -> named_struct('s', c.s, 'k', c.k, 'e', c.e))"
-    docs = candidates(docs, text)
-    docs = docs.withColumn("__p_base", once(F.expr(f"array_sort({span.format('__p_c', f'c.k < {BASE_KINDS} and c.v')})")))
-    docs = docs.withColumn("__p_q", F.expr(f"transform(filter(__p_c, c -> not (c.k < {BASE_KINDS} and c.v)), c -> named_struct('s', c.s, 'k', c.k, 'e', c.e, 'p', {model.sql()}, 'l', {limit}))"))
-    docs = docs.withColumn(
-        "__p_q",
-        F.expr(
-            "filter(__p_q, c -> c.p >= c.l and not exists(__p_base, b -> b.s < c.e and c.s < b.e)"
-            " and not exists(__p_q, o -> o.p >= o.l and o.s < c.e and c.s < o.e and (o.p > c.p or (o.p = c.p and (o.s < c.s or (o.s = c.s and o.k < c.k))))))"
-        ),
-    )
-    return docs.withColumn("__p_all", once(F.expr("array_sort(__p_base || transform(__p_q, c -> named_struct('s', c.s, 'k', c.k, 'e', c.e)))"))).drop("__p_c", "__p_q")
+    fixed = f"c.k < {BASE_KINDS} and c.v"
+    found = found.withColumn("__p_base", once(F.expr(f"array_sort(transform(filter(__p_c, c -> {fixed}), c -> named_struct('s', c.s, 'k', c.k, 'e', c.e)))")))
+    # All spans that may stay, by start; p is 2 for base spans, so that they win.
+    wanted = f"(c.k >= {BASE_KINDS} and c.y) or ((c.k >= {BASE_KINDS} or c.f_named = 1) and {model.sql()} >= {limit})"
+    found = found.withColumn("__p_q", F.expr(f"array_sort(transform(filter(__p_c, c -> ({fixed}) or {wanted}), c -> named_struct('s', c.s, 'k', c.k, 'e', c.e, 'b', {fixed}, 'p', if({fixed}, 2D, {model.sql()}))))"))
+    # The furthest end before each; runs of overlapping spans begin where it is passed.
+    found = found.withColumn("__p_e", once(F.expr(f"transform(array(transform(__p_q, c -> c.e)), y -> {running('y', 'greatest({a}, {b})')})[0]")))
+    found = found.withColumn("__p_f", once(F.expr("filter(transform(__p_q, (c, i) -> if(c.s >= get(__p_e, i), i, -1)), i -> i >= 0)")))
+    better = "o.s < c.e and c.s < o.e and (o.p > c.p or (o.p = c.p and (o.s < c.s or (o.s = c.s and o.k < c.k))))"
+    runs = "transform(__p_f, (i, j) -> slice(__p_q, i + 1, coalesce(get(__p_f, j + 1), size(__p_q)) - i))"
+    kept = f"flatten(transform({runs}, r -> if(size(r) = 1, r, filter(r, c -> c.b or not exists(r, o -> {better})))))"
+    found = found.withColumn("__p_all", once(F.expr(f"array_sort(transform({kept}, c -> named_struct('s', c.s, 'k', c.k, 'e', c.e)))")))
+    return found.drop("__p_c", "__p_q", "__p_e", "__p_f", "__p_h")
 
 
 _KIND = "element_at(array({}), c.k + 1)".format(", ".join(f"'{k}'" for k in KINDS))
@@ -214,20 +260,22 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with every found span replaced by its kind in brackets; overlapping spans become
     one. Null texts stay null."""
     found = find(docs, model, text)
-    # The text before each span, its mark, and at the end the rest.
-    parts = (
-        "aggregate(__p_all, named_struct('at', 0, 'x', cast(array() as array<string>)),"
-        f" (a, c) -> if(c.s < a.at, named_struct('at', greatest(a.at, c.e), 'x', a.x),"
-        f" named_struct('at', c.e, 'x', a.x || array(substring(__p_t, a.at + 1, c.s - a.at), concat('[', upper({_KIND}), ']')))),"
-        " a -> array_join(a.x || array(substring(__p_t, a.at + 1)), ''))"
-    )
-    return found.select(*(F.expr(f"if(size(__p_all) = 0, `{c}`, {parts})").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
-
-
-def digest(docs: DataFrame) -> DataFrame:
-    docs = docs.select("doc_id", "text")
+    # The furthest end before each span, and the text in blocks, as a substring walks up to its place.
+    found = found.withColumns({
+        "__p_e": once(F.expr(f"transform(array(transform(__p_all, c -> c.e)), y -> {running('y', 'greatest({a}, {b})')})[0]")),
+        "__p_b": once(F.expr(f"if(size(__p_all) = 0, array(), transform(sequence(0, length(__p_t) div {BLOCK}), k -> substring(__p_t, k * {BLOCK} + 1, {BLOCK})))")),
+    })
+    piece = f"substring(array_join(slice(__p_b, {{a}} div {BLOCK} + 1, {{b}} div {BLOCK} - {{a}} div {BLOCK} + 1), ''), {{a}} % {BLOCK} + 1, {{b}} - {{a}})"
+    # Of each span the text before it and its mark, or nothing if it begins within another.
+    marks = f"transform(__p_all, (c, i) -> if(c.s < get(__p_e, i), '', concat({piece.format(a='get(__p_e, i)', b='c.s')}, '[', upper({_KIND}), ']')))"
+    text_ = f"concat(array_join({marks}, ''), substring(__p_t, array_max(transform(__p_all, c -> c.e)) + 1))"
+    return found.select(*(F.expr(f"if(size(__p_all) = 0, `{c}`, {text_})").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+
+
+def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    found = written(spark, candidates(docs.select("doc_id", "text")).select("doc_id", "__p_c", "__p_h"), "candidates")
     listed = f"array_join(transform({{}}, c -> concat({_KIND}, ':', c.s, ':', c.e)), ',')"
-    return find(docs, fit(docs)).select(
+    return choose(found, boost(found)).select(
         "doc_id",
         *(F.expr(f"cast(size(filter(__p_base, c -> c.k = {k})) as bigint)").alias(f"n_{KINDS[k]}") for k in range(BASE_KINDS)),
         F.sha2(F.expr(listed.format("__p_base")), 256).alias("base_sha256"),

@@ -11,7 +11,7 @@ def op1_virtual_slot_shards(spark, sf_dir):
 
 
 def op2_pii_candidate_boosting(spark, sf_dir):
-    return pii.digest(table(spark, sf_dir, "documents"))
+    return pii.digest(spark, table(spark, sf_dir, "documents"))
 
 
 def op3_importance_resampling(spark, sf_dir):

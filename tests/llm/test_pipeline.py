@@ -61,10 +61,10 @@ def test_decontamination(stages, spark):
     assert ids(after) == want and len(want) < before.count()
 
 
-def test_personal_data(stages):
+def test_personal_data(stages, spark):
     _, before, after = stages[3]
     assert ids(before) == ids(after)
-    left = pii.digest(after).agg(*(F.sum(f"n_{k}") for k in pii.KINDS[:4])).first()
+    left = pii.digest(spark, after).agg(*(F.sum(f"n_{k}") for k in pii.KINDS[:4])).first()
     assert not any(left)
 
 
