@@ -1,8 +1,9 @@
 """Sharding by fixed virtual slots.
 
 Records are hashed into SLOTS virtual slots, which never change. A grouped aggregate counts rows and
-bytes of each slot (at most SLOTS rows, whatever the input), and a small versioned map says which
-shard holds which slot. Balancing edits the map only; a new version lists the slots that move.
+bytes of each slot (at most SLOTS rows, whatever the input), and a small versioned map, stored as a
+table, says which shard holds which slot. Version 1 deals slots in turn, blind to bytes. Balancing and
+growing edit the latest stored version only, and store the edit as the next one.
 
 Defined results: a null text has no bytes and the checksum of the empty text. Null and repeated ids
 are told apart by checksum and size, so that they spread as far as their texts differ; equal rows
@@ -14,11 +15,15 @@ an empty table and a map with all slots dealt in turn.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.llm.common import shared_dir
+
 SLOTS = 16384
 ROW_BYTES = 16
 
@@ -31,6 +36,11 @@ class SlotMap:
     shards: int
     version: int = 1
 
+    @classmethod
+    def dealt(cls, shards: int, slots: int = SLOTS) -> SlotMap:
+        """Slots in turn, before any bytes are known."""
+        return cls(tuple(k % shards for k in range(slots)), shards)
+
     @classmethod
     def fresh(cls, slot_bytes: dict[int, int], shards: int, slots: int = SLOTS) -> SlotMap:
         """Largest slots first, each to the shard with the fewest bytes; then `balanced`."""
@@ -47,7 +57,7 @@ class SlotMap:
             out[self.shard_of[slot]] += n
         return out
 
-    def balanced(self, slot_bytes: dict[int, int], tolerance: float = 0.01) -> SlotMap:
+    def balanced(self, slot_bytes: dict[int, int], tolerance: float = 0.001) -> SlotMap:
         """Move slots from the fullest to the emptiest shard while that narrows the gap by more than
         the tolerance; the version rises if any slot moved."""
         out, loads = list(self.shard_of), self.loads(slot_bytes)
@@ -141,11 +151,26 @@ def place(spark: SparkSession, rows: DataFrame, slot_map: SlotMap, stats: dict[i
     return rows.withColumn("__s_rank", F.row_number().over(order) - 1).join(starts, "__s_slot").withColumn("place", F.col("__s_first") + F.col("__s_rank"))
 
 
-def digest(spark: SparkSession, docs: DataFrame, shards: int = 40) -> DataFrame:
+def rebalanced(spark: SparkSession, slot_bytes: dict[int, int], shards: int, path: str) -> SlotMap:
+    """The latest map stored at the path (version 1 where there is none), balanced for the bytes; an
+    edit is stored as the next version. What is used is what was stored."""
+    try:
+        now = SlotMap.load(spark, path)
+    except AnalysisException:  # no map yet
+        SlotMap.dealt(shards).save(spark, path)
+        now = SlotMap.load(spark, path)
+    after = now.balanced(slot_bytes)
+    if after.version > now.version:
+        after.save(spark, path)
+    return SlotMap.load(spark, path, after.version)
+
+
+def digest(spark: SparkSession, docs: DataFrame, shards: int = 40, path: str | None = None) -> DataFrame:
+    """path: of the stored slot map; a new one in the shared folder if not given."""
     docs = docs.select("doc_id", "text")
     stats = slot_stats(docs)
     load = {k: b for k, (_, b) in stats.items()}
-    slot_map = SlotMap.fresh(load, shards).balanced(load)
+    slot_map = rebalanced(spark, load, shards, path or f"{shared_dir(spark).rstrip('/')}/slots-{uuid.uuid4().hex}")
     rows = slotted(docs).drop("text")
     return place(spark, rows, slot_map, stats).select(
         "doc_id",
