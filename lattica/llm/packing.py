@@ -1,15 +1,22 @@
 """Best-fit packing in bulk-synchronous rounds.
 
-Lengths are whole numbers from 1 to `room`, so the range-sorted lists of pieces and of gaps are kept
-run-length encoded: a grouped aggregate counts the pieces of each length (at most `room` rows), and
-the rounds of best fit run on those counts. In a round the longest unplaced length sweeps to its
-successor, the smallest gap that takes it; pieces and gaps of the two runs are matched by rank, the
-gaps shrink and the next round begins. A round's outcome is one row: ranks of pieces, numbers of
-sequences, place. One pass over the pieces then looks up each piece's row by its length and rank.
+Pieces and gaps are range-sorted tables, and as lengths are whole numbers from 1 to `room` their rows
+are runs: so many pieces of a length from a rank on, so many sequences with a gap from a number on. A
+grouped aggregate makes the pieces' runs (at most `room` rows, whatever the input).
+
+A round sweeps both tables from the largest size down. A piece's successor is the smallest gap that
+takes it and that no larger piece of the round has taken; a gap takes as many pieces of the run as
+fit. The sweep is done in ranges of sizes side by side; what finds no partner in its range goes on to
+a second sweep over the ranges, which gives the same pairs as one sweep over all. Pieces and gaps of
+two runs are matched by rank, so no two want the same place. Then the gaps shrink, sequences are
+opened for pieces longer than any gap (as few as hold them), and the next round begins, until no piece
+is left. Each round is a table in the shared folder, and only sums reach the driver on the way. At the
+end the rounds' matches are broadcast (a row a run and round), and one pass over the pieces looks up
+each piece's row by its length and rank.
 
 Ranks come from a salted count (pieces of a length are numbered within SALTS parts), so that a
-length shared by a third of all pieces still spreads. The plan has at most one row a round and run
-of gaps, never more than there are pieces, and at most `room` * (`room` + 1) / 2 rounds.
+length shared by a third of all pieces still spreads. There are about as many rounds as a sequence
+holds different lengths.
 
 Defined results: a null or empty text is the end token alone. Only documents longer than a sequence
 are cut. Repeated rows are separate documents; ties are settled by salt and order within it. Null
@@ -31,6 +38,8 @@ from lattica.llm.common import prepare, written
 
 ROOM = 4096
 SALTS = 512
+#: Ranges of sizes that are swept side by side.
+RANGES = 8
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Chunks of text remembered in a worker, then forgotten together.
@@ -188,43 +197,85 @@ def pieces(spark: SparkSession, docs: DataFrame, path: str | None = None, room:
     return docs.select("text", "doc_id").mapInArrow(_cutter(path or tokenizer_path(), room, end_id), schema)
 
 
-def plan(counts: dict[int, int], room: int = ROOM) -> np.ndarray:
-    """Rounds of best fit on the counts of lengths: rows (length, first rank, number, first sequence,
-    offset). Sequences of one row follow each other, one piece each."""
-    gaps: list[list[list[int]]] = [[] for _ in range(room + 1)]  # by gap: [first sequence, number]
-    full = np.zeros(room + 1, dtype=bool)
-    rows, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            near = np.flatnonzero(full[length:])
-            if len(near):
-                gap = length + int(near[0])
-                runs = gaps[gap]
-                first, number = runs.pop()
-                if number > left:
-                    runs.append([first + left, number - left])
-                    number = left
-            else:  # new sequences, as many as these pieces fill
-                gap, first = room, opened
-                number = -(-left // (room // length))
-                opened += number
-            rows.append((length, rank, number, first, room - gap))
-            rank, left = rank + number, left - number
-            full[gap] = bool(gaps[gap])
-            if gap > length:
-                to = gaps[gap - length]
-                if to and to[-1][0] + to[-1][1] == first:
-                    to[-1][1] += number
-                else:
-                    to.append([first, number])
-                full[gap - length] = True
-    return np.array(rows, dtype=np.int64).reshape(-1, 5)
+_RUNS = "size int, kind int, at long, n long, gap int, first long, q int"
+GAP, PIECE, MATCH = 0, 1, 2
+
+
+def _sweep(batches):
+    """Matches of runs that come sorted by range, size (largest first), kind and number; what has no
+    partner in its range is passed on as it is left, and matches of an earlier sweep as they are."""
+    names = [x.split()[0] for x in _RUNS.split(", ")]
+    out, stack, now = [], [], None
+
+    def left():
+        out.extend((size, GAP, at, n, None, None, None) for size, at, n in stack)
+        stack.clear()
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            part, size, kind, at, n, *_ = row
+            if part != now:
+                left()
+                now = part
+            if kind == MATCH:
+                out.append(row[1:])
+                continue
+            if kind == GAP:
+                stack.append([size, at, n])
+                continue
+            while n and stack:
+                gap, first, have = stack[-1]
+                q = gap // size  # at least 1: gaps on the stack are not smaller
+                full = min(have, n // q)
+                take, used = (full * q, full) if full else (n, 1)
+                out.append((size, MATCH, at, take, gap, first, q if full else n))
+                at, n = at + take, n - take
+                stack[-1][1:] = first + used, have - used
+                if have == used:
+                    stack.pop()
+            if n:
+                out.append((size, PIECE, at, n, None, None, None))
+    left()
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], names)
+
+
+def rounds(spark: SparkSession, counts: DataFrame, room: int = ROOM) -> np.ndarray:
+    """Rounds of best fit on counts (length, n): rows (length, first rank, first sequence, offset,
+    pieces in a sequence). Sequences of a row follow each other."""
+
+    def swept(runs, part):
+        runs = runs.select(part.alias("part"), *(x.split()[0] for x in _RUNS.split(", ")))
+        return runs.repartition("part").sortWithinPartitions("part", F.desc("size"), "kind", "at").mapInArrow(_sweep, _RUNS)
+
+    none = lambda *names: [F.lit(None).cast(t).alias(n) for n, t in names]
+    match = none(("gap", "int"), ("first", "long"), ("q", "int"))
+    state = counts.select(F.col("length").cast("int").alias("size"), F.lit(PIECE).alias("kind"), F.lit(0).cast("long").alias("at"), "n", *match)
+    opened, done, wide = 0, [], -(-(room + 1) // RANGES)
+    while True:
+        top = state.agg(F.max(F.when(F.col("kind") == GAP, F.col("size"))).alias("gap"), F.max(F.when(F.col("kind") == PIECE, F.col("size"))).alias("piece")).first()
+        if top.piece is None:
+            break
+        if top.piece > (top.gap or 0):
+            over = state.where((F.col("kind") == PIECE) & (F.col("size") > (top.gap or 0))).agg(F.sum(F.col("size") * F.col("n"))).first()[0]
+            more = -(-over // room)
+            fresh = [F.lit(room).alias("size"), F.lit(GAP).alias("kind"), F.lit(opened).cast("long").alias("at"), F.lit(more).cast("long").alias("n"), *match]
+            state, opened = state.unionByName(spark.range(1).select(*fresh)), opened + more
+        found = swept(swept(state, F.floor(F.col("size") / wide).cast("int")), F.lit(0))
+        found = written(spark, found, "round")
+        matched = found.where(F.col("kind") == MATCH)
+        done.append(matched)
+        shrunk = matched.where(F.col("gap") > F.col("q") * F.col("size")).select(
+            (F.col("gap") - F.col("q") * F.col("size")).alias("size"), F.lit(GAP).alias("kind"), F.col("first").alias("at"), F.floor(F.col("n") / F.col("q")).alias("n"), *match
+        )
+        state = found.where(F.col("kind") != MATCH).unionByName(shrunk)
+    rows = [c.to_numpy() for m in done for c in [m.select("size", "at", "first", (F.lit(room) - F.col("gap")).cast("long").alias("offset"), "q").toArrow()] for c in c.columns]
+    return np.concatenate([np.stack(rows[k : k + 5], 1).astype(np.int64) for k in range(0, len(rows), 5)]) if rows else np.zeros((0, 5), np.int64)
 
 
 def _placer(rounds):
     def run(batches):
-        length, rank, _, first, offset = rounds.value.T
+        length, rank, first, offset, q = rounds.value.T
         key = length * (1 << 40) + rank
         order = np.argsort(key)
         key = key[order]
@@ -234,7 +285,7 @@ def _placer(rounds):
             l, r = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             at = order[np.searchsorted(key, l * (1 << 40) + r, side="right") - 1]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], pa.array(l), pa.array(first[at] + r - rank[at]), pa.array(offset[at])],
+                [*batch.columns[2:], pa.array(l), pa.array(first[at] + (r - rank[at]) // q[at]), pa.array(offset[at] + (r - rank[at]) % q[at] * l)],
                 ["doc_id", "piece", "start", "ids_crc32", "length", "sequence_id", "offset"],
             )
 
@@ -248,12 +299,11 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, room: in
     per_salt = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_salt.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))  # at most SALTS rows a length
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `room` rows
-    rounds = spark.sparkContext.broadcast(plan(counts, room))
+    matches = spark.sparkContext.broadcast(rounds(spark, cut.groupBy("length").agg(F.count("*").alias("n")), room))
     own = Window.partitionBy("length", "salt").orderBy("ids_crc32", "doc_id", "piece")
     ranked = cut.withColumn("own", F.row_number().over(own) - 1).join(starts.select("length", "salt", "before"), ["length", "salt"])
     schema = T.StructType([cut.schema["doc_id"]]).add("piece", "integer").add("start", "long").add("ids_crc32", "long").add("length", "long").add("sequence_id", "long").add("offset", "long")
-    return ranked.select("length", (F.col("own") + F.col("before")).alias("rank"), "doc_id", "piece", "start", "ids_crc32").mapInArrow(_placer(rounds), schema)
+    return ranked.select("length", (F.col("own") + F.col("before")).alias("rank"), "doc_id", "piece", "start", "ids_crc32").mapInArrow(_placer(matches), schema)
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
