@@ -2,19 +2,22 @@
 
 A bigram model of words (texts end with an end token) is held in Bloom filters of quantised counts:
 level i holds every n-gram with a count of at least 2 ** i, so a count is read by probing levels
-upwards until one says no. Bigrams are dealt by hash into parts whose number grows with the corpus.
-All of a text's bigrams go there once, with what else their chances need; a part counts those that
-train, makes its filters of all levels, probes them for all its bigrams and gives the sums of each
-text back. So no bigram filter leaves its part, and no level is left out. The filters of words are
-broadcast: they grow with the vocabulary.
+upwards until one says no. Filters are dealt into parts whose number grows with the corpus, and no
+part leaves its worker: all bigrams of a text go to their parts once, where those that train are
+counted, filters of all levels are made and probed for all bigrams, and the sums of each text go back.
+No level, word or bigram is left out, and nothing that grows with the vocabulary is broadcast.
 
 P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU) with P(w) = (c(w) + 1) / (N + V + 1). Counts read from
-the filter are the lower ends of their steps, so the chances of all w add up to 1 at most, false
-positives aside.
+the filters are the lower ends of their steps, so the chances of all w add up to 1 at most, false
+positives aside. A text begins behind an end token and ends with one, so the words that are foreseen
+and the words before them are the same ones, and the sum of log(c(v) + MU) can be taken over the
+words foreseen. So a bigram needs c(v w) and c(w) only: bigrams are dealt by their word, whose part
+counts it too. Bigrams of the HEAD most frequent words, whose counts are broadcast, are dealt by
+both words, so no frequent word lies in one part.
 
 The exact unigram counts of the base score come from a table of counts: the HEAD most frequent
-tokens are broadcast (at most HEAD), and the other tokens of a text join the table by token, once
-for each text and token.
+tokens of at most HEAD_BYTES bytes are broadcast, and the other tokens of a text join the table by
+token, once for each text and token.
 
 Defined results: a null or empty text is the end token alone. A null id counts as empty text in the
 hash that picks held-out rows (so it trains). Repeated rows are scored each, and train each. Ties in
@@ -37,12 +40,12 @@ from lattica.llm.common import prepare, written
 
 #: The end token cannot be a word, as it is white space.
 END = b"\n"
-HEAD = 150_000
+HEAD, HEAD_BYTES = 150_000, 64
 #: Bits for each n-gram of a level, and bits set for it in one 64-bit word of the filter.
 BITS_EACH, SET_BITS = 12, 4
 LEVELS = 40
-#: Of filters that `train` gathers with pairs, which scoring does not.
-MAX_BYTES = 32 << 20
+#: Bits of a bigram's number that tell its first word, if it is dealt by its second, whose bits are above.
+PAIR_BITS = 28
 MU = 6.0
 #: Bigrams of a part, about.
 PART = 4_000_000
@@ -65,21 +68,6 @@ def is_held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-class _Hashes(dict):
-    def __missing__(self, word):
-        h = self[word] = xxhash.xxh64_intdigest(word, 3)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > HELD:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def pair_hashes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Of each token with the one before it; a text begins after an end token."""
     before = np.empty_like(h)
@@ -108,26 +96,6 @@ def _count_words(batches):
     yield out()
 
 
-def _count_pairs(batches):
-    from lattica.llm import lm
-
-    held, size = [], 0
-
-    def out():
-        v, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
-
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), lm.texts(batch.column(1))):
-            if not is_held_out(key):
-                held.append(lm.pair_hashes(lm.hashes(lm.tokens(text)), np.zeros(1, np.int64)))
-                size += len(held[-1])
-        if size > 1_500_000:
-            yield out()
-            held, size = [], 0
-    yield out()
-
-
 def _levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(counts).astype(np.int64), LEVELS - 1)
 
@@ -156,129 +124,59 @@ def build(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _filters(order: int, parts: int):
-    """Filters of all levels of each part. Rows come sorted by part, so one part is held at a time."""
-
-    def made(part, grams, counts):
-        order_ = np.argsort(grams)
-        grams, counts = grams[order_], counts[order_]
-        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        v, level = grams[first], _levels(np.add.reduceat(counts, first))
-        for k in range(int(level.max(initial=-1)) + 1):
-            h = v[level >= k]
-            yield order, part, k, len(h), build(h).tobytes()
-
-    def run(batches):
-        now, grams, counts = -1, [], []
-
-        def done():
-            if grams:
-                yield from made(now, np.concatenate(grams), np.concatenate(counts))
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Low bits, which place in a filter does not use."""
+    return (h & np.uint64(parts - 1)).astype(np.int64)
 
-        for batch in batches:
-            p, g, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for part in np.unique(p):
-                if part != now:
-                    rows = list(done())
-                    if rows:
-                        yield _rows(rows)
-                    now, grams, counts = int(part), [], []
-                grams.append(g[p == part].view(np.uint64))
-                counts.append(n[p == part])
-        rows = list(done())
-        if rows:
-            yield _rows(rows)
-
-    def _rows(rows):
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["ord", "part", "level", "n", "bits"])
 
-    return run
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Numbers of few bits spread over all 64, as `build` and `Levels` expect."""
+    with np.errstate(over="ignore"):
+        x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """As the deal in `filters`: low bits, which place in a filter does not use."""
-    return (h & np.uint64(parts - 1)).astype(np.int64)
+class Levels:
+    """The filters of all levels of some distinct n-grams, by hash, and their counts."""
 
+    def __init__(self, h: np.ndarray, counts: np.ndarray):
+        order = np.argsort(h)
+        h, level = h[order], _levels(counts[order])
+        self.filters = [build(h[level >= k]) for k in range(int(level.max(initial=-1)) + 1)]
 
-class Filters:
-    """Broadcast filters: bits[order][level][part]."""
-
-    def __init__(self, rows: list, parts: int, lowest: int):
-        self.parts, self.lowest = parts, lowest
-        found: dict = {}
-        for r in rows:
-            found.setdefault((r[0], r[1]), {})[r[2]] = np.frombuffer(r[3], np.uint64)
-        self.levels = {}
-        for key, by_part in found.items():  # one array a level, parts behind each other
-            sizes = np.array([len(by_part.get(p, ())) for p in range(parts)], dtype=np.int64)
-            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            self.levels[key] = (np.concatenate([by_part[p] for p in sorted(by_part)]), at, sizes)
-
-    def counts(self, order: int, h: np.ndarray) -> np.ndarray:
-        """Lower ends of the counts' steps; 0 for what is below the lowest level held."""
-        out, left, level = np.zeros(len(h)), np.arange(len(h)), self.lowest if order == 2 else 0
-        high, mask, part = _high(h), _masks(h), part_of(h, self.parts)
-        while len(left) and (order, level) in self.levels:
-            words, at, sizes = self.levels[order, level]
-            p = part[left]
-            size = sizes[p]
-            place = np.minimum(at[p] + ((high[left] * size) >> 32), len(words) - 1)
-            left = left[((words[place] & mask[left]) == mask[left]) & (size > 0)]
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Lower ends of the counts' steps, by probing upwards until a level says no; 0 for what is not held."""
+        out, left, high, mask = np.zeros(len(h)), np.arange(len(h)), _high(h), _masks(h)
+        for level, words in enumerate(self.filters):
+            place = (high[left] * len(words)) >> 32
+            left = left[(words[place] & mask[left]) == mask[left]]
             out[left] = 2.0**level
-            level += 1
         return out
 
 
-def train(spark: SparkSession, docs: DataFrame, max_bytes: int = MAX_BYTES, pairs: bool = True):
-    """(table of token counts, N, V, broadcast head, broadcast filters). With pairs, the filters of
-    bigrams are gathered too, without the lowest levels that would make the whole exceed max_bytes."""
+def train(spark: SparkSession, docs: DataFrame):
+    """(table of token counts, N, V, broadcast counts of the head)."""
     prepare(spark)
     rows = docs.select("doc_id", "text")
     counts = written(spark, rows.mapInArrow(_count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(HEAD).toArrow()  # at most HEAD rows
+    top = counts.where(F.octet_length("token") <= HEAD_BYTES).orderBy(F.desc("n"), "token").limit(HEAD).toArrow()  # at most HEAD rows of HEAD_BYTES
     head = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist()))
-    parts = 1 << max(4, math.ceil(math.log2(max(1, total.n / 400_000))))
-    low = lambda c: c.bitwiseAND(F.lit(parts - 1)).cast("int").alias("part")
-
-    def dealt(grams, order):
-        grams = grams.select(low(F.col("gram")), "gram", "n")
-        out = grams.repartition("part").sortWithinPartitions("part")
-        return out.mapInArrow(_filters(order, parts), "ord int, part int, level int, n long, bits binary")
-
-    grams = dealt(rows.mapInArrow(_count_pairs, "gram long, n long"), 2) if pairs else None
-
-    def hashed(batches):
-        from lattica.llm import lm
-
-        for batch in batches:
-            h = lm.hashes(batch.column(0).to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(1)], ["gram", "n"])
-
-    words = dealt(counts.mapInArrow(hashed, "gram long, n long"), 1)
-    made = written(spark, words.unionByName(grams) if pairs else words, "filters")
-    sizes = {(r.ord, r.level): r.b for r in made.groupBy("ord", "level").agg(F.sum(F.octet_length("bits")).alias("b")).collect()}  # at most 2 * LEVELS rows
-    lowest = 0
-    while sum(b for (o, k), b in sizes.items() if o == 1 or k >= lowest) > max_bytes and lowest < LEVELS:
-        lowest += 1
-    chosen = made.where((F.col("ord") == 1) | (F.col("level") >= lowest)).select("ord", "level", "part", "bits")
-    held = Filters(list(zip(*(c.to_pylist() for c in chosen.toArrow().columns))), parts, lowest)  # at most max_bytes
-    return counts, total.n, total.v, spark.sparkContext.broadcast(head), spark.sparkContext.broadcast(held)
+    return counts, total.n, total.v, spark.sparkContext.broadcast(head)
 
 
 class Words(dict):
     """Numbers words as they are met, with log10(count + 1) for those of the head (else -1), the hash
-    and the count in the filter by number."""
+    and the code of the head's count (else 0) by number."""
 
-    def __init__(self, head: dict[bytes, int], filters: Filters):
-        self.head, self.filters = head, filters
+    def __init__(self, head: dict[bytes, int]):
+        self.head = head
         self.forget()
 
     def forget(self):
         self.clear()
         self.listed: list[bytes] = []
-        self.logs, self.hashes, self.counts = np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)
+        self.logs, self.hashes, self.codes = np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
 
     def __missing__(self, word: bytes) -> int:
         k = self[word] = len(self.listed)
@@ -295,17 +193,13 @@ class Words(dict):
             got = np.array([self.head.get(w, 0) for w in new], dtype=float)
             self.logs = np.concatenate([self.logs, np.where(got > 0, np.log10(got + 1), -1.0)])
             self.hashes = np.concatenate([self.hashes, h])
-            self.counts = np.concatenate([self.counts, self.filters.counts(1, h)])
+            self.codes = np.concatenate([self.codes, _codes(got)])
         return out
 
 
 def _codes(counts: np.ndarray) -> np.ndarray:
-    """0 for 0 and k + 1 for 2 ** k."""
-    return np.where(counts > 0, np.log2(np.maximum(counts, 1)) + 1, 0).astype(np.uint8)
-
-
-def _counts(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 2.0 ** (codes.astype(float) - 1), 0.0)
+    """0 for 0, and k + 1 for counts from 2 ** k on."""
+    return np.where(counts > 0, np.log2(np.maximum(counts, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
 
 
 def _pack(*parts: np.ndarray) -> bytes:
@@ -314,19 +208,14 @@ def _pack(*parts: np.ndarray) -> bytes:
 
 
 def _unpack(raw: bytes, kind) -> np.ndarray:
-    """Two rows of numbers."""
-    return np.frombuffer(pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "zstd", asbytes=True), kind).reshape(2, -1)
-
-
-def _narrow(gram: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash; the lower ones tell the part."""
-    return np.ascontiguousarray(gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+    return np.frombuffer(pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "zstd", asbytes=True), kind)
 
 
-def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+def numbers_of(h: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each bigram, and the hash that deals it: its own for words of the head; else that
+    of its word, whose upper bits are the number's, above some of the bigram's own."""
+    gram, low = pair_hashes(h, starts), np.uint64((1 << PAIR_BITS) - 1)
+    return np.where(codes > 0, gram, (h & ~low) | (gram & low)), np.where(codes > 0, gram, h)
 
 
 def _answers(n_all: int, v_all: int):
@@ -339,16 +228,16 @@ def _answers(n_all: int, v_all: int):
         now, held = None, []
 
         def done():
-            runs = [lm._unpack(x[1], np.uint32) for x in held]
+            runs = [lm._unpack(x[1], np.uint32).reshape(2, -1) for x in held]
             text, times = np.concatenate(runs, 1)
-            codes = np.concatenate([lm._unpack(x[2], np.uint8) for x in held], 1)
-            gram = np.concatenate([lm._wide(x[3]) for x in held])
-            v, n = np.unique(gram[np.repeat(text & 1 == 0, times)], return_counts=True)
-            level = lm._levels(n)
-            made = [(2, k, 0, lm.build(v[level >= k]).tobytes()) for k in range(int(level.max(initial=-1)) + 1)]
-            seen = lm.Filters(made, 1, 0).counts(2, gram)
-            before, word = lm._counts(codes[0]), lm._counts(codes[1])
-            value = np.log10(np.minimum((seen + MU * (word + 1) / (n_all + v_all + 1)) / (before + MU), 1))
+            code = np.concatenate([lm._unpack(x[2], np.uint8) for x in held])
+            gram = np.concatenate([np.frombuffer(x[3], "<u8") for x in held])
+            teaches, rare = np.repeat(text & 1 == 0, times), np.flatnonzero(code == 0)
+            seen = lm.mixed(gram)
+            seen = lm.Levels(*np.unique(seen[teaches], return_counts=True)).counts(seen)
+            word, once = lm.mixed(gram[rare] >> np.uint64(lm.PAIR_BITS)), 2.0 ** (code.astype(float) - 1)
+            once[rare] = lm.Levels(*np.unique(word[teaches[rare]], return_counts=True)).counts(word)
+            value = np.log10((np.minimum(seen, once) + MU * (once + 1) / (n_all + v_all + 1)) / (once + MU))
             first = np.cumsum(times, dtype=np.int64) - times
             total, at, rows = np.add.reduceat(value, first), 0, []
             for (row, *_), (mine, _) in zip(held, runs):
@@ -391,7 +280,7 @@ def _sums(batches):
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    counts, n_all, v_all, head, filters = train(spark, docs, pairs=False)
+    counts, n_all, v_all, head = train(spark, docs)
     base = math.log10(n_all + v_all + 1)
     parts = 1 << max(4, math.ceil(math.log2(max(1, n_all / PART))))
     names = ["row", "token", "times", "doc_id", "n_tokens", "n_known", "base", "held_out", "part", "texts", "codes", "grams"]
@@ -404,8 +293,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
         from lattica.llm import lm
 
         row = TaskContext.get().partitionId() << 33
-        words = lm.Words(head.value, filters.value)
-        end_count = filters.value.counts(1, lm.hashes([END]))[0]
+        words = lm.Words(head.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -420,18 +308,15 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
             starts, at = np.cumsum(size) - size, np.concatenate(at)
             n, out = len(size), [is_held_out(k) for k in batch.column(0).to_pylist()]
             if asking:
-                h, c1 = words.hashes[at], words.counts[at]
-                before = np.concatenate([[end_count], c1[:-1]])
-                before[starts] = end_count
-                gram = lm.pair_hashes(h, starts)
-                part = lm.part_of(gram, parts)
+                code = words.codes[at]
+                gram, dealer = lm.numbers_of(words.hashes[at], code, starts)
+                part = lm.part_of(dealer, parts)
                 text = np.repeat(2 * np.arange(n, dtype=np.uint32) + np.array(out, np.uint32), size)
-                codes = np.stack([lm._codes(before), lm._codes(c1)])
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
                 mine = [(p, order[a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
                 texts_ = [lm._pack(*(x.astype(np.uint32) for x in np.unique(text[k], return_counts=True))) for _, k in mine]
-                yield made(row=np.full(len(mine), row), part=[p for p, _ in mine], texts=texts_, codes=[lm._pack(codes[:, k]) for _, k in mine], grams=[lm._narrow(gram[k]) for _, k in mine])
+                yield made(row=np.full(len(mine), row), part=[p for p, _ in mine], texts=texts_, codes=[lm._pack(code[k]) for _, k in mine], grams=[gram[k].astype("<u8").tobytes() for _, k in mine])
                 row += n
                 continue
             value = words.logs[at]
@@ -465,7 +350,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
         (F.coalesce(F.max("n_known"), F.lit(0)) + F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.max("base") + F.sum(F.when(F.col("n").isNotNull(), F.col("times") * F.log10(F.col("n") + 1)).otherwise(0.0))).alias("base_score"),
-        F.max("score").alias("score"),
+        F.least(F.max("score"), F.lit(0.0)).alias("score"),
     ).drop("row")
 
 
