@@ -59,11 +59,24 @@ def once(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
+def running(values: str, step: str = "{a} + {b}", chunk: int = 256) -> str:
+    """SQL of the running sum (or other step from 0) before each of an array of int, in chunks, as
+    each step of an aggregate copies what it has gathered."""
+    gather = "aggregate({of}, named_struct('t', 0, 'd', cast(array() as array<int>)), (a, x) -> named_struct('t', {step}, 'd', a.d || array(a.t)){end})"
+    parts = f"transform(sequence(0, (size({values}) - 1) div {chunk}), k -> slice({values}, k * {chunk} + 1, {chunk}))"
+    inner = f"transform({parts}, c -> {gather.format(of='c', step=step.format(a='a.t', b='x'), end='')})"
+    outer = gather.format(of="v", step=step.format(a="a.t", b="x.t"), end=", a -> a.d")
+    return f"transform(array({inner}), v -> transform(array({outer}), o -> flatten(transform(v, (c, i) -> transform(c.d, x -> {step.format(a='get(o, i)', b='x')}))))[0])[0]"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where it is unset and all runs in one
+    machine (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = getattr(spark.sparkContext, "_lattica_dir", None)
     if own is None:
         own = spark.sparkContext._lattica_dir = "file://" + tempfile.mkdtemp(prefix="lattica-")

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import once, written
+from lattica.llm.common import once, running, written
 
 #: Kinds in their order; the first four have base rules.
 KINDS = ("email", "ip", "card", "phone", "email_spelled", "phone_local", "id_number", "secret")
@@ -77,16 +77,6 @@ _LUHN = (
 )
 
 
-def running(values: str, step: str = "{a} + {b}", chunk: int = 256) -> str:
-    """SQL of the running sum (or other step from 0) before each of an array of int, in chunks, as
-    each step of an aggregate copies what it has gathered."""
-    gather = "aggregate({of}, named_struct('t', 0, 'd', cast(array() as array<int>)), (a, x) -> named_struct('t', {step}, 'd', a.d || array(a.t)){end})"
-    parts = f"transform(sequence(0, (size({values}) - 1) div {chunk}), k -> slice({values}, k * {chunk} + 1, {chunk}))"
-    inner = f"transform({parts}, c -> {gather.format(of='c', step=step.format(a='a.t', b='x'), end='')})"
-    outer = gather.format(of="v", step=step.format(a="a.t", b="x.t"), end=", a -> a.d")
-    return f"transform(array({inner}), v -> transform(array({outer}), o -> flatten(transform(v, (c, i) -> transform(c.d, x -> {step.format(a='get(o, i)', b='x')}))))[0])[0]"
-
-
 def _spans(kind: int, text: str) -> str:
     """All matches of a generator with their places: lengths of the pieces between them add up."""
     rx = GENERATORS[kind].replace("\\", "\\\\").replace("'", "\\'")

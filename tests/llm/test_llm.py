@@ -125,7 +125,34 @@ def test_licenses(docs, edge):
     for r in got:
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) or not r.base_labels
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
-    assert licenses.digest(docs.limit(0)).count() == 0 and len(licenses.rules()) > 200
+    assert licenses.digest(docs.limit(0)).count() == 0 and len(licenses.rules()) > 400
+
+
+def test_license_rules_are_distinct_and_gated(spark):
+    """No expression occurs twice, each compiles, and each keyword stands in some text that its rule matches."""
+    found = licenses.rules()
+    assert len({rx for *_, rx in found}) == len(found)
+    assert len({r[2] for r in found}) > 180
+    for _, _, label, keyword, rx in found:
+        re.compile(rx)
+        assert re.fullmatch(r"[a-z0-9 ]+", keyword), label
+
+
+def test_license_texts(spark):
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
+        "bsd-3-clause": "Neither the name of the Foo Project nor the names of its contributors may be used to endorse or promote products",
+        "apache-2.0": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "cc-by-sa-4.0": "see https://creativecommons.org/licenses/by-sa/4.0/",
+        "zlib": "The origin of this software must not be misrepresented",
+        "gpl-3.0-or-later": "the GNU General Public License as published by the FSF, either version 3 of the License, or (at your option) any later version",
+        "": "a clean text about open windows, apple trees and the public garden",
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts.values())], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.digest(df).collect()}
+    assert all(label in got[k] for k, label in enumerate(texts)) and got[len(texts) - 1] == [""]
 
 
 def test_license_containment(spark):
@@ -346,18 +373,37 @@ def test_packing(spark, docs, edge):
     assert packing.digest(spark, docs.limit(0)).count() == 0
 
 
-def test_packing_plan_is_tight():
-    counts = {int(k): int(v) for k, v in zip(*np.unique(np.random.default_rng(2).integers(1, 4097, 20_000), return_counts=True))}
-    plan = packing.plan(counts)
-    used = np.zeros(plan[:, 3].max() + plan[:, 2].max() + 1, int)
-    for length, _, n, first, offset in plan[np.argsort(plan[:, 4], kind="stable")]:
-        assert (used[first : first + n] == offset).all()
-        used[first : first + n] += length
-    assert used.max() <= 4096 and (used > 0).sum() <= sum(k * v for k, v in counts.items()) / 4096 * 1.01 + 1
-    placed = Counter()
-    for length, _, n, *_ in plan:
-        placed[length] += n
-    assert placed == Counter(counts)
+def sequential(counts, room=4096):
+    """Sequences that best fit, longest first, one piece after another, opens."""
+    gaps = np.zeros(room + 1, int)
+    opened = 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            near = np.flatnonzero(gaps[length:])
+            gap = length + int(near[0]) if len(near) else room
+            opened += not len(near)
+            gaps[gap] -= bool(len(near))
+            gaps[gap - length] += gap > length
+    return opened
+
+
+@pytest.mark.parametrize("low, high, n", [(1, 4097, 6000), (1, 40, 30_000), (1366, 1367, 3000), (4096, 4097, 50), (2000, 2100, 2000)])
+def test_packing_rounds(spark, low, high, n):
+    """Every piece has a place, places are gapless, and there are at most 1 % (and 1) more sequences than one after another."""
+    counts = {int(k): int(v) for k, v in zip(*np.unique(np.random.default_rng(2).integers(low, high, n), return_counts=True))}
+    got = packing.rounds(spark, spark.createDataFrame(list(counts.items()), "length int, n long"))
+    pieces = []
+    for length in counts:
+        own = got[got[:, 0] == length]
+        own = own[np.argsort(own[:, 1])]
+        assert own[0, 1] == 0
+        for (_, rank, first, offset, q), end in zip(own, [*own[1:, 1], counts[length]]):
+            pieces += [(first + k // q, offset + k % q * length, length) for k in range(end - rank)]
+    assert len(pieces) == n
+    pieces.sort()
+    for (s, o, length), (s2, o2, _) in zip(pieces, pieces[1:]):
+        assert o2 == (o + length if s == s2 else 0) and o + length <= 4096
+    assert len({s for s, *_ in pieces}) <= sequential(counts) * 1.01 + 1
 
 
 # 1
@@ -477,32 +523,39 @@ def test_language_model(spark, docs, edge, monkeypatch, head):
     assert per("score") > per("base_score") and all(r.score <= 0 for r in got)
 
 
-def test_filter_counts_are_one_sided(spark, docs):
-    counts, _, _, _, filters = lm.train(spark, docs)
-    true = {bytes(r.token): r.n for r in counts.collect()}
-    words = list(true)
-    got, floor = filters.value.counts(1, lm.hashes(words)), np.array([2.0 ** int(np.log2(true[w])) for w in words])
+def test_filter_counts_are_one_sided():
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2))
+    true = np.minimum(rng.zipf(1.5, len(h)), 1 << 30)
+    held = lm.Levels(h, true)
+    got, floor = held.counts(h), 2.0 ** np.log2(true).astype(int)
     assert (got >= floor).all() and (got == floor).mean() > 0.95
-    assert (filters.value.counts(1, lm.hashes([b"\0 %d" % k for k in range(5000)])) > 0).mean() < 0.05
-    small = lm.train(spark, docs, max_bytes=30_000)[4].value
-    assert small.lowest > 0
+    assert (held.counts(h + np.uint64(1) ^ np.uint64(1 << 40)) > 0).mean() < 0.05
+    assert (lm.Levels(h[:0], true[:0]).counts(h) == 0).all()
+
+
+def test_language_model_of_nothing(spark, docs):
     assert lm.digest(spark, docs.limit(0)).count() == 0
+    one = docs.limit(3).withColumn("doc_id", F.lit(3).cast("long"))  # crc32 of "3" leaves another remainder
+    assert lm.digest(spark, one).count() == 3
 
 
-def test_no_bigram_is_left_out(spark, docs, monkeypatch):
-    """Scores are those of all counts, however little the model may gather."""
-    real = lm.train
-    monkeypatch.setattr(lm, "train", lambda s, d, *_, **named: real(s, d, 30_000, **named))
-    texts = {i: [b"\n", *lm.tokens((t or "").encode())] for i, t in rows(docs)}
+@pytest.mark.parametrize("head, part", [(150_000, 4_000_000), (20, 2_000), (0, 500)])
+def test_scores_are_those_of_all_counts(spark, docs, edge, monkeypatch, head, part):
+    """Against chances from exact quantised counts, with all words, few or none broadcast, in few parts or many."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "PART", part)
+    df = docs.select("doc_id", "text").unionByName(edge.where("doc_id in (1, 2, 4, 7, 13)").dropDuplicates(["doc_id"]).select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
+    texts = {i: [b"\n", *lm.tokens((t or "").encode())] for i, t in rows(df)}
     taught = [w for i, w in texts.items() if not lm.is_held_out(i)]
     one, two = Counter(x for w in taught for x in w[1:]), Counter(p for w in taught for p in zip(w, w[1:]))
     low = lambda c: 2.0 ** int(np.log2(c)) if c else 0.0
     n = sum(one.values()) + len(one) + 1
-    chance = lambda a, b: min(1, (low(two[a, b]) + lm.MU * (low(one[b]) + 1) / n) / (low(one[a]) + lm.MU))
-    got = {r.doc_id: r.score for r in lm.digest(spark, docs).collect()}
+    chance = lambda a, b: (low(two[a, b]) + lm.MU * (low(one[b]) + 1) / n) / (low(one[a]) + lm.MU)
+    got = {r.doc_id: r.score for r in lm.digest(spark, df).collect()}
     want = {i: sum(log10(chance(*p)) for p in zip(w, w[1:])) for i, w in texts.items()}
     off = [abs(got[i] - want[i]) / len(texts[i]) for i in want]
-    assert got.keys() == want.keys() and np.mean(off) < 0.01  # false positives of the filters
+    assert got.keys() == want.keys() and np.mean(off) < 0.02 and np.median(off) < 0.01  # false positives of the filters
 
 
 # 10
