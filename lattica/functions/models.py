@@ -67,3 +67,16 @@ def wasabiti(offset, recovery_time, b0_shift, relative_b1, t1, rf_duration=0.005
 
 
 MODELS = {f.__name__: f for f in (inversion_recovery, saturation_recovery, mono_exponential_decay, molli, spoiled_gre, transient_steady_state, wasabi, wasabiti)}
+
+
+class SignalModel:
+    """A model as an operator on tables: named parameters in, one signal column out."""
+
+    def __init__(self, expression, *parameters: str, **fixed):
+        self.expression, self.parameters, self.fixed = expression, parameters, fixed
+
+    def __call__(self, df, out: str = "signal", **columns):
+        """columns: the column of each parameter; those not given are named like the parameter."""
+        if unknown := set(columns) - set(self.parameters):
+            raise ValueError(f"no such parameters: {sorted(unknown)}")
+        return df.withColumn(out, self.expression(*(columns.get(p, p) for p in self.parameters), **self.fixed))

@@ -27,6 +27,28 @@ class Vec:
     def from_xyz(x, y, z) -> Vec:
         return Vec(column(z), column(y), column(x))
 
+    @staticmethod
+    def from_array_zyx(a) -> Vec:
+        """Of an array column with three entries in the order z, y, x."""
+        a = F.col(a) if isinstance(a, str) else a
+        return Vec(*(F.get(a, F.lit(k)) for k in range(3)))
+
+    @staticmethod
+    def from_array_xyz(a) -> Vec:
+        a = F.col(a) if isinstance(a, str) else a
+        return Vec(*(F.get(a, F.lit(k)) for k in (2, 1, 0)))
+
+    @property
+    def zyx(self) -> tuple[Column, Column, Column]:
+        return self.z, self.y, self.x
+
+    def array_zyx(self) -> Column:
+        return F.array(*self.zyx)
+
+    def map(self, f) -> Vec:
+        """The same function of each component."""
+        return Vec(*map(f, self.zyx))
+
     def _with(self, o, f) -> Vec:
         o = Vec.of(o)
         return Vec(f(self.z, o.z), f(self.y, o.y), f(self.x, o.x))
@@ -118,11 +140,19 @@ class Rot:
     @staticmethod
     def from_euler(seq: str, angles, degrees: bool = False) -> Rot:
         """Capital axes turn with the body, small ones are fixed."""
-        out = Rot.identity()
+        out = None
         for axis, angle in zip(seq, angles):
-            one = Rot.about(axis.lower(), angle, degrees)
-            out = out @ one if seq.isupper() else one @ out
-        return out
+            out = Rot.about(axis.lower(), angle, degrees) if out is None else out._turned(axis.lower(), angle, degrees, seq.isupper())
+        return out or Rot.identity()
+
+    def _turned(self, axis: str, angle, degrees: bool, right: bool) -> Rot:
+        """The product with a turn about an axis (`right`: it is the second factor), without its zeros."""
+        a = column(angle) * (math.pi / 180 if degrees else 1.0) / 2
+        c, s, v = F.cos(a), F.sin(a), dict(zip("zyx", self.v.zyx))
+        before, after = {"x": "zy", "y": "xz", "z": "yx"}[axis]  # the axis across each of the others
+        across = {before: -v[after], after: v[before]}
+        part = {n: v[n] * c + (self.w if n == axis else across[n] * (1 if right else -1)) * s for n in "zyx"}
+        return Rot(Vec(*(part[n] for n in "zyx")), self.w * c - v[axis] * s, self.improper)
 
     @staticmethod
     def from_matrix(m) -> Rot:
@@ -194,6 +224,73 @@ class Rot:
     def approx_equal(self, o: Rot, atol: float = 1e-6) -> Column:
         return ((self @ o.inv()).magnitude() < atol) & (self.improper == o.improper)
 
+    @property
+    def det(self) -> Column:
+        return F.when(self.improper, -1.0).otherwise(1.0)
+
+    def reflect(self) -> Rot:
+        """Combined with the mirror at the plane across the rotation axis: a mirror is an inversion with
+        half a turn about the axis. Without an axis (no turn) the plane across z, the first axis, is taken."""
+        n = self.v.norm()
+        scale = F.when(n < 1e-12, F.lit(0.0)).otherwise(F.try_divide(F.lit(1.0), n))
+        none = F.when(n < 1e-12, F.lit(1.0)).otherwise(0.0)
+        half = Rot(Vec(self.v.z * scale + none, self.v.y * scale, self.v.x * scale), F.lit(0.0), F.lit(True))
+        return half @ self
+
+    @staticmethod
+    def from_directions(b1: Vec, b2: Vec, b3: Vec) -> Rot:
+        """From the columns of the matrix, in the order z, y, x of what they are images of. Rows whose
+        columns do not form a rotation (a volume off 1 by more than a tenth) raise an error."""
+        cols = [b.zyx for b in (b1, b2, b3)]
+        volume = b1.dot(Vec(b2.y * b3.x - b2.x * b3.y, b2.x * b3.z - b2.z * b3.x, b2.z * b3.y - b2.y * b3.z))
+        out = Rot.from_matrix([[cols[j][i] for j in range(3)] for i in range(3)])
+        wrong = F.raise_error(F.lit("the directions do not form a rotation")).cast("double")
+        return Rot(out.v, F.when(F.abs(1 - F.abs(volume)) > 0.1, wrong).otherwise(out.w), out.improper)
+
+    def directions(self) -> tuple[Vec, Vec, Vec]:
+        m = self.matrix()
+        return tuple(Vec(*(m[i][j] for i in range(3))) for j in range(3))
+
+    def quat(self, canonical: bool = False) -> tuple[Column, Column, Column, Column]:
+        """(z, y, x, w); canonical: the sign of the first of w, z, y, x that is not zero is positive."""
+        q = (*self.v.zyx, self.w)
+        if not canonical:
+            return q
+        first = F.coalesce(*(F.when(c != 0, c) for c in (self.w, *self.v.zyx)))
+        return tuple(c * F.when(first < 0, -1.0).otherwise(1.0) for c in q)
+
+    def euler(self, seq: str, degrees: bool = False) -> tuple[Column, Column, Column]:
+        """Angles of any sequence of three axes, no two neighbours equal; capital ones turn with the body.
+        Where the middle angle leaves the outer ones open (both ends on one axis: 0 or half a turn; else a
+        quarter), the last angle is 0. Of the quaternion e is taken: its parts along the first axis, the
+        middle axis and the third direction tell half sums and half differences of the outer angles."""
+        if len(seq) != 3 or seq[0].lower() == seq[1].lower() or seq[1].lower() == seq[2].lower() or not (seq.isupper() or seq.islower()):
+            raise ValueError(f"no sequence of three axes: {seq}")
+        body, part = seq.isupper(), dict(zip("zyx", self.v.zyx))
+        i, j, k = seq.lower() if not body else seq.lower()[::-1]
+        proper = i == k
+        third = next(a for a in "xyz" if a not in (i, j))
+        sign = 1.0 if (i + j + third) in ("xyz", "yzx", "zxy") else -1.0
+        a, b, c, d = (self.w, part[i], part[j], part[third] * sign)
+        if not proper:
+            a, b, c, d = a - c, b + d, c + a, d - b
+        middle = 2 * F.atan2(F.sqrt(c * c + d * d), F.sqrt(a * a + b * b))
+        half_sum, half_diff = F.atan2(b, a), F.atan2(d, c)
+        low, high = middle < 1e-7, middle > math.pi - 1e-7
+        first, last = half_sum - half_diff, half_sum + half_diff
+        if body:  # the reversed sequence was solved: its third angle is the first of the body's
+            first = F.when(low | high, F.lit(0.0)).otherwise(first)
+            last = F.when(low, 2 * half_sum).when(high, 2 * half_diff).otherwise(last)
+        else:
+            last = F.when(low | high, F.lit(0.0)).otherwise(last)
+            first = F.when(low, 2 * half_sum).when(high, -2 * half_diff).otherwise(first)
+        if not proper:
+            last, middle = last * sign, middle - math.pi / 2
+        turn = lambda t: t - 2 * math.pi * F.rint(t / (2 * math.pi))
+        out = (turn(first), middle, turn(last))
+        out = out[::-1] if body else out
+        return tuple(t * (180 / math.pi) for t in out) if degrees else out
+
     def euler_zyx(self) -> tuple[Column, Column, Column]:
         """Angles of the body sequence ZYX; at the pole the last one is 0."""
         m = self.matrix()

@@ -150,3 +150,32 @@ def slice_interpolate(x, positions, values) -> Column:
     for (a, fa), (b, fb) in zip(points, points[1:]):
         out = F.when((x >= a) & (x <= b), fa + (x - a) * ((fb - fa) / (b - a))).otherwise(out)
     return out
+
+
+class SliceProfile:
+    """A profile with its parameters; `sample` draws places in proportion to it by inverting its running
+    sum on a grid of at most 10,000 places."""
+
+    def __init__(self, expression, *parameters):
+        self.expression, self.parameters = expression, parameters
+
+    def __call__(self, x) -> Column:
+        return self.expression(x, *self.parameters)
+
+    def sample(self, df, out: str, low: float, high: float, seed: int = 0, steps: int = 1000):
+        from lattica.operators.gather import interp
+
+        if not 2 <= steps <= 9_999:
+            raise ValueError("from 2 to 9,999 steps")
+        width = (high - low) / steps
+        grid = df.sparkSession.range(steps).select((low + (F.col("id") + 0.5) * width).alias("__x"), "id")
+        rows = [(r.id, float(r.p)) for r in grid.select("id", self(F.col("__x")).alias("p")).orderBy("id").collect()]  # `steps` rows
+        total, so_far, table, last = sum(p for _, p in rows), 0.0, [], -1
+        for k, p in rows:
+            if p > 0:
+                if last != k - 1 or not table:  # a stretch begins
+                    table.append((so_far / total, low + k * width))
+                so_far, last = so_far + p, k
+                table.append((so_far / total, low + (k + 1) * width))
+        known = df.sparkSession.createDataFrame(table, "xp double, fp double")
+        return interp(df.withColumn("__u", F.rand(seed)), known, "__u").withColumnRenamed("f", out).drop("__u")

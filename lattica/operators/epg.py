@@ -33,8 +33,10 @@ class Spins:
         self.s[:, 2, 0] = 1
         self.signal: list[np.ndarray] = []
 
-    def pulse(self, angle: float, phase: float = 0.0):
-        a, p = angle * np.abs(self.b1), phase + np.angle(self.b1)
+    def pulse(self, angle: float, phase: float = 0.0, ideal: bool = False):
+        """ideal: the pulse does not feel b1."""
+        b1 = np.ones(len(self.t1)) if ideal else self.b1
+        a, p = angle * np.abs(b1), phase + np.angle(b1)
         c2, s2, s, e = np.cos(a / 2) ** 2, np.sin(a / 2) ** 2, np.sin(a), np.exp(1j * p)
         m = np.empty((len(a), 3, 3), complex)
         m[:, 0, 0], m[:, 0, 1], m[:, 0, 2] = c2, e**2 * s2, -1j * e * s
@@ -150,13 +152,15 @@ class Tse(Block):
 
 @dataclass
 class Inversion(Block):
+    """An ideal inversion (as all preparations, it does not feel b1) and a wait."""
+
     time: float
 
     def __post_init__(self):
         self.duration = self.time
 
     def run(self, x):
-        x.pulse(math.pi)
+        x.pulse(math.pi, ideal=True)
         x.relax(self.time)
 
 
@@ -168,11 +172,11 @@ class T2Prep(Block):
         self.duration = self.te
 
     def run(self, x):
-        x.pulse(math.pi / 2, 0.0)
+        x.pulse(math.pi / 2, 0.0, ideal=True)
         x.relax(self.te / 2)
-        x.pulse(math.pi, math.pi / 2)
+        x.pulse(math.pi, math.pi / 2, ideal=True)
         x.relax(self.te / 2)
-        x.pulse(-math.pi / 2, 0.0)
+        x.pulse(-math.pi / 2, 0.0, ideal=True)
         x.dephase()  # spoils what is left across
 
 
@@ -185,9 +189,9 @@ class T1RhoPrep(Block):
 
     def run(self, x):
         if x.t1_rho is not None:
-            x.pulse(math.pi / 2, 0.0)
+            x.pulse(math.pi / 2, 0.0, ideal=True)
             x.spin_lock(self.lock)
-            x.pulse(-math.pi / 2, 0.0)
+            x.pulse(-math.pi / 2, 0.0, ideal=True)
             x.dephase()
 
 

@@ -170,3 +170,58 @@ def time_segments(b0: np.ndarray, times: np.ndarray, segments: int = 32, frequen
     f = np.linspace(b0.min(), b0.max(), frequencies)
     w = np.linalg.lstsq(np.exp(2j * np.pi * np.outer(f, t)), np.exp(2j * np.pi * np.outer(f, times)), rcond=None)[0]
     return np.exp(2j * np.pi * np.outer(t, b0)), w
+
+
+def remove_oversampling(x: TensorFrame, axis: str, size: int) -> TensorFrame:
+    """Readouts over an axis as if they had been taken without oversampling: to the image, its middle
+    `size` places, and back."""
+    if size > x.axes[axis]:
+        raise ValueError(f"{size} places of {x.axes[axis]}")
+    if size == x.axes[axis]:
+        return x
+    crop = PadOrCropOp({axis: x.axes[axis]}, {axis: size})
+    plain = FastFourierOp([axis])
+    return plain.forward(crop.forward(plain.adjoint(x)))
+
+
+def symmetrized(kernel: np.ndarray) -> np.ndarray:
+    """The mean of a kernel and its reflected conjugate, about place 0 of each axis; of the last axis the
+    half that tells the rest."""
+    turned = kernel
+    for axis in range(kernel.ndim):
+        turned = np.roll(np.flip(turned, axis), 1, axis)
+    return ((kernel + turned.conj()) / 2)[..., : kernel.shape[-1] // 2 + 1]
+
+
+class ConjugatePhaseOp(LinearOperator):
+    """The conjugate-phase image of samples taken at times in a field: its adjoint is the exact forward
+    model, sum over pixels of x exp(-2 pi i (k r / n + f t)); this operator is the model's adjoint with the
+    phase taken back at each pixel. Samples, times and field of one image are one task's."""
+
+    def __init__(self, axes: dict[str, int], points: np.ndarray, times: np.ndarray, b0: np.ndarray, encoding: dict[str, int] | None = None, sample: str = "sample"):
+        self.model = NonUniformFourierOp(axes, points, encoding, sample)
+        self.times, self.b0 = np.asarray(times, float), np.asarray(b0, float)
+
+    def _matrix(self, rows: slice):
+        phases = self.model._phases()
+        out = np.ones((len(self.model.points[rows]), 1), complex)
+        for p in phases:
+            out = (out[:, :, None] * p[rows][:, None, :]).reshape(len(out), -1)
+        out *= np.exp(-2j * math.pi * np.outer(self.times[rows], self.b0.ravel()))
+        return out / math.sqrt(math.prod(self.model.sizes))
+
+    def _parts(self):
+        step = max(1, (1 << 22) // self.b0.size)
+        return [slice(k, k + step) for k in range(0, len(self.times), step)]
+
+    def adjoint(self, y):
+        def f(block):
+            return np.concatenate([self._matrix(rows) @ block.ravel() for rows in self._parts()])
+
+        return grouped(y, list(self.model.axes), {self.model.sample: len(self.times)}, f)
+
+    def forward(self, x):
+        def f(line):
+            return sum(self._matrix(rows).conj().T @ line[rows] for rows in self._parts()).reshape(tuple(self.model.axes.values()))
+
+        return grouped(x, [self.model.sample], dict(self.model.axes), f)

@@ -292,3 +292,34 @@ def interpolate_axis(x: TensorFrame, axis: str, size: int, mode: str = "linear")
 
 def times(df: DataFrame, pair: Pair) -> DataFrame:
     return df.withColumns({"re": pair.re, "im": pair.im})
+
+
+def downsampled_size(size: dict[str, int], wanted: int | dict[str, int] | None) -> dict[str, int]:
+    """By axis the smaller of the size that is wanted and the one there is."""
+    return {n: min(s, wanted if isinstance(wanted, int) else (wanted or {}).get(n, s)) for n, s in size.items()}
+
+
+def apply_lowres(f, x: TensorFrame, size: dict[str, int]) -> TensorFrame:
+    """A function of the downsampled tensor, and its result on the old grid."""
+    small_ = x
+    for n, s in size.items():
+        small_ = interpolate_axis(small_, n, s)
+    out = f(small_)
+    for n in size:
+        out = interpolate_axis(out, n, x.axes[n])
+    return out
+
+
+def grid_from_displacement(moves: DataFrame, grid: dict[str, int], prefix: str = "d_") -> DataFrame:
+    """Sampling points g_<axis> in [-1, 1] of rows with the axes of a grid and displacements d_<axis>, in
+    the same units: the middle of place i lies at (2 i + 1) / n - 1."""
+    return moves.withColumns({f"g_{a}": (2 * F.col(a) + 1) / n - 1 + F.col(f"{prefix}{a}") for a, n in grid.items()})
+
+
+def append_atoms(atoms: DataFrame, more: DataFrame) -> DataFrame:
+    """A dictionary with more atoms, numbered behind those there are."""
+    last = atoms.agg(F.coalesce(F.max("atom_id") + 1, F.lit(0)).alias("__n"))
+    w = Window.orderBy("atom_id")
+    numbered = more.select("atom_id").distinct().withColumn("__k", F.row_number().over(w) - 1)
+    moved = more.join(numbered, "atom_id").join(F.broadcast(last)).withColumn("atom_id", F.col("__n") + F.col("__k"))
+    return atoms.unionByName(moved.select(*atoms.columns))

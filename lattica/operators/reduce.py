@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lattica.functions.complexpair import Pair
 from lattica.plans.algebra import LinearOperator, Operator
@@ -206,19 +206,60 @@ def ssim(target: TensorFrame, image: TensorFrame, window: dict[str, int], data_r
 # Statistics
 
 
+#: Entries of partial matrices that a task holds before it passes them on.
+HELD_ENTRIES = 1 << 20
+
+
 def covariance(df: DataFrame, by: list[str], sample: list[str], channel: str, center: bool = False) -> DataFrame:
     """(by, i, j, re, im): mean over samples of x_i conj(x_j). Vectors of a sample are gathered in one
-    array and their outer products summed, so nothing is joined with itself."""
+    array; each task adds its outer products up and passes on one row a pair of channels, so neither
+    samples nor pairs of a sample are shuffled a second time. Absent entries do not count."""
+    import pyarrow as pa
+
     vec = df.groupBy(*by, *sample).agg(F.array_sort(F.collect_list(F.struct(channel, "re", "im"))).alias("x"))
-    pairs = vec.select(*by, F.explode("x").alias("a"), "x").select(*by, "a", F.explode("x").alias("b"))
-    a, b = Pair(F.col("a.re"), F.col("a.im")), Pair(F.col("b.re"), F.col("b.im"))
-    p = a * b.conj()
-    keys = [*by, F.col(f"a.{channel}").alias("i"), F.col(f"b.{channel}").alias("j")]
-    out = pairs.groupBy(*keys).agg(F.avg(p.re).alias("re"), F.avg(p.im).alias("im"), F.avg("a.re").alias("ar"), F.avg("a.im").alias("ai"), F.avg("b.re").alias("br"), F.avg("b.im").alias("bi"))
+    vec = vec.select(*by, F.col(f"x.{channel}").alias("c"), F.col("x.re").alias("re"), F.col("x.im").alias("im"))
+    reachable(df.sparkSession)
+    names = [*by, "i", "j", "n", "re", "im", "ar", "ai", "br", "bi"]
+    kind = df.schema[channel].dataType
+    schema = StructType([*(vec.schema[k] for k in by), StructField("i", kind), StructField("j", kind), StructField("n", LongType()), *(StructField(k, DoubleType()) for k in names[-6:])])
+
+    def run(batches):
+        held: dict = {}
+
+        def out(types):
+            cols = [[] for _ in names]
+            for (key, channels), (n, total, mean) in held.items():
+                k = len(channels)
+                left, right = np.repeat(mean, k), np.tile(mean, k)
+                parts = ([channels[i] for i in range(k) for _ in range(k)], [*channels] * k, [n] * (k * k), total.real.ravel(), total.imag.ravel(), left.real, left.imag, right.real, right.imag)
+                for c, v in zip(cols, (*([x] * (k * k) for x in key), *(list(p) for p in parts))):
+                    c += v
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+        types = []
+        for batch in batches:
+            types = [*(batch.column(k).type for k in range(len(by))), *(2 * [batch.column(len(by)).type.value_type]), pa.int64(), *(6 * [pa.float64()])]
+            rows: dict = {}
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))))) if by else [()] * batch.num_rows
+            for key, c, re, im in zip(keys, *(batch.column(len(by) + k).to_pylist() for k in range(3))):
+                rows.setdefault((key, tuple(c)), []).append((re, im))
+            for key, got in rows.items():
+                x = np.array(got, float)
+                x = x[:, 0] + 1j * x[:, 1]
+                n, total, mean = held.get(key, (0, 0, 0))
+                held[key] = n + len(x), total + x.T @ x.conj(), mean + x.sum(0)
+            if sum(len(c) ** 2 for _, c in held) > HELD_ENTRIES:
+                yield out(types)
+        if held:
+            yield out(types)
+
+    sums = vec.mapInArrow(run, schema).groupBy(*by, "i", "j").agg(*(F.sum(k).alias(k) for k in names[len(by) + 2 :]))
+    m = sums.select(*by, "i", "j", *((F.col(k) / F.col("n")).alias(k) for k in names[-6:]))
     if center:
-        m = Pair(F.col("ar"), F.col("ai")) * Pair(F.col("br"), F.col("bi")).conj()
-        out = out.withColumns({"re": F.col("re") - m.re, "im": F.col("im") - m.im})
-    return out.select(*by, "i", "j", "re", "im")
+        p = Pair(F.col("ar"), F.col("ai")) * Pair(F.col("br"), F.col("bi")).conj()
+        m = m.withColumns({"re": F.col("re") - p.re, "im": F.col("im") - p.im})
+    return m.select(*by, "i", "j", "re", "im")
 
 
 def _matrix(rows, n: int) -> np.ndarray:
@@ -329,44 +370,60 @@ def density_2d(df: DataFrame, by: list[str], k1: str, k2: str) -> DataFrame:
 
 
 def coil_maps(images: np.ndarray, width: int = 5, method: str = "walsh", steps: int = 10) -> np.ndarray:
-    """Coil sensitivities of one bounded image (coil, y, x) from smoothed coil covariances and power
-    iteration; magnitudes are normalized over coils. Used inside grouped functions."""
-    def smooth(a):
-        for axis in (-2, -1):
-            w = min(width, a.shape[axis])
+    """Coil sensitivities of one bounded image (coil, [z,] y, x). Used inside grouped functions.
+
+    walsh: the top eigenvector of the coil covariance smoothed over the neighbourhood (zeros outside).
+    inati: of the neighbourhood (edges repeated) as a matrix of coils and voxels the top left vector, from
+    the sum of its voxels on, with the phase that the combined voxels of the neighbourhood have."""
+    if method == "inati" and width % 2 == 0:
+        raise ValueError("the width must be odd")
+    axes = range(1, images.ndim)
+
+    def smooth(a, mode):
+        for axis in axes:
+            axis -= images.ndim
+            w = 1 if a.shape[axis] == 1 and method == "inati" else width
             pad = [(0, 0)] * a.ndim
             pad[axis] = ((w - 1) // 2, w - 1 - (w - 1) // 2)
-            c = np.cumsum(np.pad(a, pad, mode="edge" if method == "inati" else "constant"), axis=axis)
+            c = np.cumsum(np.pad(a, pad, mode=mode), axis=axis)
             c = np.concatenate([np.zeros_like(np.take(c, [0], axis)), c], axis)
-            a = (np.take(c, range(w, c.shape[axis]), axis) - np.take(c, range(c.shape[axis] - w), axis)) / w
+            a = np.take(c, range(w, c.shape[axis]), axis) - np.take(c, range(c.shape[axis] - w), axis)
         return a
 
-    cov = smooth(images[:, None] * images[None].conj())
-    v = cov.sum(1)
+    norm = lambda v: np.sqrt((np.abs(v) ** 2).sum(0))
+    if method == "walsh":
+        cov = smooth(images[:, None] * images[None].conj(), "constant") / width ** len(axes)
+        v = cov.sum(0)
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                v = np.einsum("ij...,j...->i...", cov, v / norm(v))
+            v = v / norm(v)
+        return np.where(np.isfinite(v), v, 0)
+    cov, sums = smooth(images[:, None].conj() * images[None], "edge"), smooth(images, "edge")
+    v = sums / (norm(sums) + 1e-8)
     for _ in range(steps):
-        v = v / (np.sqrt((np.abs(v) ** 2).sum(0)) + 1e-30)
-        v = np.einsum("ijyx,jyx->iyx", cov, v)
-    v = v / (np.sqrt((np.abs(v) ** 2).sum(0)) + 1e-9)
-    if method == "inati":
-        v = v * np.exp(-1j * np.angle(v.sum(0)))
-    return np.nan_to_num(v)
+        v = np.einsum("ij...,j...->i...", cov, v)
+        v = v / (norm(v) + 1e-8)
+    phase = (sums * v).sum(0)
+    return v.conj() * (phase / (np.abs(phase) + 1e-8))
 
 
 def coil_maps_frame(x: TensorFrame, other: str = "other", coil: str = "coil", width: int = 5, method: str = "walsh") -> TensorFrame:
-    """Coil maps of each `other`; one image is one task's."""
+    """Coil maps of each `other`, over the axes y, x and z if there is one; one image is one task's."""
     reachable(x.df.sparkSession)
-    shape = (x.axes[coil], x.axes["y"], x.axes["x"])
+    names = [coil, *(n for n in ("z", "y", "x") if n in x.axes)]
+    shape = tuple(x.axes[n] for n in names)
 
     def run(pdf):
         img = np.zeros(shape, complex)
-        img[pdf[coil], pdf.y, pdf.x] = pdf.re + 1j * pdf.im
-        m, at = coil_maps(img, width, method), np.indices(shape).reshape(3, -1)
+        img[tuple(pdf[n] for n in names)] = pdf.re + 1j * pdf.im
+        m, at = coil_maps(img, width, method), np.indices(shape).reshape(len(shape), -1)
         import pandas as pd
 
-        return pd.DataFrame({other: pdf[other].iloc[0], coil: at[0], "y": at[1], "x": at[2], "re": m.real.ravel(), "im": m.imag.ravel()})
+        return pd.DataFrame({other: pdf[other].iloc[0], **dict(zip(names, at)), "re": m.real.ravel(), "im": m.imag.ravel()})
 
-    rows = x.df.groupBy(other).applyInPandas(run, f"{other} int, {coil} int, y int, x int, re double, im double")
-    return TensorFrame(rows, {other: x.axes[other], coil: shape[0], "y": shape[1], "x": shape[2]})
+    rows = x.df.groupBy(other).applyInPandas(run, ", ".join(f"{n} int" for n in (other, *names)) + ", re double, im double")
+    return TensorFrame(rows, {other: x.axes[other]} | dict(zip(names, shape)))
 
 
 def mean_rotation(df: DataFrame, by: list[str], q=("qz", "qy", "qx", "qw"), weight: str | None = None) -> DataFrame:

@@ -64,7 +64,8 @@ class RearrangeOp(LinearOperator):
 
 
 class PadOrCropOp(LinearOperator):
-    """Center axes in a new size: indices shift, rows outside go, absent rows are 0."""
+    """Center axes in a new size: indices shift, rows outside go, absent rows are 0. Of an odd
+    difference the larger half is in front."""
 
     def __init__(self, old: dict[str, int], new: dict[str, int]):
         self.old, self.new = old, new
@@ -73,7 +74,8 @@ class PadOrCropOp(LinearOperator):
     def _to(x: TensorFrame, old, new) -> TensorFrame:
         df = x.df
         for n in new:
-            df = df.withColumn(n, (F.col(n) + (new[n] // 2 - old[n] // 2)).cast("int")).where((F.col(n) >= 0) & (F.col(n) < new[n]))
+            more = new[n] - old[n]
+            df = df.withColumn(n, (F.col(n) + (more - math.trunc(more / 2))).cast("int")).where((F.col(n) >= 0) & (F.col(n) < new[n]))
         return TensorFrame(df, x.axes | new)
 
     def forward(self, x):
@@ -183,15 +185,182 @@ def select_in_order(df: DataFrame, label: str, values: list, order: list[str]) -
     return df.join(F.broadcast(wanted), label).orderBy("position", *order)
 
 
-#: Labels by significance, the last one sorts first.
+#: Labels by significance, the last one sorts first.
 SORT_LABELS = ("k1", "k2", "average", "slice", "contrast", "phase", "repetition", "set", "user0", "user1", "user2", "user3", "user4", "user7")
 
 
 def regroup(df: DataFrame, labels: list[str], inner: list[str], by: list[str] | None = None) -> DataFrame:
     """Dense places of sorted rows: `other` numbers the label combinations and `place` the rows in
-    one. Later labels are more significant. `by` parts independent data sets."""
+    one. Later labels are more significant. `by` parts independent data sets. Combinations are
+    numbered apart from the rows, so only they meet in one order."""
     by = by or []
-    order = [*reversed(labels)]
-    w = Window.partitionBy(*by).orderBy(*order)
-    inside = Window.partitionBy(*by, *labels).orderBy(*reversed(inner))
-    return df.withColumns({"other": F.dense_rank().over(w) - 1, "place": F.row_number().over(inside) - 1})
+    keys, inside = [*by, *labels], Window.partitionBy(*by, *labels).orderBy(*reversed(inner))
+    order = Window.partitionBy(*by).orderBy(*reversed(labels))
+    numbered = df.select(*keys).distinct().withColumn("other", F.row_number().over(order) - 1)
+    same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]
+    placed = df.withColumn("place", F.row_number().over(inside) - 1)
+    return placed.alias("a").join(numbered.alias("b"), same).select(*(F.col(f"a.`{c}`") for c in df.columns), "b.other", "a.place")
+
+
+# Axes: what moves no data
+
+
+def normalize_axis(x: TensorFrame, axis: str | int) -> str:
+    """The name of an axis given by name or place; places may count from the end."""
+    if isinstance(axis, str):
+        if axis not in x.axes:
+            raise IndexError(f"no axis {axis} in {x.names}")
+        return axis
+    if not -len(x.axes) <= axis < len(x.axes):
+        raise IndexError(f"axis {axis} of {len(x.axes)}")
+    return x.names[axis]
+
+
+def normalize_axes(x: TensorFrame, axes, unique: bool = True) -> list[str]:
+    out = [normalize_axis(x, a) for a in axes]
+    if unique and len(set(out)) != len(out):
+        raise ValueError(f"axes named twice: {out}")
+    return out
+
+
+def unsqueeze_at(x: TensorFrame, place: int, names: list[str]) -> TensorFrame:
+    """New axes of size 1 before a place (from the end if negative)."""
+    if not -len(x.axes) - 1 <= place <= len(x.axes):
+        raise IndexError(f"place {place} of {len(x.axes)} axes")
+    place = place + len(x.axes) + 1 if place < 0 else place
+    if clash := set(names) & set(x.axes):
+        raise ShapeError(f"axes there already: {sorted(clash)}")
+    order = [*x.names[:place], *names, *x.names[place:]]
+    return TensorFrame(x.df.withColumns({n: F.lit(0) for n in names}).select(*order, "re", "im"), {n: x.axes.get(n, 1) for n in order})
+
+
+def unsqueeze_left(x: TensorFrame, names: list[str]) -> TensorFrame:
+    return unsqueeze_at(x, 0, names)
+
+
+def unsqueeze_right(x: TensorFrame, names: list[str]) -> TensorFrame:
+    return unsqueeze_at(x, len(x.axes), names)
+
+
+def aligned(*tensors: TensorFrame, side: str = "left") -> list[TensorFrame]:
+    """All tensors with all axes, new ones of size 1 on the left or right of their own."""
+    every = list(dict.fromkeys(n for t in sorted(tensors, key=lambda t: -len(t.axes)) for n in t.names))
+    out = []
+    for t in tensors:
+        more = [n for n in every if n not in t.axes]
+        out.append(unsqueeze_left(t, more) if side == "left" else unsqueeze_right(t, more))
+    return out
+
+
+def aligned_at(*tensors: TensorFrame, place: int) -> list[TensorFrame]:
+    every = list(dict.fromkeys(n for t in sorted(tensors, key=lambda t: -len(t.axes)) for n in t.names))
+    return [unsqueeze_at(t, place, [n for n in every if n not in t.axes]) for t in tensors]
+
+
+def expand(x: TensorFrame, axis: str, size: int) -> TensorFrame:
+    """An axis of size 1 repeated."""
+    if x.axes[axis] not in (1, size):
+        raise ShapeError(f"{axis} has {x.axes[axis]} places")
+    if x.axes[axis] == size:
+        return x
+    rows = x.df.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    return TensorFrame(rows.select(*x.names, "re", "im"), x.axes | {axis: size})
+
+
+def broadcast(*tensors: TensorFrame) -> list[TensorFrame]:
+    """All tensors with the same axes and sizes: axes of size 1, or not there, are repeated."""
+    out = aligned(*tensors)
+    sizes = {n: max(t.axes[n] for t in out) for n in out[0].names}
+    for n in sizes:
+        out = [expand(t, n, sizes[n]) for t in out]
+    order = list(max(tensors, key=lambda t: len(t.axes)).names)
+    order = [n for n in sizes if n not in order] + order
+    return [TensorFrame(t.df.select(*order, "re", "im"), {n: sizes[n] for n in order}) for t in out]
+
+
+def reduce_view(x: TensorFrame, axes: list[str] | None = None, tol: float = 0.0) -> TensorFrame:
+    """Axes along which nothing varies become size 1."""
+    for n in axes or x.names:
+        if x.axes[n] > 1 and len(x.axes) > 1:
+            x = reduce_repeat(x, n, tol)
+    return x
+
+
+def fill_range(x: TensorFrame, axis: str) -> TensorFrame:
+    """Every value becomes its place along the axis."""
+    return TensorFrame(x.grid().select(*x.names, F.col(axis).cast("double").alias("re"), F.lit(0.0).alias("im")), x.axes)
+
+
+def reshape(x: TensorFrame, axes: dict[str, int]) -> TensorFrame:
+    """The same values in row-major order over other axes; one size may be -1."""
+    total, known = math.prod(x.shape), math.prod(s for s in axes.values() if s != -1)
+    if list(axes.values()).count(-1) > 1:
+        raise ShapeError("only one size can be inferred")
+    if any(s == -1 for s in axes.values()):
+        if known == 0 or total % known:
+            raise ShapeError(f"{axes} for {total} values")
+        axes = {n: total // known if s == -1 else s for n, s in axes.items()}
+    elif known != total:
+        raise ShapeError(f"{axes} for {total} values")
+    flat = F.lit(0).cast("long")
+    for n, s in x.axes.items():
+        flat = flat * s + F.col(n)
+    rows = x.df.select(flat.alias("__flat"), "re", "im")
+    cols = [i.cast("int").alias(n) for n, i in zip(axes, unravel_index(F.col("__flat"), list(axes.values())))]
+    return TensorFrame(rows.select(*cols, "re", "im"), axes)
+
+
+def swap_axes(x: TensorFrame, a: str, b: str) -> TensorFrame:
+    """Places of two axes in the order exchanged; names stay with their values."""
+    order = [{a: b, b: a}.get(n, n) for n in x.names]
+    return TensorFrame(x.df.select(*order, "re", "im"), {n: x.axes[n] for n in order})
+
+
+def equal(x: TensorFrame, y: TensorFrame, tol: float = 0.0) -> bool:
+    """Same axes, and no value differs by more than tol; absent rows are 0."""
+    if x.axes != y.axes:
+        return False
+    return (x - y).df.where(F.greatest(F.abs("re"), F.abs("im")) > tol).limit(1).count() == 0
+
+
+def index(x: TensorFrame, /, **at) -> TensorFrame:
+    """Parts by axis: a number keeps the axis with one place, slices have a step of at least 1, a list of
+    numbers takes them in its order, a list of bools the places that are true. Places from the end are
+    negative; numbers outside raise an error. Lists of numbers for several axes go one by one together,
+    over a new first axis `picked`."""
+    lists = {}
+    for n, s in list(at.items()):
+        size = x.axes[n]
+        if isinstance(s, (list, tuple)) and s and all(isinstance(v, bool) for v in s):
+            if len(s) != size:
+                raise IndexError(f"{len(s)} bools for {size} places of {n}")
+            s = [k for k, v in enumerate(s) if v]
+            at[n] = s
+        if isinstance(s, slice):
+            start, stop, step = s.indices(size)
+            if step < 1:
+                raise IndexError("steps must be positive")
+            inside = (F.col(n) >= start) & (F.col(n) < stop) & (F.pmod(F.col(n) - start, F.lit(step)) == 0)
+            rows = x.df.where(inside).withColumn(n, F.floor((F.col(n) - start) / step).cast("int"))
+            x = TensorFrame(rows, x.axes | {n: len(range(start, stop, step))})
+            continue
+        many = [s] if isinstance(s, int) else list(s)
+        if any(not -size <= v < size for v in many):
+            raise IndexError(f"{many} outside {size} places of {n}")
+        many = [v % size for v in many]
+        if isinstance(s, int):
+            x = TensorFrame(x.df.where(F.col(n) == many[0]).withColumn(n, F.lit(0)), x.axes | {n: 1})
+        else:
+            lists[n] = many
+    if len({len(v) for v in lists.values()}) > 1:
+        raise IndexError("lists of different lengths")
+    if not lists:
+        return x
+    spark, count = x.df.sparkSession, len(next(iter(lists.values())))
+    wanted = spark.createDataFrame([(k, *v) for k, v in enumerate(zip(*lists.values()))], "__k int, " + ", ".join(f"{n} int" for n in lists))
+    rows = x.df.join(wanted, list(lists))
+    if len(lists) == 1:
+        n = next(iter(lists))
+        return TensorFrame(rows.withColumn(n, F.col("__k")).select(*x.names, "re", "im"), x.axes | {n: count})
+    rest = [n for n in x.names if n not in lists]
+    return TensorFrame(rows.select(F.col("__k").alias("picked"), *rest, "re", "im"), {"picked": count} | {n: x.axes[n] for n in rest})

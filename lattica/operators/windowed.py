@@ -38,7 +38,11 @@ def tap(v, k: int, by: list[str], at: str, mode: str = "zeros", n: Column | None
         place = (n - 1) - F.abs((n - 1) - F.abs(F.col(at) + k))
     else:
         raise ValueError(mode)
-    return F.coalesce(inside, F.element_at(F.collect_list(v).over(every), (place + 1).cast("int")))
+    # What lies outside is one of the few values at an end, counted from there.
+    back = (mode == "circular") == (k < 0)
+    ends = Window.partitionBy(*by).orderBy(F.desc(at) if back else F.asc(at)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = n - 1 - place if back else place
+    return F.coalesce(inside, *(F.when(place == j, F.nth_value(v, j + 1).over(ends)) for j in range(abs(k) + 1)))
 
 
 #: Taps at -1, 0 and 1.
@@ -157,18 +161,19 @@ class WaveletOp(LinearOperator):
         high = [(-1) ** k * c for k, c in enumerate(low[::-1])]
         self.axis, self.levels, self.taps = axis, levels, (low, high)
 
-    def _pairs(self, n: int):
-        rows = [(b * (n // 2) + i, (2 * i + k) % n, c) for b, f in enumerate(self.taps) for i in range(n // 2) for k, c in enumerate(f)]
-        m = np.zeros((n, n))
-        for o, i, c in rows:
-            m[o, i] += c
-        return [(int(o), int(i), float(m[o, i])) for o, i in zip(*np.nonzero(m))]
-
     def _times(self, x, n, swap):
-        spark, a = x.df.sparkSession, self.axis
-        m = F.broadcast(spark.createDataFrame([(i, o, c) if not swap else (o, i, c) for o, i, c in self._pairs(n)], f"{a} int, __o int, __w double"))
-        band = x.df.where(F.col(a) < n).join(m, a)
-        band = band.withColumns({"re": F.col("re") * F.col("__w"), "im": F.col("im") * F.col("__w")}).drop(a, "__w").withColumnRenamed("__o", a)
+        """Each value goes to the places that its taps reach, by index arithmetic, and they are summed."""
+        a, half, to = self.axis, n // 2, []
+        for b, taps in enumerate(self.taps):
+            for k, c in enumerate(taps):
+                if swap:  # from place i of band b to 2 i + k
+                    at = F.pmod(2 * (F.col(a) - b * half) + k, F.lit(n))
+                    fits = F.col(a) >= half if b else F.col(a) < half
+                else:
+                    at, fits = b * half + F.pmod(F.col(a) - k, F.lit(n)) / 2, F.pmod(F.col(a) - k, F.lit(n)) % 2 == 0
+                to.append(F.when(fits, F.struct(at.cast("int").alias("i"), F.lit(float(c)).alias("w"))))
+        band = x.df.where(F.col(a) < n).withColumn("__e", F.explode(F.array_compact(F.array(*to))))
+        band = band.withColumns({a: F.col("__e.i"), "re": F.col("re") * F.col("__e.w"), "im": F.col("im") * F.col("__e.w")})
         out = x.summed([], band)
         return out if n == x.axes[a] else TensorFrame(out.df.unionByName(x.df.where(F.col(a) >= n).select(*out.df.columns)), x.axes)
 
@@ -197,7 +202,9 @@ def ema(df: DataFrame, by: list[str], order: list[str], value: str, decay: float
     folded = grouped.withColumn("own", F.expr(f"aggregate(xs, named_struct('e', 0D, 'out', cast(array() as array<double>)), {step}, a -> a.out)"))
     n = F.size("own")
     folded = folded.withColumns({"__last": F.element_at("own", -1), "__n": n})
-    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    # Blocks further back than this add less than 1e-18 of their value.
+    reach = 1 + math.ceil(42 / (size * -math.log(decay))) if 0 < decay < 1 else 1
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(-reach, -1)
     ends = folded.select(*by, "__b", F.collect_list(F.struct("__last", "__n")).over(before).alias("ends"))
     carried = ends.select(*by, "__b", F.expr(f"aggregate(ends, 0D, (a, x) -> a * power({decay}D, x.__n) + x.__last)").alias("carry"))
     joined = folded.join(carried, [*by, "__b"])

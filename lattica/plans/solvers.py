@@ -8,20 +8,49 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lattica.tensor import TensorFrame
+from lattica.tensor import TensorFrame, checkpointed
 
 
 def cg(op, rhs: TensorFrame, start: TensorFrame | None = None, preconditioner=None, max_iterations: int = 128, tolerance: float = 1e-4, callback: Callable | None = None) -> TensorFrame:
     """Solve op(x) = rhs for a self-adjoint positive op; stops when the squared residual is below
     tolerance², or when the callback returns False."""
+    if preconditioner:
+        return _preconditioned(op, rhs, start, preconditioner, max_iterations, tolerance, callback)
+    names = rhs.names
+    r = (rhs if start is None else rhs - op(start)[0]).dense().df
+    state = r.select(*names, F.lit(0.0).alias("xr"), F.lit(0.0).alias("xi"), F.col("re").alias("rr"), F.col("im").alias("ri"), F.col("re").alias("pr"), F.col("im").alias("pi"))
+    if start is not None:
+        own = start.dense().df.select(*names, F.col("re").alias("xr"), F.col("im").alias("xi"))
+        state = state.drop("xr", "xi").join(own, names)
+    state = checkpointed(state)
+    part = lambda df, k: TensorFrame(df.select(*names, F.col(f"{k}r").alias("re"), F.col(f"{k}i").alias("im")), rhs.axes)
+    size = lambda df: df.agg(F.sum(F.col("rr") * F.col("rr") + F.col("ri") * F.col("ri"))).first()[0] or 0.0
+    now = size(state)
+    for k in range(max_iterations):
+        if now == 0 or now < tolerance**2:
+            break
+        q = op(part(state, "p"))[0].df.select(*names, F.col("re").alias("qr"), F.col("im").alias("qi"))
+        both = checkpointed(state.join(q, names, "left").na.fill(0.0, ["qr", "qi"]))  # the step's only table
+        alpha = now / both.agg(F.sum(F.col("pr") * F.col("qr") + F.col("pi") * F.col("qi"))).first()[0]
+        moved = both.select(*names, *((F.col(f"x{c}") + F.col(f"p{c}") * alpha).alias(f"x{c}") for c in "ri"), *((F.col(f"r{c}") - F.col(f"q{c}") * alpha).alias(f"r{c}") for c in "ri"), "pr", "pi")
+        new = size(moved)
+        state = moved.withColumns({f"p{c}": F.col(f"r{c}") + F.col(f"p{c}") * (new / now) for c in "ri"})
+        now = new
+        if callback and callback(k, part(state, "x"), part(state, "r")) is False:
+            break
+    return part(state, "x")
+
+
+def _preconditioned(op, rhs, start, preconditioner, max_iterations, tolerance, callback) -> TensorFrame:
     x = start
     r = rhs if x is None else rhs - op(x)[0]
     x = rhs * 0.0 if x is None else x
     r = r.cut()
     if r.norm2() == 0:
         return x
-    z = preconditioner(r)[0] if preconditioner else r
+    z = preconditioner(r)[0]
     p, rz = z, r.vdot(z).real
     for k in range(max_iterations):
         if r.norm2() < tolerance**2:
@@ -29,7 +58,7 @@ def cg(op, rhs: TensorFrame, start: TensorFrame | None = None, preconditioner=No
         q = op(p)[0].cut()
         alpha = rz / p.vdot(q).real
         x, r = (x + p * alpha).cut(), (r - q * alpha).cut()
-        z = preconditioner(r)[0].cut() if preconditioner else r
+        z = preconditioner(r)[0].cut()
         new = r.vdot(z).real
         if callback and callback(k, x, r) is False:
             break
@@ -67,15 +96,33 @@ def pgd(f_value, f_gradient, g, start: TensorFrame, step: float = 1.0, max_itera
     return x
 
 
+def random_like(x: TensorFrame, seed: int = 0) -> TensorFrame:
+    """A dense tensor of normal values, the same in each run."""
+    pick = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), *x.names), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    size, turn = F.sqrt(-2 * F.log(pick(0))), pick(1) * (2 * math.pi)
+    return TensorFrame(x.grid().select(*x.names, (size * F.cos(turn)).alias("re"), (size * F.sin(turn)).alias("im")), x.axes)
+
+
+def operator_matrix(operators: list):
+    """The operators one above the other."""
+    from lattica.plans.algebra import OperatorMatrix
+
+    return OperatorMatrix([[k] for k in operators])
+
+
 def pdhg(f, g, operators: list, start: TensorFrame, max_iterations: int = 32, primal_step: float | None = None, dual_step: float | None = None, norm: float | None = None, relaxation: float = 1.0, tolerance: float = 0.0, callback=None) -> TensorFrame:
-    """Primal-dual hybrid gradient for sum f_i(K_i x) + g(x)."""
+    """Primal-dual hybrid gradient for sum f_i(K_i x) + g(x). Steps that are not given: both 0.97 / |K|^2,
+    or 0.97 / |K|^2 over the given one; the norm is found from a random start."""
     if primal_step is None or dual_step is None:
         if norm is None:
-            norm = math.sqrt(sum(k.operator_norm(start) ** 2 for k in operators))
-        if primal_step is None:
-            primal_step = 0.97 / norm if dual_step is None else 0.97**2 / norm**2 / dual_step
-        if dual_step is None:
-            dual_step = 0.97**2 / norm**2 / primal_step
+            norm = operator_matrix(operators).operator_norm(random_like(start))
+        limit = 0.97 / norm**2
+        if primal_step is None and dual_step is None:
+            primal_step = dual_step = limit
+        elif primal_step is None:
+            primal_step = limit / dual_step
+        else:
+            dual_step = limit / primal_step
     x = relaxed = start.cut()
     duals: list[TensorFrame | None] = [None] * len(operators)
     for k in range(max_iterations):
@@ -167,11 +214,11 @@ def direct_reconstruction(data: TensorFrame, fourier, maps=None, weights=None) -
 
 
 def sense(data: TensorFrame, fourier, maps, iterations: int = 5, regularization: float = 0.0, prior: TensorFrame | None = None, weights=None) -> TensorFrame:
-    """(AᴴA + λ) x = Aᴴ y + λ prior by conjugate gradients, a fixed number of steps."""
+    """(Aᴴ W A + λ) x = Aᴴ W y + λ prior by conjugate gradients, a fixed number of steps."""
     from lattica.plans.algebra import Identity
 
     a = fourier @ maps
-    op, rhs = a.gram, a.H(weights(data)[0] if weights else data)[0]
+    op, rhs = a.H @ weights @ a if weights else a.gram, a.H(weights(data)[0] if weights else data)[0]
     if regularization:
         op = op + regularization * Identity()
         rhs = rhs if prior is None else rhs + prior * regularization

@@ -143,11 +143,6 @@ def slice_profiles(spark, d):
     )
 
 
-@query()
-def slice_smoothed_rectangular(spark, d):
-    return lines(spark, d).select("l_orderkey", "l_linenumber", r(scalar.slice_smoothed_rectangular("x", 0.2, 0.1)).alias("profile"))
-
-
 @query("SELECT c_custkey, round(sqrt(c_acctbal * c_acctbal + c_nationkey * c_nationkey), 6) AS magnitude, round(atan2(c_nationkey, c_acctbal), 9) AS phase FROM customer")
 def magnitude_phase(spark, d):
     p = Pair(F.col("c_acctbal"), F.col("c_nationkey").cast("double"))
@@ -179,7 +174,8 @@ def rotation_magnitude(spark, d):
     return lines(spark, d).select("l_orderkey", "l_linenumber", r(rotation.Rot.about("y", "t1").magnitude()).alias("angle"))
 
 
-@query()
+@query(f"""WITH {LINES}, m AS (SELECT l_orderkey % 100 AS g, atan2(2 * sum(sin(t2 / 2) * cos(t2 / 2)), sum(cos(t2 / 2) ** 2 - sin(t2 / 2) ** 2)) / 2 AS half FROM l GROUP BY 1)
+SELECT g, round(sin(half), 5) + 0.0 AS qz, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qx, round(cos(half), 5) + 0.0 AS qw FROM m""")
 def rotation_mean(spark, d):
     q = rotation.Rot.about("z", "t2")
     df = lines(spark, d).select(F.pmod("l_orderkey", F.lit(100)).alias("g"), q.v.z.alias("qz"), q.v.y.alias("qy"), q.v.x.alias("qx"), q.w.alias("qw"))
@@ -238,9 +234,9 @@ def split_cyclic_blocks(spark, d):
     return structure.split_blocks(df, "i", 6, 2, True, "n").select("user_id", "block", "place", "value")
 
 
-@query("SELECT o_custkey, o_orderkey, (dense_rank() OVER (ORDER BY o_orderpriority, o_orderstatus) - 1)::INT AS other, (row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_custkey, o_orderkey) - 1)::INT AS place FROM orders WHERE o_orderkey % 4 = 1 AND o_custkey < 200")
+@query("SELECT o_custkey, o_orderkey, (dense_rank() OVER (ORDER BY o_orderpriority, o_orderstatus) - 1)::INT AS other, (row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_custkey, o_orderkey) - 1)::INT AS place FROM orders")
 def regroup_by_labels(spark, d):
-    df = table(spark, d, "orders").where("o_orderkey % 4 = 1 and o_custkey < 200")
+    df = table(spark, d, "orders")
     return structure.regroup(df, ["o_orderstatus", "o_orderpriority"], ["o_orderkey", "o_custkey"]).select("o_custkey", "o_orderkey", "other", "place")
 
 
@@ -269,9 +265,9 @@ def rearrange_axes(spark, d):
     return values(structure.rearrange(image(spark, d), "(a b) x -> (a x) b", a=4))
 
 
-@query(f"WITH {IMAGE} SELECT (y + 2)::INT AS y, (x - 3)::INT AS x, round(re, 6) AS re, round(im, 6) AS im FROM img WHERE x - 3 BETWEEN 0 AND 9")
+@query(f"WITH {IMAGE} SELECT (y + 3)::INT AS y, (x - 4)::INT AS x, round(re, 6) AS re, round(im, 6) AS im FROM img WHERE x - 4 BETWEEN 0 AND 8")
 def pad_or_crop(spark, d):
-    return values(structure.PadOrCropOp({"y": 16, "x": 16}, {"y": 20, "x": 10})(image(spark, d))[0])
+    return values(structure.PadOrCropOp({"y": 16, "x": 16}, {"y": 21, "x": 9})(image(spark, d))[0])
 
 
 @query(f"WITH {IMAGE} SELECT y, x, round(re, 6) AS re, round(im, 6) AS im FROM img UNION ALL SELECT y + 16, x, round(2 * re, 6), round(2 * im, 6) FROM img")
@@ -468,10 +464,10 @@ def ssim_windows(spark, d):
     return reduce.ssim(x, y, {"y": 7, "x": 7}, data_range=1.0).select("y", "x", r(F.col("ssim"), 4).alias("ssim"))
 
 
-@query("""WITH v AS (SELECT vec_id, label, unnest(range(8)) AS k, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings)
+@query(f"""WITH {VECTORS}
 SELECT a.label, a.k::INT AS i, b.k::INT AS j, round(avg(a.v * b.v), 6) + 0.0 AS re FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2, 3""")
 def channel_covariance(spark, d):
-    df = vectors(spark, d).where("k < 8").select("label", "vec_id", "k", F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    df = vectors(spark, d).select("label", "vec_id", "k", F.col("v").alias("re"), F.lit(0.0).alias("im"))
     return reduce.covariance(df, ["label"], ["vec_id"], "k").select("label", "i", "j", r(F.col("re")).alias("re"))
 
 
@@ -506,9 +502,9 @@ def trajectory_types(spark, d):
     return generators.on_grid(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], ["l_returnflag"])
 
 
-@query("SELECT p_brand, min(p_size) AS p_size_from, max(p_size) + 1 AS p_size_to FROM part WHERE p_retailprice > 1000 GROUP BY 1")
+@query("SELECT p_brand, min(p_size) AS p_size_from, max(p_size) + 1 AS p_size_to FROM part WHERE p_retailprice > 950 GROUP BY 1")
 def mask_bounding_box(spark, d):
-    return generators.bounding_box(table(spark, d, "part"), F.col("p_retailprice") > 1000, ["p_brand"], ["p_size"])
+    return generators.bounding_box(table(spark, d, "part"), F.col("p_retailprice") > 950, ["p_brand"], ["p_size"])
 
 
 @query("SELECT l_orderkey, round(sum(l_quantity * l_linenumber * 0.0987654321::DOUBLE) / sum(l_quantity), 6) AS value, arg_max(l_linenumber, (l_quantity, -l_linenumber)) AS main FROM lineitem GROUP BY 1")
@@ -598,7 +594,10 @@ def fourier_nonuniform(spark, d):
     return values(op(image(spark, d))[0], 4)
 
 
-@query()
+@query(f"""WITH {IMAGE}, t AS (SELECT sample, (sample * 0.37) % 16 - 8 AS k_y, (sample * 0.73) % 16 - 8 AS k_x FROM (SELECT unnest(range(40))::INT AS sample)),
+f AS (SELECT sample, k_y, k_x, sum(re * cos({_NUFFT}) - im * sin({_NUFFT})) / 16 AS a, sum(re * sin({_NUFFT}) + im * cos({_NUFFT})) / 16 AS b FROM img, t GROUP BY 1, 2, 3)
+SELECT y, x, round(sum(a * cos({_NUFFT}) + b * sin({_NUFFT})) / 16, 4) + 0.0 AS re, round(sum(b * cos({_NUFFT}) - a * sin({_NUFFT})) / 16, 4) + 0.0 AS im
+FROM f, (SELECT unnest(range(16))::INT AS y), (SELECT unnest(range(16))::INT AS x) GROUP BY 1, 2""")
 def fourier_toeplitz_gram(spark, d):
     import numpy as np
 
@@ -626,22 +625,26 @@ def magnetic_fingerprint(spark, d):
     return out.select("s_suppkey", F.size("re").alias("n"), r(F.expr("aggregate(zip_with(re, im, (a, b) -> a * a + b * b), 0D, (a, x) -> a + x)")).alias("energy"))
 
 
-@query("SELECT y, x, sum(CASE WHEN ((x - 16) / 32 - cx) ** 2 / rx ** 2 + ((y - 16) / 32 - cy) ** 2 / ry ** 2 <= 1 THEN a ELSE 0 END) AS re FROM (SELECT unnest(range(32))::INT AS y), (SELECT unnest(range(32))::INT AS x), (VALUES (0.2::DOUBLE, 0.2::DOUBLE, 0.25::DOUBLE, 0.25::DOUBLE, 1.0::DOUBLE), (0.1, -0.1, 0.3, 0.1, 2.0), (-0.2, 0.2, 0.18, 0.25, 4.0)) e(cx, cy, rx, ry, a) GROUP BY 1, 2")
+@query("SELECT y, x, sum(CASE WHEN ((x - 16) / 32 - cx) ** 2 / rx ** 2 + ((y - 16) / 32 - cy) ** 2 / ry ** 2 <= 1 THEN a ELSE 0 END) AS re FROM (SELECT unnest(range(32))::INT AS y), (SELECT unnest(range(32))::INT AS x), (VALUES (0.2::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE, 0.25::DOUBLE, 1.0::DOUBLE), (0.1, -0.1, 0.3, 0.1, 2.0), (-0.2, 0.2, 0.18, 0.25, 4.0)) e(cx, cy, rx, ry, a) GROUP BY 1, 2")
 def ellipse_phantom(spark, d):
     return generators.ellipse_image(spark, 32, 32).df.select("y", "x", "re")
 
 
-@query()
+@query(f"""WITH {TRAJ}, q AS (SELECT sample, k_y, k_x, a, rx * ry AS area, cx * k_x + cy * k_y AS shift, 2 * pi() * sqrt(rx * rx * k_x * k_x + ry * ry * k_y * k_y) AS q
+FROM t, (VALUES (0.2::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE, 0.25::DOUBLE, 1.0::DOUBLE), (0.1, -0.1, 0.3, 0.1, 2.0), (-0.2, 0.2, 0.18, 0.25, 4.0)) e(cx, cy, rx, ry, a)),
+j AS (SELECT sample, a, area, shift, q, avg(cos(u - q * sin(u))) AS j FROM q, (SELECT (unnest(range(256)) + 0.5) * pi() / 256 AS u) GROUP BY ALL)
+SELECT sample, round(32 * sum(a * 2 * pi() * area * CASE WHEN q < 1e-9 THEN 0.5 ELSE j / q END * cos(2 * pi() * shift)), 5) + 0.0 AS re,
+round(-32 * sum(a * 2 * pi() * area * CASE WHEN q < 1e-9 THEN 0.5 ELSE j / q END * sin(2 * pi() * shift)), 5) + 0.0 AS im FROM j GROUP BY 1""")
 def ellipse_phantom_kspace(spark, d):
     out = generators.ellipse_kspace(trajectory(spark, d).select("sample", "k_y", "k_x"), "k_y", "k_x", 32, 32)
-    return out.select("sample", r(F.col("re")).alias("re"), r(F.col("im")).alias("im"))
+    return out.select("sample", r(F.col("re"), 5).alias("re"), r(F.col("im"), 5).alias("im"))
 
 
-@query("""WITH g AS (SELECT coil, y, x, (y - 8) / 8 - 1.5 * sin(coil * 2 * pi() / 4) AS dy, (x - 8) / 8 - 1.5 * cos(coil * 2 * pi() / 4) AS dx FROM (SELECT unnest(range(4))::INT AS coil), (SELECT unnest(range(16))::INT AS y), (SELECT unnest(range(16))::INT AS x))
-SELECT y, x, round(sum(1 / (dx * dx + dy * dy)), 4) AS power FROM g GROUP BY 1, 2""")
+@query("""WITH g AS (SELECT coil, y, x, y - 8 - 15 * 1.5 * sin(coil * 2 * pi() / 5) AS dy, x - 8 - 16 * 1.5 * cos(coil * 2 * pi() / 5) AS dx FROM (SELECT unnest(range(5))::INT AS coil), (SELECT unnest(range(15))::INT AS y), (SELECT unnest(range(16))::INT AS x)),
+n AS (SELECT y, x, sqrt(sum(1 / (dx * dx + dy * dy))) AS rss FROM g GROUP BY 1, 2)
+SELECT coil, y, x, round(cos(atan2(dx, -dy) - coil * 2 * pi() / 5) / sqrt(dx * dx + dy * dy) / (rss + 1e-8), 5) + 0.0 AS re, round(sin(atan2(dx, -dy) - coil * 2 * pi() / 5) / sqrt(dx * dx + dy * dy) / (rss + 1e-8), 5) + 0.0 AS im FROM g JOIN n USING (y, x)""")
 def birdcage_coils(spark, d):
-    m = generators.birdcage(spark, 4, 16, 16, normalize=False)
-    return m.df.groupBy("y", "x").agg(F.round(F.sum(F.col("re") ** 2 + F.col("im") ** 2), 4).alias("power"))
+    return values(generators.birdcage(spark, 5, 15, 16), 5)
 
 
 @query("SELECT l_orderkey, l_linenumber, (l_linenumber - 4)::DOUBLE AS ky, (l_quantity - 25)::DOUBLE AS kx, (CASE WHEN l_linestatus = 'O' THEN -1 - (l_quantity - 25) ELSE l_quantity - 25 END)::DOUBLE AS readout FROM lineitem")
@@ -682,3 +685,6 @@ def operator_norm(spark, d):
     w = TensorFrame(spark.range(16).select(F.col("id").cast("int").alias("y"), F.when(F.col("id") == 3, 4.0).otherwise(0.5).alias("re"), F.lit(0.0).alias("im")), {"y": 16})
     s = gather.DensityCompensationOp(w).operator_norm(image(spark, d), steps=8)
     return spark.createDataFrame([("norm", round(s, 3))], "name string, s double")
+
+
+from lattica import queries_more  # noqa: E402, F401

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.models import GYROMAGNETIC_RATIO_PROTON
 from lattica.tensor import TensorFrame
 from lattica.workers import reachable
 
@@ -37,15 +38,53 @@ def radial_phase_encoding(df: DataFrame, centers: tuple[int, int], angle: float,
     return df.withColumns({"kz": r * F.sin(F.col("k2") * angle), "ky": r * F.cos(F.col("k2") * angle), "kx": readout("k0", centers[1]).cast("double")})
 
 
-def spiral_2d(spark: SparkSession, interleaves: int, samples: int, turns: float, radius: float, power: float = 1.0, angle: float = 2.39996) -> DataFrame:
-    """Variable-density spiral: radius grows with the power of the angle."""
-    df = spark.range(interleaves * samples).select(F.floor(F.col("id") / samples).cast("int").alias("k1"), F.pmod("id", F.lit(samples)).cast("int").alias("k0"))
-    t = F.col("k0") / (samples - 1)
-    phi = t * (2 * math.pi * turns) + F.col("k1") * angle
-    r = F.pow(t, F.lit(power)) * radius
+def spiral_2d(spark: SparkSession, interleaves: int, samples: int, matrix: int, fov: float = 0.5, acceleration: float = 20.0, density: float = 1.0, max_gradient: float = 0.1, max_slew: float = 100.0, gamma: float = GYROMAGNETIC_RATIO_PROTON, angle: float = 2.39996) -> DataFrame:
+    """Variable-density spiral k(t) = lam * u(t)^density * exp(i w u(t)) that stays within the limits of
+    gradient (T/m) and slew rate (T/m/s): u follows the slew limit first and, from where that would pass
+    the gradient limit, the gradient limit. Coordinates are in 1/m; density above 1 samples the center more."""
+    if min(fov, acceleration, density, max_gradient, max_slew) <= 0:
+        raise ValueError("field of view, acceleration, density and limits must be positive")
+    lam, half, whole = matrix / (2 * fov), density / 2 + 1, density + 1
+    w = 2 * math.pi / (1 - (1 - 2 * acceleration / matrix) ** (1 / density))
+    by_slew = w / half * math.sqrt(lam / (max_slew * gamma))  # duration under the slew limit alone
+    by_gradient = lam * w / (max_gradient * gamma * whole)
+    switch = (by_slew ** (whole / half) * half / (by_gradient * whole)) ** (1 + 2 / density)
+    end = by_gradient if switch < by_slew else by_slew
+    df = spark.range(interleaves * samples).select(F.expr(f"cast(id div {samples} as int)").alias("k1"), F.pmod("id", F.lit(samples)).cast("int").alias("k0"))
+    t = F.col("k0") * (end / (samples - 1))
+    u = F.pow(t / by_slew, F.lit(1 / half))
+    if switch < by_slew:
+        u = F.when(t <= switch, u).otherwise(F.pow(F.least(t / by_gradient, F.lit(1.0)), F.lit(1 / whole)))
+    phi, r = u * w + F.col("k1") * angle, F.pow(u, F.lit(density)) * lam
     return df.withColumns({"kz": F.lit(0.0), "ky": r * F.sin(phi), "kx": r * F.cos(phi)})
 
 
+def dummy(df: DataFrame) -> DataFrame:
+    """Coordinates of 0, where only the readings matter."""
+    return df.withColumns({n: F.lit(0.0) for n in ("kz", "ky", "kx")})
+
+
+def stored(df: DataFrame, trajectory: str, encoding: tuple[int, int, int], normalized: bool = True) -> DataFrame:
+    """Coordinates that came with the readings: an array of (x, y[, z]) for each sample, or of numbers in
+    this order. Normalized ones lie in [-0.5, 0.5] and are scaled to the encoding size (z, y, x)."""
+    c = F.col(trajectory)
+    scale = dict(zip("zyx", encoding)) if normalized else dict.fromkeys("zyx", 1.0)
+    return df.withColumns({f"k{n}": F.coalesce(F.get(c, F.lit(k)).cast("double") * scale[n], F.lit(0.0)) for k, n in enumerate("xyz")})
+
+
+def as_tensor(df: DataFrame, axes: dict[str, int], direction: str = "direction") -> TensorFrame:
+    """Coordinates kz, ky, kx stacked along a first axis."""
+    rows = df.select(*axes, F.posexplode(F.array("kz", "ky", "kx")).alias(direction, "re")).select(direction, *axes, F.col("re").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    return TensorFrame(rows, {direction: 3} | axes)
+
+
+def from_tensor(x: TensorFrame, direction: str = "direction", order: str = "zyx") -> DataFrame:
+    """Rows with kz, ky, kx of coordinates stacked along an axis in the given order."""
+    rest = [n for n in x.names if n != direction]
+    pick = [F.coalesce(F.max(F.when(F.col(direction) == k, F.col("re"))), F.lit(0.0)).alias(f"k{n}") for k, n in enumerate(order)]
+    return x.df.groupBy(*rest).agg(*pick)
+
+
 def on_grid(df: DataFrame, columns: list[str], by: list[str] | None = None, tolerance: float = 1e-3) -> DataFrame:
     """For each coordinate: does every point lie on the grid, and is there one value only?"""
     aggs = []
@@ -64,12 +103,12 @@ def variable_density(spark: SparkSession, low: int, high: int, n: int, fwhm: flo
 
 
 def birdcage(spark: SparkSession, coils: int, ny: int, nx: int, radius: float = 1.5, normalize: bool = True) -> TensorFrame:
-    """Coil maps 1 / distance * exp(i angle) of coils on a circle."""
+    """Coil maps 1 / distance * exp(i angle), in pixels, of coils on a circle of radius times the matrix."""
     shape = TensorFrame(spark.range(0).select(F.lit(0).alias("coil"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im")), {"coil": coils, "y": ny, "x": nx})
     df = shape.grid(spark)
     phi = F.col("coil") * (2 * math.pi / coils)
-    y, x = (F.col("y") - ny / 2) / (ny / 2) - radius * F.sin(phi), (F.col("x") - nx / 2) / (nx / 2) - radius * F.cos(phi)
-    r, turn = F.sqrt(x * x + y * y), F.atan2(x, -y) + phi
+    y, x = F.col("y") - -(-ny // 2) - ny * radius * F.sin(phi), F.col("x") - -(-nx // 2) - nx * radius * F.cos(phi)
+    r, turn = F.sqrt(x * x + y * y), F.atan2(x, -y) - phi
     df = df.select("coil", "y", "x", (F.cos(turn) / r).alias("re"), (F.sin(turn) / r).alias("im"))
     out = TensorFrame(df, shape.axes)
     if normalize:
@@ -79,8 +118,8 @@ def birdcage(spark: SparkSession, coils: int, ny: int, nx: int, radius: float =
     return out
 
 
-#: center x, center y, radius x, radius y, intensity.
-ELLIPSES = ((0.2, 0.2, 0.25, 0.25, 1.0), (0.1, -0.1, 0.3, 0.1, 2.0), (-0.2, 0.2, 0.18, 0.25, 4.0))
+#: Center x, center y, radius x, radius y, intensity.
+ELLIPSES = ((0.2, 0.2, 0.1, 0.25, 1.0), (0.1, -0.1, 0.3, 0.1, 2.0), (-0.2, 0.2, 0.18, 0.25, 4.0))
 
 
 def ellipse_image(spark: SparkSession, ny: int, nx: int, ellipses=ELLIPSES) -> TensorFrame:
@@ -132,16 +171,36 @@ def bounding_box(df: DataFrame, mask: Column, by: list[str], axes: list[str]) ->
     return df.where(mask).groupBy(*by).agg(*(a for n in axes for a in (F.min(n).alias(f"{n}_from"), (F.max(n) + 1).alias(f"{n}_to"))))
 
 
-def field_map(spark: SparkSession, ny: int, nx: int, order: int = 3, sigma: float = 1.0, seed: int = 0) -> TensorFrame:
-    """Random smooth map: a polynomial with normal coefficients up to an order."""
-    c = np.random.default_rng(seed).normal(0, sigma, (order + 1, order + 1))
-    df = spark.range(ny * nx).select(F.floor(F.col("id") / nx).cast("int").alias("y"), F.pmod("id", F.lit(nx)).cast("int").alias("x"))
-    y, x = (F.col("y") - ny / 2) / ny, (F.col("x") - nx / 2) / nx
+def solid_harmonics(z: Column, y: Column, x: Column, degree: int) -> dict[tuple[int, int], Column]:
+    """r^n Y_nm of real, normalized spherical harmonics by (n, m), as polynomials: powers of x + iy times
+    a recurrence in z and r^2. Negative m are the sine parts."""
+    r2, out = z * z + y * y + x * x, {}
+    c, s = F.lit(1.0), F.lit(0.0)
+    for m in range(degree + 1):
+        low, high = F.lit(0.0), F.lit(math.prod(range(2 * m - 1, 0, -2)) * 1.0)  # (2m - 1)!!
+        for n in range(m, degree + 1):
+            if n > m:
+                low, high = high, ((2 * n - 1) * z * high - (n + m - 1) * r2 * low) / (n - m)
+            norm = math.sqrt((2 * n + 1) / (4 * math.pi) * math.factorial(n - m) / math.factorial(n + m) * (2 if m else 1))
+            out[n, m] = norm * high * c
+            if m:
+                out[n, -m] = norm * high * s
+        c, s = x * c - y * s, x * s + y * c
+    return out
+
+
+def field_map(spark: SparkSession, shape: tuple[int, int, int], fov: tuple[float, float, float], degree: int = 3, sigma: float = 1.0, seed: int = 0) -> TensorFrame:
+    """Random field (z, y, x) in a source-free volume: solid harmonics of degree 1 to `degree` around the
+    center, over half the largest field of view, with normal coefficients of deviation sigma / degree."""
+    rng = np.random.default_rng(seed)
+    axes = dict(zip("zyx", shape))
+    grid = TensorFrame(spark.range(0).select(*(F.lit(0).alias(n) for n in axes), F.lit(0.0).alias("re"), F.lit(0.0).alias("im")), axes).grid(spark)
+    at = [(F.col(n) * (f / max(1, k - 1)) - f / 2 * (k > 1)) * (2 / max(fov)) for n, k, f in zip("zyx", shape, fov)]
     value = F.lit(0.0)
-    for i in range(order + 1):
-        for j in range(order + 1 - i):
-            value = value + float(c[i, j]) * y**i * x**j
-    return TensorFrame(df.select("y", "x", value.alias("re"), F.lit(0.0).alias("im")), {"y": ny, "x": nx})
+    for (n, _), harmonic in sorted(solid_harmonics(*at, degree).items(), key=lambda e: e[0]):
+        if n:
+            value = value + float(rng.normal(0, sigma / n)) * harmonic
+    return TensorFrame(grid.select(*axes, value.alias("re"), F.lit(0.0).alias("im")), axes)
 
 
 def random_directions(df: DataFrame, kappa: float = 0.0, seed: int = 0) -> DataFrame:
@@ -163,16 +222,16 @@ def random_rotations(df: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def sunflower(df: DataFrame, center: int) -> DataFrame:
-    """Golden-angle radial phase encoding, k1 shifted by the rank of the line's angle; one row a line
-    is ranked, not one a sample."""
+    """Golden-angle radial phase encoding. Line k2 is shifted by the golden ratio times the rank of its
+    angle, modulo 1 and less a half; the samples with k1 = 0 lie in the center. One row a line is
+    ranked, not one a sample."""
     from pyspark.sql import Window
 
     angle = F.pmod(F.col("k2") * GOLDEN, F.lit(math.pi))
     lines = df.select("k2").distinct().withColumn("__a", angle)
-    n = lines.count()
-    rank = (F.row_number().over(Window.orderBy("__a")) - 1) / n
-    out = df.join(F.broadcast(lines.withColumn("__s", rank)), "k2")
-    r = F.when(F.col("k1") == center, F.lit(0.0)).otherwise(F.col("k1") - center + F.col("__s"))
+    rank = F.row_number().over(Window.orderBy("__a")) - 1
+    out = df.join(lines.withColumn("__s", F.pmod(rank * ((1 + math.sqrt(5)) / 2), F.lit(1.0)) - 0.5), "k2")
+    r = F.when(F.col("k1") == 0, F.lit(0.0)).otherwise(F.col("k1") - center + F.col("__s"))
     return out.withColumns({"ky": r * F.cos("__a"), "kz": r * F.sin("__a")}).drop("__a", "__s")
 
 

@@ -119,9 +119,16 @@ class TensorFrame:
 
     def cut(self) -> TensorFrame:
         """End the lineage with a checkpoint in the shared folder; for loops."""
-        sc = self.df.sparkSession.sparkContext
-        if not sc.getConf().get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-            import tempfile
+        return replace(self, df=checkpointed(self.df))
 
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
-        return replace(self, df=self.df.checkpoint())
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder; a temporary folder serves only where all runs in one machine."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        import tempfile
+
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
+    return df.checkpoint()
