@@ -4,8 +4,8 @@ Words, their stems (the first STEM letters of longer words), pairs of neighbours
 that a text has counts once. FTRL-proximal keeps a rate for each coordinate, and its L1 term leaves
 most weights at zero, so the model is a short list of places and weights, which is broadcast (at most
 2 ** BITS of them). It is fitted on at most FIT_ROWS labelled rows, those with the least hash of their
-id; features are made on the executors, and one task runs the epochs over the features of that bounded
-sample.
+id, as far as their features take at most FIT_BYTES together; features are made on the executors, and
+one task runs the epochs over the features of that bounded sample.
 
 Defined results: null and empty texts have no feature and get the model's prior. Without labelled
 rows the score is 0.5 everywhere. Documents labelled several times count as toxic if any label says
@@ -20,13 +20,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import prepare
 
 BITS = 20
-FIT_ROWS = 20_000
+FIT_ROWS, FIT_BYTES = 20_000, 256 << 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 STEM = 5
@@ -112,6 +112,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = FIT
     chosen = chosen.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "turn")  # at most `rows` rows
     made = sample.mapInArrow(_features, "places binary, toxic int, turn long")
+    so_far = Window.orderBy("turn", "places").rowsBetween(Window.unboundedPreceding, 0)  # of at most `rows` rows
+    made = made.withColumn("__bytes", F.sum(F.octet_length("places")).over(so_far)).where(F.col("__bytes") <= FIT_BYTES).drop("__bytes")
     fitted = made.repartition(1).sortWithinPartitions("turn", "places").mapInArrow(_ftrl, "place long, weight double")
     return {r.place: r.weight for r in fitted.collect()}  # at most 2 ** BITS + 1 rows, few with L1
 

@@ -97,6 +97,14 @@ def test_quality_filter_keeps_columns(edge, docs):
     assert quality.filter_documents(docs.limit(0)).count() == 0 and quality.digest(docs.limit(0)).count() == 0
 
 
+def test_texts_in_other_letters_need_no_stop_words(spark):
+    rng = np.random.default_rng(1)
+    word = lambda low, n: "".join(chr(low + k) for k in rng.integers(0, n, 5))
+    texts = [" ".join(word(low, n) for _ in range(150)) for low, n in ((0x430, 30), (0x4E00, 900), (0x62, 24))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in quality.digest(df).where("kept").collect()} == {0, 1}
+
+
 def test_quality_oracle(docs):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
@@ -583,3 +591,44 @@ def test_held_out_rows_teach_nothing(spark):
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     flipped = marks.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))
     assert toxicity.fit(spark, big, marks) == toxicity.fit(spark, big, flipped)
+
+
+def test_toxicity_is_ftrl_proximal(spark, monkeypatch):
+    """The weights of the operator against the update rule written out coordinate by coordinate, and its scores
+    against features written out text by text."""
+    rng, words = np.random.default_rng(2), [f"w{k}" for k in range(12)] + ["insulting", "insults"]
+    docs = [(k, " ".join(rng.choice(words, rng.integers(0, 9)))) for k in range(500)]
+    df = spark.createDataFrame([*docs, (900, None), (901, "word " * 40_000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int("insult" in t)) for k, t in docs], "doc_id long, toxic int")
+
+    def features(text):
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        h = lambda x, seed: xxhash.xxh64_intdigest(x.encode(), seed)
+        one = [h(x, 7) for x in w]
+        out = one + [h(x[:5], 11) if len(x) > 5 else h(x, 7) for x in w]
+        for gap in (1, 2):
+            for a, b in zip(one, one[gap:]):
+                left = (a * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64
+                out.append((left ^ (b * (2 * gap + 1) % 2**64)) * 0xBF58476D1CE4E5B9 % 2**64)
+        return sorted({x >> 44 for x in out})
+
+    order = {r.doc_id: r.t for r in df.select("doc_id", F.xxhash64("doc_id").alias("t")).collect()}
+    taught = sorted((i for i, _ in docs if zlib.crc32(str(i).encode()) % 4 != 2), key=lambda i: order[i])
+    texts, z, n = dict(docs), Counter(), Counter()
+    l1 = lambda i: toxicity.L1 if i < 2**20 else 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= l1(i) else -(z[i] - l1(i) * np.sign(z[i])) / ((toxicity.BETA + np.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(toxicity.EPOCHS):
+        for i in taught:
+            x = [*features(texts[i]), 2**20]
+            g = 1 / (1 + np.exp(-sum(map(weight, x)))) - ("insult" in texts[i])
+            for k, w in [(k, weight(k)) for k in x]:
+                z[k] += g - (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / toxicity.ALPHA * w
+                n[k] += g * g
+    want = {k: weight(k) for k in z if weight(k)}
+    got = toxicity.fit(spark, df, marks)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 3
+    scores = {r.doc_id: r.score for r in toxicity.score(spark, df, got).collect()}
+    for i, t in df.collect():
+        assert abs(scores[i] - 1 / (1 + np.exp(-sum(want.get(k, 0.0) for k in [*features(t), 2**20])))) < 1e-9
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 400)
+    assert len(toxicity.fit(spark, df, marks)) < len(got)
