@@ -19,23 +19,36 @@ from lattica.llm.common import once
 
 SYMBOLS = "#*$%&|<>"
 
-#: Frequent function words of the languages that the rules are made for.
+#: Frequent function words of languages in Latin letters; texts in other letters are not held to them.
 STOP_WORDS = (
     "the be to of and that have with a in is it for on as at by are was this from or an not you "
     "le la les un une de du des et est en que qui dans pour par sur il elle avec au ne se "
     "der die das und ist den von zu mit ein eine auf im für nicht dem sich "
-    "el los las una del y es por con para lo su al como no"
+    "el los las una del y es por con para lo su al como no "
+    "di il che per non una sono gli della si anche ma ha nel "
+    "os um uma em se da do dos das mais mas foi ao ele "
+    "het een van dat niet op te zijn voor met er maar om hij ook "
+    "na nie że jest od jak po co tak ale przez "
+    "och att som det är av för inte han jag till men ett har "
+    "og af til der ikke på jeg vi kan så hun den "
+    "ja ei se että oli hän mutta kun niin ovat "
+    "se je že do ale by si jsem tak "
+    "bir ve bu da için ile çok ne daha gibi ama olarak "
+    "și în cu nu mai din este pe care sau ca fi "
+    "yang dan ini itu dari untuk dengan tidak akan ke ada"
 ).split()
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document of min_words or more fails unless low <= metric <= high."""
+    """A document of min_words or more, with min_latin of its code points in words basic Latin letters,
+    fails unless low <= metric <= high."""
 
     metric: str
     low: float | None = None
     high: float | None = None
     min_words: int = 0
+    min_latin: float = 0.0
 
     def failed(self, metrics: dict[str, Column]) -> Column:
         value, out = metrics[self.metric], F.lit(False)
@@ -43,6 +56,8 @@ class Rule:
             out = out | (value < self.low)
         if self.high is not None:
             out = out | (value > self.high)
+        if self.min_latin:
+            out = out & (metrics["latin_ratio"] >= self.min_latin)
         return out & (metrics["n_words"] >= self.min_words) if self.min_words else out
 
 
@@ -54,7 +69,7 @@ RULES = (
     Rule("symbol_ratio", high=0.3),
     Rule("upper_ratio", high=0.6),
     Rule("dup_line_ratio", high=0.5),
-    Rule("stop_ratio", low=0.01, min_words=100),
+    Rule("stop_ratio", low=0.01, min_words=100, min_latin=0.5),
 )
 
 #: Bits of a sorted window that hold its place; the others hold the upper bits of its hash.
@@ -87,6 +102,7 @@ _STEPS = (
         "n_dup_lines": "cast(size(__q_l) - size(array_distinct(__q_l)) as bigint)",
         "n_repeat_words": "aggregate(transform(__q_d, (a, j) -> least(3L, coalesce(get(__q_d, j + 1) - a, 3L))), 0L, (a, x) -> a + x)",
         "n_upper": "cast(length(__q_t) - length(translate(__q_t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as bigint)",
+        "n_latin": "cast(length(__q_t) - length(translate(__q_t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', '')) as bigint)",
         "n_stop": "cast(size(filter(__q_w, x -> lower(x) in ({stops}))) as bigint)",
     },
 )
@@ -113,6 +129,7 @@ def ratios(metrics: Column) -> dict[str, Column]:
         "upper_ratio": over("n_upper", "word_chars"),
         "dup_line_ratio": over("n_dup_lines", "n_lines"),
         "stop_ratio": over("n_stop", "n_words"),
+        "latin_ratio": over("n_latin", "word_chars"),
     }
 
 
@@ -156,9 +173,10 @@ r AS (SELECT rid, count(DISTINCT i + k) AS n FROM g, (SELECT unnest([0, 1, 2]) A
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda a: length(a))), 0)::BIGINT AS word_chars,
   (length(x) - length(translate(x, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
   coalesce(n, 0)::BIGINT AS n_repeat_words, length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper,
+  length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', '')) AS n_latin,
   len(list_filter(w, lambda a: list_contains([{stops}], lower(a)))) AS n_stop FROM w LEFT JOIN r USING (rid)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (word_chars < 1.5 * n_words OR word_chars > 25 * n_words OR n_symbols > 0.3 * n_words OR n_upper > 0.6 * word_chars
-  OR n_dup_lines > 0.5 * n_lines OR (n_words >= 100 AND n_stop < 0.01 * n_words)) AS kept FROM v
+  OR n_dup_lines > 0.5 * n_lines OR (n_words >= 100 AND 2 * n_latin >= word_chars AND n_stop < 0.01 * n_words)) AS kept FROM v
 """.format(stops=", ".join(f"'{w}'" for w in STOP_WORDS))
