@@ -92,7 +92,18 @@ def _remove(uri: str) -> None:
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there and a lost
-    executor costs nothing. The caller's cluster clears the folder with its job."""
+    executor costs nothing. What is not discarded the caller's cluster clears with its job."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lattica_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of `written` that no table still to be computed reads."""
+    path = getattr(df, "_lattica_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

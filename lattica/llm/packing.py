@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import prepare, written
+from lattica.llm.common import discard, prepare, written
 
 ROOM = 4096
 SALTS = 512
@@ -263,14 +263,17 @@ def rounds(spark: SparkSession, counts: DataFrame, room: int = ROOM) -> np.ndarr
             state, opened = state.unionByName(spark.range(1).select(*fresh)), opened + more
         found = swept(swept(state, F.floor(F.col("size") / wide).cast("int")), F.lit(0))
         found = written(spark, found, "round")
-        matched = found.where(F.col("kind") == MATCH)
-        done.append(matched)
-        shrunk = matched.where(F.col("gap") > F.col("q") * F.col("size")).select(
+        done.append(found)
+        shrunk = found.where((F.col("kind") == MATCH) & (F.col("gap") > F.col("q") * F.col("size"))).select(
             (F.col("gap") - F.col("q") * F.col("size")).alias("size"), F.lit(GAP).alias("kind"), F.col("first").alias("at"), F.floor(F.col("n") / F.col("q")).alias("n"), *match
         )
         state = found.where(F.col("kind") != MATCH).unionByName(shrunk)
-    rows = [c.to_numpy() for m in done for c in [m.select("size", "at", "first", (F.lit(room) - F.col("gap")).cast("long").alias("offset"), "q").toArrow()] for c in c.columns]
-    return np.concatenate([np.stack(rows[k : k + 5], 1).astype(np.int64) for k in range(0, len(rows), 5)]) if rows else np.zeros((0, 5), np.int64)
+    rows = []
+    for found in done:
+        own = found.where(F.col("kind") == MATCH).select("size", "at", "first", (F.lit(room) - F.col("gap")).cast("long").alias("offset"), "q").toArrow()
+        rows.append(np.stack([c.to_numpy() for c in own.columns], 1).astype(np.int64))
+        discard(found)
+    return np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
 
 
 def _placer(rounds):

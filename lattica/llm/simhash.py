@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import prepare, written
+from lattica.llm.common import discard, prepare, written
 
 #: Members of a variant that are compared pair by pair; larger ones are walked.
 DIRECT = 32
@@ -196,7 +196,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         # Small star: smaller neighbours of a node, and it itself, go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("x"), F.col("m")).where("x != m").unionByName(least.select(F.col("a").alias("x"), "m"))
-        edges = written(spark, small.select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "edges")
+        past, edges = edges, written(spark, small.select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "edges")
+        discard(past)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -221,10 +222,10 @@ def groups(spark: SparkSession, docs: DataFrame, config: Config = Config(), key:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text", grouped=None) -> DataFrame:
     """One row of each group (of `groups`, or of `grouped`), with the columns it came with: the row with the smallest key, of equal
-    keys the smallest checksum and length, and of rows equal in all of these any one."""
-    crc, size = F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")), F.coalesce(F.octet_length(f"`{text}`"), F.lit(-1))
-    row = F.struct(F.col(f"`{key}`").isNull().alias("o"), F.col(f"`{key}`").alias("k"), crc.alias("c"), size.alias("n"))
-    name = lambda x: F.concat_ws(":", F.coalesce(x["k"].cast("string"), F.lit("-")), x["c"], x["n"])
+    keys the smallest checksums (128 bits) and length, and of rows equal in all of these any one."""
+    whole, size = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.coalesce(F.octet_length(f"`{text}`"), F.lit(-1))
+    row = F.struct(F.col(f"`{key}`").isNull().alias("o"), F.col(f"`{key}`").alias("k"), F.xxhash64(whole).alias("c"), F.xxhash64(F.lit(1), whole).alias("d"), size.alias("n"))
+    name = lambda x: F.concat_ws(":", F.coalesce(x["k"].cast("string"), F.lit("-")), x["c"], x["d"], x["n"])
     rows = docs.select(row.alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = grouped(spark, rows) if grouped else groups(spark, rows, config)
     found = written(spark, found.select(name(F.col("doc_id")).alias("__d_key"), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("goes")), "decided")
