@@ -4,7 +4,7 @@ Two bag-of-n-grams models are counted over BUCKETS hash buckets of words and wor
 target texts and one over all raw texts. A document's log weight is the sum of log(target / raw) over
 its n-grams. Adding standard Gumbel noise to the log weight and keeping the k largest keys draws k
 documents one after another, each with a chance in proportion to its weight among those left. k is a
-budget, KEEP of all documents, which no label has a say in.
+budget, KEEP of all documents, whatever their labels.
 
 The target is a bounded sample: the texts of at most TARGET_ROWS rows labelled good, those with the
 least hash of their id. Raw counts and statistics cover all documents. The k-th largest key is found
