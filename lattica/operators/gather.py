@@ -252,12 +252,15 @@ def interp_join(points: DataFrame, table: DataFrame, x: str = "x", xp: str = "xp
     last table row before a point and the first one after it come from two running values."""
     t = table.select(F.col(xp).cast("double").alias("__x"), F.struct(F.col(xp).cast("double").alias("x"), F.col(fp).cast("double").alias("f")).alias("__t"), F.lit(None).cast(points.schema.simpleString()).alias("__p"))
     p = points.select(F.col(x).cast("double").alias("__x"), F.lit(None).cast("struct<x:double,f:double>").alias("__t"), F.struct(*points.columns).alias("__p"))
-    lo, hi = table.agg(F.min(xp).cast("double"), F.max(xp).cast("double")).first()
-    # A bucket holds a range of x; the rows at its edges are added from the nearest table rows.
-    buckets = 64
-    width = (hi - lo) / buckets if hi > lo else 1.0
-    bucket = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor((F.col("__x") - lo) / width))).cast("int")
-    t, p = t.withColumn("__b", bucket), p.withColumn("__b", bucket)
+    # A bucket holds a range of x, as many points as any other; the rows at its edges are added from the
+    # nearest table rows. There are as many buckets as shuffle partitions, and four times as many ranges.
+    from pyspark.ml.feature import Bucketizer
+
+    parts = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(t.select("__x").unionByName(p.select("__x")).approxQuantile("__x", [k / parts for k in range(1, parts)], 0.2 / parts)))
+    buckets = len(cuts) + 2  # the last one is for points that are no number
+    dealt = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__x", outputCol="__b", handleInvalid="keep") if cuts else None
+    t, p = ((dealt.transform(v) if dealt else v.withColumn("__b", F.lit(0))).withColumn("__b", F.col("__b").cast("int")) for v in (t, p))
     ends = t.groupBy("__b").agg(F.min("__t").alias("first"), F.max("__t").alias("last"))
     at = Window.orderBy("__b")  # at most `buckets` rows
     every = points.sparkSession.range(buckets).select(F.col("id").cast("int").alias("__b")).join(ends, "__b", "left")
@@ -285,7 +288,8 @@ def interpolate_axis(x: TensorFrame, axis: str, size: int, mode: str = "linear")
         part = at - F.floor(at)
         near = F.array(F.struct(F.floor(at).cast("int").alias("i"), (1 - part).alias("w")), F.struct(F.least(F.floor(at) + 1, F.lit(old - 1)).cast("int").alias("i"), part.alias("w")))
         pairs = spark.range(size).select(F.col("id").cast("int").alias("new"), F.explode(near).alias("e")).select("new", F.col("e.i").alias(axis), F.col("e.w").alias("w"))
-    rows = x.df.join(F.broadcast(pairs), axis).withColumns({"re": F.col("re") * F.col("w"), "im": F.col("im") * F.col("w")})
+    pairs = F.broadcast(pairs) if size <= BROADCAST_ROWS // 2 else pairs
+    rows = x.df.join(pairs, axis).withColumns({"re": F.col("re") * F.col("w"), "im": F.col("im") * F.col("w")})
     rows = rows.drop(axis).withColumnRenamed("new", axis)
     return x.summed([], rows, x.axes | {axis: size})
 

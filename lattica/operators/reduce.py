@@ -329,25 +329,44 @@ def density_1d(df: DataFrame, by: list[str], k: str, digits: int = 15) -> DataFr
 
 def voronoi_2d(points: np.ndarray) -> np.ndarray:
     """Areas of the Voronoi cells of distinct points inside a box ten times their extent, by cutting
-    the box with the bisectors of other points, nearest first, until none can reach the cell."""
+    the box with the bisectors of other points, nearest first, until none can reach the cell. Neighbours
+    are looked up nearest first in batches, and cells are cut in plain numbers: they have few corners."""
     center, half = (points.max(0) + points.min(0)) / 2, np.maximum((points.max(0) - points.min(0)) / 2, 1e-9) * 10
-    box = [center + half * s for s in ([-1, -1], [1, -1], [1, 1], [-1, 1])]
+    (cx, cy), (hx, hy) = center.tolist(), half.tolist()
     out = np.zeros(len(points))
-    for k, p in enumerate(points):
-        cell, d = box, np.linalg.norm(points - p, axis=1)
-        for j in np.argsort(d, kind="stable")[1:]:
-            if d[j] > 2 * max(np.linalg.norm(v - p) for v in cell):
-                break
-            n, m, cut = points[j] - p, (points[j] + p) / 2, []
-            for a, b in zip(cell, [*cell[1:], cell[0]]):
-                sa, sb = (a - m) @ n, (b - m) @ n
-                if sa <= 0:
-                    cut.append(a)
-                if sa * sb < 0:
-                    cut.append(a + (b - a) * sa / (sa - sb))
-            cell = cut
-        x, y = np.array(cell).T
-        out[k] = abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2
+    for k, (px, py) in enumerate(points.tolist()):
+        cell = [(cx - hx, cy - hy), (cx + hx, cy - hy), (cx + hx, cy + hy), (cx - hx, cy + hy)]
+        far = max((x - px) ** 2 + (y - py) ** 2 for x, y in cell)
+        d, done, take, open_ = ((points - points[k]) ** 2).sum(1), 1, 32, True
+        while open_ and done < len(d):
+            if take < len(d):
+                near = np.argpartition(d, take - 1)[:take]
+                near = near[np.argsort(d[near], kind="stable")]
+            else:
+                near = np.argsort(d, kind="stable")
+            for j in near[done:].tolist():
+                if d[j] > 4 * far:
+                    open_ = False
+                    break
+                qx, qy = points[j].tolist()
+                nx, ny = qx - px, qy - py
+                off = ((qx + px) * nx + (qy + py) * ny) / 2
+                side = [x * nx + y * ny - off for x, y in cell]
+                if max(side) <= 0:
+                    continue
+                cut = []
+                for i, (a, sa) in enumerate(zip(cell, side)):
+                    n = i + 1 - len(cell)
+                    b, sb = cell[n], side[n]
+                    if sa <= 0:
+                        cut.append(a)
+                    if sa * sb < 0:
+                        t = sa / (sa - sb)
+                        cut.append((a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t))
+                cell = cut
+                far = max((x - px) ** 2 + (y - py) ** 2 for x, y in cell)
+            done, take = max(done, len(near)), take * 4
+        out[k] = abs(sum(x * cell[i + 1 - len(cell)][1] - y * cell[i + 1 - len(cell)][0] for i, (x, y) in enumerate(cell))) / 2
     return out
 
 

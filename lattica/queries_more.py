@@ -139,9 +139,9 @@ def vector_from_arrays(spark, d):
 # Axes
 
 
-@query(f"WITH {IMAGE} SELECT (y * 16 + x) // 32 AS a, ((y * 16 + x) // 4 % 8)::INT AS b, ((y * 16 + x) % 4)::INT AS c, round(re, 6) AS re, round(im, 6) AS im FROM img")
+@query(f"WITH {IMAGE} SELECT ((y * 16 + x) // 32)::INT AS a, ((y * 16 + x) // 4 % 8)::INT AS b, ((y * 16 + x) % 4)::INT AS c, round(re, 6) AS re, round(im, 6) AS im FROM img")
 def tensor_reshape(spark, d):
-    return values(structure.reshape(image(spark, d), {"a": -1, "b": 8, "c": 4})).withColumn("a", F.col("a").cast("long"))
+    return values(structure.reshape(image(spark, d), {"a": -1, "b": 8, "c": 4}))
 
 
 @query(f"WITH {IMAGE} SELECT ((y - 1) // 3)::INT AS y, (CASE x WHEN 5 THEN 0 WHEN 15 THEN 1 ELSE 2 END)::INT AS x, round(re, 6) AS re, round(im, 6) AS im FROM img WHERE y % 3 = 1 AND y >= 1 AND x IN (5, 15, 0)")

@@ -162,7 +162,9 @@ def ellipse_kspace(points: DataFrame, ky: str, kx: str, ny: int, nx: int, ellips
 def tissue_map(fractions: DataFrame, tissues: DataFrame, by: list[str]) -> DataFrame:
     """Tissue-weighted parameter of each voxel and its main class: fractions (by, tissue, fraction),
     tissues (tissue, value)."""
-    rows = fractions.join(F.broadcast(tissues), "tissue")
+    from lattica.operators.gather import small
+
+    rows = fractions.join(small(tissues), "tissue")
     return rows.groupBy(*by).agg((F.sum(F.col("fraction") * F.col("value")) / F.sum("fraction")).alias("value"), F.max_by("tissue", F.struct("fraction", -F.col("tissue"))).alias("main"))
 
 

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from lattica.functions.complexpair import Pair
 
 
+#: Values of the second factor of an outer product that are broadcast.
+OUTER_ROWS = 1_000_000
+
+
 class ShapeError(ValueError):
     """Axes do not fit each other."""
 
@@ -96,6 +100,8 @@ class TensorFrame:
         shared = [n for n in s.names if n in self.axes]
         axes = self.axes | {n: k for n, k in s.axes.items() if n not in self.axes}
         right = s.df.select(*s.names, F.col("re").alias("re2"), F.col("im").alias("im2"))
+        if not shared and math.prod(s.shape) <= OUTER_ROWS:  # an outer product has all pairs
+            right = F.broadcast(right)
         rows = self.df.join(right, shared) if shared else self.df.crossJoin(right)
         return self.with_value(self.value * Pair(F.col("re2"), F.col("im2")), rows, axes)
 
