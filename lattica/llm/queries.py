@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, licenses, lm, packing, pii, quality, resample, sharding, simhash, toxicity
+from lattica.llm import chat, decontaminate, licenses, lm, middle, packing, pii, quality, resample, sharding, simhash, target, toxicity
 from lattica.llm.common import table
 
 
@@ -46,6 +46,18 @@ def op10_ftrl_toxicity(spark, sf_dir):
     return toxicity.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_chat_formatting(spark, sf_dir):
+    return chat.digest(spark, table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return middle.digest(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_target_resampling(spark, sf_dir):
+    return target.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -59,6 +71,14 @@ QUERIES = {
         op8_license_rules,
         op9_quality_rules,
         op10_ftrl_toxicity,
+        op11_chat_formatting,
+        op12_fill_in_middle,
+        op13_target_resampling,
     )
 }
-ORACLES = {"op9_quality_rules": quality.ORACLE}
+ORACLES = {
+    "op9_quality_rules": quality.ORACLE,
+    "op11_chat_formatting": chat.ORACLE,
+    "op12_fill_in_middle": middle.ORACLE,
+    "op13_target_resampling": target.ORACLE,
+}
