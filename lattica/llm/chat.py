@@ -149,21 +149,24 @@ def turns(spark: SparkSession, conversations: DataFrame, path: str | None = None
 
 
 def _masker(batches):
-    """Chunks from their pieces: ids put in place, masks summed from their edges."""
+    """Chunks from their pieces: ids put in place, masks summed from their edges. A batch's chunks lie
+    behind each other in one array; masks are closed where chunks meet."""
     for batch in batches:
-        ids, loss = [], []
-        for pieces in batch.column(2).to_pylist():
-            size = sum(len(p["ids"]) for p in pieces)
-            made, edges = np.zeros(size, np.int32), np.zeros(size + 1, np.int8)
-            for p in pieces:
-                made[p["at"] : p["at"] + len(p["ids"])] = p["ids"]
-                if p["lo"] < p["hi"]:
-                    edges[p["lo"]] += 1
-                    edges[p["hi"]] -= 1
-            ids.append(made)
-            loss.append(np.cumsum(edges[:-1], dtype=np.int8))
-        ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-        flat = lambda x, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else [], kind))
+        lists = batch.column(2)
+        pieces = lists.flatten()
+        at, lo, hi = (pieces.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+        parts = pieces.field(3)
+        ends = parts.offsets.to_numpy().astype(np.int64)
+        sizes, given = np.diff(ends), parts.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+        chunk = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(chunk, sizes, len(lists)).astype(np.int64))])
+        base = bounds[chunk]
+        ids = np.empty(len(given), np.int32)
+        ids[np.arange(len(given)) + np.repeat(base + at - (ends[:-1] - ends[0]), sizes)] = given
+        learned = lo < hi
+        edges = np.bincount((base + lo)[learned], minlength=len(given) + 1) - np.bincount((base + hi)[learned], minlength=len(given) + 1)
+        loss = np.cumsum(edges[:-1]).astype(np.int8)
+        flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, kind))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat(ids, pa.int32()), flat(loss, pa.int8())], ["conv_id", "chunk", "ids", "loss"])
 
 
