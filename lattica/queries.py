@@ -687,4 +687,4 @@ def operator_norm(spark, d):
     return spark.createDataFrame([("norm", round(s, 3))], "name string, s double")
 
 
-from lattica import queries_more  # noqa: E402, F401
+from lattica import queries_files, queries_more  # noqa: E402, F401

@@ -1,6 +1,7 @@
-"""Acquisitions as Parquet: readings as rows, filtered by flag bits, trimmed, sorted and regrouped.
+"""Acquisitions: readings as rows, filtered by flag bits, trimmed, sorted and regrouped.
 
-Binary scanner formats need libraries that are not at hand; `read_binary` takes any decoder for them.
+`coil_lines` turns the readings of raw files (`rawdata.readings`) or of Parquet into lines of samples;
+`read_binary` takes a decoder for any other format.
 """
 
 from __future__ import annotations
@@ -89,6 +90,57 @@ def longest_only(df: DataFrame, by: list[str], size: str) -> DataFrame:
     return df.join(most, [*by, size], "left_semi")
 
 
+def coil_lines(readings: DataFrame, headers: DataFrame | None = None, by: list[str] = ["file"]) -> DataFrame:  # noqa: B006
+    """(by, acq_id, coil, labels, acquisition_time_stamp in s, position and patient_table_position in m, re, im) of
+    readings of one number of coils and samples: that of the header's receiver channels, else the largest
+    number of coils, then the largest number of samples after those to discard. headers (by, vendor, misc)
+    decides about time stamps and conjugation; without it Siemens is assumed for time stamps, and nothing
+    is conjugated."""
+    most = readings.groupBy(*by).agg(F.max("active_channels").alias("__coils"))
+    if headers is not None:
+        said = F.col("misc")["acquisitionSystemInformation/receiverChannels"].cast("int")
+        most = most.join(headers.select(*by, F.lower("vendor").alias("__vendor"), said.alias("__said")), by, "left")
+        several = readings.groupBy(*by).agg(F.count_distinct("active_channels").alias("__kinds"))
+        most = most.join(several, by).withColumn("__coils", F.when(F.col("__kinds") > 1, F.coalesce("__said", "__coils")).otherwise(F.col("__coils"))).drop("__said", "__kinds")
+    else:
+        most = most.withColumn("__vendor", F.lit(None).cast("string"))
+    own = readings.join(most, by).where(F.col("active_channels") == F.col("__coils"))
+    own = own.withColumn("samples", F.col("number_of_samples") - F.col("discard_pre") - F.col("discard_post"))
+    own = longest_only(own, by, "samples")
+    labels = [c for c in ("k1", "k2", "average", "slice", "contrast", "phase", "repetition", "set", "segment", "flags", "center_sample", "sample_time_us") if c in own.columns]
+    meters = [F.transform(c, lambda v: v.cast("double") / 1000).alias(c) for c in ("position", "patient_table_position") if c in own.columns]
+    step = F.when(F.col("__vendor") == "osi2", 0.001).otherwise(0.0025)
+    line = lambda c, sign: F.transform(F.slice(c, F.col("coil") * F.col("number_of_samples") + F.col("discard_pre") + 1, F.col("samples")), lambda v: v.cast("double") * sign)
+    conjugate = F.when(F.coalesce(F.col("__vendor") == "siemens", F.lit(False)), -1.0).otherwise(1.0)
+    spread = own.withColumn("coil", F.explode(F.sequence(F.lit(0), F.col("__coils") - 1)))
+    return spread.select(*by, "acq_id", "coil", *labels, (F.col("acquisition_time_stamp") * step).alias("acquisition_time_stamp"), *meters, line("re", F.lit(1.0)).alias("re"), line("im", conjugate).alias("im"))
+
+
+def noise_lines(readings: DataFrame, by: list[str] = ["file"]) -> DataFrame:  # noqa: B006
+    """(by, acq_id, coil, re, im) of noise readings: nothing is discarded."""
+    n = F.col("number_of_samples")
+    spread = readings.where(is_noise()).withColumn("coil", F.explode(F.sequence(F.lit(0), F.col("active_channels") - 1)))
+    return spread.select(*by, "acq_id", "coil", *(F.transform(F.slice(c, F.col("coil") * n + 1, n), lambda v: v.cast("double")).alias(c) for c in ("re", "im")))
+
+
+def to_readings(lines: DataFrame, by: list[str], vendor: str = "siemens") -> DataFrame:
+    """Readings from coil lines (by, acq_id, coil, labels, re, im): coils behind each other, numbered in order of
+    time, back in the vendor's ticks and m as mm. A group is one reading."""
+    sign = -1.0 if vendor.lower() == "siemens" else 1.0
+    tick = 0.001 if vendor.lower() == "osi2" else 0.0025
+    known = [c for c in lines.columns if c not in (*by, "acq_id", "coil", "re", "im")]
+    gathered = lines.groupBy(*by, "acq_id").agg(*(F.first(c).alias(c) for c in known), F.array_sort(F.collect_list(F.struct("coil", "re", "im"))).alias("__c"))
+    flat = lambda part, s: F.flatten(F.transform("__c", lambda c: F.transform(c[part], lambda v: (v * s).cast("float"))))
+    out = gathered.select(*by, "acq_id", *known, F.size("__c").alias("active_channels"), F.size("__c").alias("available_channels"), F.size(F.col("__c")[0]["re"]).alias("number_of_samples"), flat("re", 1.0).alias("re"), flat("im", sign).alias("im"))
+    for c in ("position", "patient_table_position"):
+        if c in known:
+            out = out.withColumn(c, F.transform(c, lambda v: v * 1000))
+    if "acquisition_time_stamp" in known:
+        out = out.withColumn("acquisition_time_stamp", F.rint(F.col("acquisition_time_stamp") / tick).cast("long"))
+    order = Window.partitionBy(*by).orderBy(*([c for c in ("acquisition_time_stamp",) if c in known] + ["acq_id"]))
+    return out.withColumn("scan_counter", F.row_number().over(order) - 1)
+
+
 def with_seconds(df: DataFrame, column: str, vendor: str) -> DataFrame:
     return df.withColumn(column, ticks_to_seconds(column, vendor))
 

@@ -1,8 +1,8 @@
 """Image files: DICOM in and out, NIfTI in and out.
 
-Files are read with Spark's binary source and decoded on the executors, one file a row; files are
-written by the task that holds the image, so the folder must be one that executors share. One image is
-one task's, whatever the number of images. Both formats are read and written by their public layouts.
+Files are read with Spark's binary source and decoded on the executors, one file a row; files are made by
+the task that holds the image and written in two phases (`rawdata.write_files`): all of them or none.
+One image is one task's, whatever the number of images. Both formats follow their public layouts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.scalar import deg_to_rad, mm_to_m, ms_to_s
 from lattica.sources.acquisitions import natural_key
+from lattica.sources.rawdata import write_files
 from lattica.workers import reachable
 
 EXPLICIT, IMPLICIT = "1.2.840.10008.1.2.1", "1.2.840.10008.1.2"
@@ -232,18 +233,6 @@ def dicom_bytes(volume: np.ndarray, head: dict, uid: str) -> bytes:
     return b"\0" * 128 + b"DICM" + _element("00020000", "UL", len(meta)) + meta + b"".join(body)
 
 
-def _save(folder: str, name: str, raw: bytes) -> str:
-    import os
-
-    folder = folder.removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-    path, part = os.path.join(folder, name), os.path.join(folder, f".{name}.{os.getpid()}")
-    with open(part, "wb") as f:
-        f.write(raw)
-    os.replace(part, path)  # a task that runs twice writes the same file
-    return path
-
-
 def _volume(pdf, axes: list[str]) -> np.ndarray:
     at = [pdf[n].to_numpy() for n in axes]
     out = np.zeros([a.max() + 1 for a in at], complex)
@@ -251,8 +240,15 @@ def _volume(pdf, axes: list[str]) -> np.ndarray:
     return out
 
 
+def _put(files: DataFrame, df: DataFrame, folder: str, by: str, suffix: str) -> DataFrame:
+    """Write the files; (by, path) of each."""
+    write_files(files, folder)
+    path = F.concat(F.lit(f"{folder.rstrip('/')}/im_"), F.col(by).cast("string"), F.lit(f".{suffix}"))
+    return df.select(F.col(by).cast("int").alias(by)).distinct().withColumn("path", path)
+
+
 def write_dicom_folder(df: DataFrame, folder: str, head: dict, by: str = "other") -> DataFrame:
-    """One multi-frame file for each `by` of rows (by, z, y, x, re [, im]); returns (by, path) when run."""
+    """One multi-frame file for each `by` of rows (by, z, y, x, re [, im]); returns (by, path)."""
     reachable(df.sparkSession)
 
     def run(pdf):
@@ -262,9 +258,9 @@ def write_dicom_folder(df: DataFrame, folder: str, head: dict, by: str = "other"
 
         k = int(pdf[by].iloc[0])
         uid = f"2.25.{uuid.uuid5(uuid.NAMESPACE_URL, f'{folder}/{k}').int}"
-        return pd.DataFrame({by: [k], "path": [_save(folder, f"im_{k}.dcm", dicom_bytes(_volume(pdf, ["z", "y", "x"]), head, uid))]})
+        return pd.DataFrame({by: [k], "name": [f"im_{k}.dcm"], "content": [dicom_bytes(_volume(pdf, ["z", "y", "x"]), head, uid)]})
 
-    return df.groupBy(by).applyInPandas(run, f"{by} int, path string")
+    return _put(df.groupBy(by).applyInPandas(run, f"{by} int, name string, content binary"), df, folder, by, "dcm")
 
 
 def nifti_bytes(data: np.ndarray, resolution=(1.0, 1.0, 1.0), affine=None, magnitude_only: bool = False, description: str = "") -> bytes:
@@ -300,7 +296,7 @@ def parse_nifti(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def write_nifti_folder(df: DataFrame, folder: str, resolution=(1.0, 1.0, 1.0), position=(0.0, 0.0, 0.0), orientation=None, magnitude_only: bool = False, description: str = "", by: str = "image") -> DataFrame:
-    """One file for each `by` of rows (by, other, coil, z, y, x, re, im); returns (by, path) when run.
+    """One file for each `by` of rows (by, other, coil, z, y, x, re, im); returns (by, path).
     orientation: 3 x 3 matrix in z, y, x; position: z, y, x."""
     reachable(df.sparkSession)
     m = np.eye(3) if orientation is None else np.asarray(orientation, float)
@@ -311,9 +307,9 @@ def write_nifti_folder(df: DataFrame, folder: str, resolution=(1.0, 1.0, 1.0), p
 
         k = int(pdf[by].iloc[0])
         data = _volume(pdf, ["other", "coil", "z", "y", "x"]).transpose(4, 3, 2, 0, 1)[:, :, :, None, :, None, :]
-        return pd.DataFrame({by: [k], "path": [_save(folder, f"im_{k}.nii", nifti_bytes(data, resolution, affine, magnitude_only, description))]})
+        return pd.DataFrame({by: [k], "name": [f"im_{k}.nii"], "content": [nifti_bytes(data, resolution, affine, magnitude_only, description)]})
 
-    return df.groupBy(by).applyInPandas(run, f"{by} int, path string")
+    return _put(df.groupBy(by).applyInPandas(run, f"{by} int, name string, content binary"), df, folder, by, "nii")
 
 
 def read_nifti(spark: SparkSession, path: str) -> DataFrame:

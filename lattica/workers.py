@@ -1,12 +1,13 @@
-"""Python workers find this library where they share the driver's file system; clusters that do not
-get it with --py-files."""
+"""What workers share with the driver: this library, where they share its file system (clusters that do
+not get it with --py-files), and a folder."""
 
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reachable(spark: SparkSession) -> None:
@@ -14,3 +15,27 @@ def reachable(spark: SparkSession) -> None:
     path = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in path:
         env["PYTHONPATH"] = os.pathsep.join([*path, root])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where it is unset and all runs in one machine."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_lattica_shared", None)
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    import atexit
+    import shutil
+    import tempfile
+
+    sc._lattica_shared = tempfile.mkdtemp(prefix="lattica-")
+    atexit.register(shutil.rmtree, sc._lattica_shared, ignore_errors=True)
+    return sc._lattica_shared
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back: lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
