@@ -1,9 +1,8 @@
 """Fourier operators: centered orthonormal transforms, non-uniform transforms and their Gram forms.
 
-`dft` is the plain definition as a join with twiddle factors, in expressions. `FastFourierOp` runs
-numpy's FFT on whole lines: rows are grouped on the axes that are not transformed, one group is one
-bounded image or line, and groups are spread over the cluster. Non-uniform transforms are separable
-sums evaluated per group with broadcast coordinates.
+`dft` is the plain definition as a join with twiddle factors, in expressions. `FastFourierOp` transforms
+lines (`gridding`). `NonUniformFourierOp` evaluates separable sums per group with broadcast coordinates,
+for few samples; `gridding.GriddedFourierOp` takes any number, and `fourier_op` picks it.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.gather import CartesianSamplingOp
+from lattica.operators.gridding import GriddedFourierOp, SplitFourierOp
 from lattica.operators.structure import PadOrCropOp
 from lattica.plans.algebra import LinearOperator
 from lattica.tensor import TensorFrame
@@ -53,22 +53,9 @@ def grouped(x: TensorFrame, axes: list[str], new: dict[str, int], f) -> TensorFr
     return TensorFrame(rows, {n: x.axes[n] for n in rest} | new)
 
 
-class FastFourierOp(LinearOperator):
-    """Centered orthonormal FFT over axes, after centering the image in the encoding size."""
-
-    def __init__(self, axes: list[str], image: dict[str, int] | None = None, encoding: dict[str, int] | None = None):
-        self.axes = axes
-        self.pad = PadOrCropOp(image, encoding) if image else None
-
-    def _run(self, x, f):
-        return grouped(x, self.axes, {n: x.axes[n] for n in self.axes}, lambda b: np.fft.fftshift(f(np.fft.ifftshift(b), norm="ortho")))
-
-    def forward(self, x):
-        return self._run(self.pad.forward(x) if self.pad else x, np.fft.fftn)
-
-    def adjoint(self, y):
-        out = self._run(y, np.fft.ifftn)
-        return self.pad.adjoint(out) if self.pad else out
+class FastFourierOp(SplitFourierOp):
+    """Centered orthonormal FFT over axes, after centering the image in the encoding size: lines of one axis
+    after the other, long ones split over tasks."""
 
 
 class NonUniformFourierOp(LinearOperator):
@@ -138,9 +125,7 @@ def fourier_op(image: dict[str, int], encoding: dict[str, int], trajectory: Data
     stats = trajectory.agg(*(F.max(F.abs(F.col(f"k_{n}") - F.rint(f"k_{n}"))).alias(n) for n in image)).first()
     if all((stats[n] or 0) <= tolerance for n in image):
         return CartesianSamplingOp(trajectory, samples, encoding) @ FastFourierOp(list(image), image, encoding)
-    names = list(samples)
-    rows = trajectory.orderBy(*names).select(*(f"k_{n}" for n in image)).limit(NonUniformFourierOp.MOST + 1).toPandas()
-    return NonUniformFourierOp(image, rows.to_numpy(), encoding, names[0])
+    return GriddedFourierOp(image, trajectory, samples, encoding)
 
 
 def off_resonance_op(op: LinearOperator, spatial: list[TensorFrame], temporal: list[TensorFrame]) -> LinearOperator:

@@ -6,7 +6,6 @@ coordinates for all coils. An image is a TensorFrame over the axes.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,10 +14,12 @@ from pyspark.sql import functions as F
 
 from lattica.operators.fourier import fourier_op
 from lattica.operators.gather import DensityCompensationOp, SensitivityOp
-from lattica.operators.reduce import coil_maps_frame, density_2d
+from lattica.operators.gridding import GriddedFourierOp
+from lattica.operators.reduce import ZeroFunctional, coil_maps_frame, density_2d
 from lattica.plans.algebra import Identity, LinearOperator
-from lattica.plans.solvers import cg, direct_reconstruction, pdhg, sense
-from lattica.tensor import TensorFrame
+from lattica.plans.solvers import cg, difference_terms, direct_reconstruction, distance_squared, pdhg, sense
+from lattica.tensor import TensorFrame, checkpointed
+from lattica.workers import numbered_in_order
 
 
 @dataclass
@@ -38,10 +39,10 @@ class Reconstruction:
         (walsh, inati), given or left out; density weights are used where samples lie off the grid."""
         names = [f"k_{n}" for n in image]
         size = readings.agg(F.max("coil") + 1, F.max("sample") + 1).first()
-        data = TensorFrame(readings.select("coil", "sample", "re", "im"), {"coil": size[0], "sample": size[1]})
-        points = readings.where(F.col("coil") == 0).select("sample", *names)
+        data = TensorFrame(readings.select("coil", "sample", "re", "im"), {"coil": size[0], "sample": size[1]}).cut()
+        points = checkpointed(readings.where(F.col("coil") == 0).select("sample", *names))  # solvers come back to both in each step
         fourier = fourier_op(image, encoding or image, points, {"sample": size[1]})
-        on_grid = not hasattr(fourier, "points")
+        on_grid = not isinstance(fourier, GriddedFourierOp)
         out = cls(data, fourier, image)
         if weights or (weights is None and not on_grid and len(image) == 2):
             w = density_2d(points.withColumn("g", F.lit(0)), ["g"], *names).select("sample", F.col("w").alias("re"), F.lit(0.0).alias("im"))
@@ -75,29 +76,19 @@ class Reconstruction:
             rhs = rhs + b.H(prior)[0] * strength
         return cg(op, rhs.cut(), max_iterations=iterations, tolerance=0.0)
 
-    def total_variation(self, strength: float, iterations: int = 20) -> TensorFrame:
-        """argmin |A x - y|^2 / 2 + strength * sum of |forward differences|, from the direct image on."""
-        from lattica.operators.reduce import L1Norm, L2NormSquared, ZeroFunctional
-        from lattica.operators.windowed import FiniteDifferenceOp
-
-        class Distance(L2NormSquared):
-            def __init__(self, to):
-                super().__init__(weight=math.sqrt(0.5))
-                self.to = to
-
-            def prox_convex_conj(self, x, sigma=1.0):
-                return (x - self.to * sigma) * (1 / (1 + sigma))
-
-        a, d = self.fourier @ self._maps(), FiniteDifferenceOp(list(self.image), "forward", "circular")
-        return pdhg([Distance(self.data), L1Norm(weight=strength)], ZeroFunctional(), [a, d], self.direct(), iterations)
+    def total_variation(self, strength: float | dict[str, float], iterations: int = 20, tolerance: float = 0.0, **steps) -> TensorFrame:
+        """argmin |A x - y|^2 + sum over axes of strength * (|re| + |im|) of forward differences (zeros behind the
+        last place), from the direct image on. strength: a number for the image's axes, or by axis."""
+        weights = strength if isinstance(strength, dict) else dict.fromkeys(self.image, strength)
+        terms, differences = difference_terms(weights)
+        a = self.fourier @ self._maps()
+        return pdhg([distance_squared(self.data), *terms], ZeroFunctional(), [a, *differences], self.direct(), iterations, tolerance=tolerance, **steps)
 
 
 def undersampled(readings: DataFrame, keep) -> DataFrame:
-    """Readings of the samples that a condition keeps, numbered anew."""
-    from pyspark.sql import Window
-
+    """Readings of the samples that a condition keeps, numbered anew in their order."""
     samples = readings.where(F.col("coil") == 0).where(keep).select("sample")
-    numbered = samples.withColumn("__s", (F.row_number().over(Window.orderBy("sample")) - 1).cast("int"))
+    numbered = numbered_in_order(samples, "sample", "__s")
     return readings.join(numbered, "sample").drop("sample").withColumnRenamed("__s", "sample")
 
 

@@ -194,16 +194,40 @@ def lbfgs(value_and_gradient, start: np.ndarray, max_iterations: int = 100, hist
     return x
 
 
-def total_variation_denoising(image: TensorFrame, axes: list[str], weight: float, max_iterations: int = 50) -> TensorFrame:
-    """argmin_x |x - image|²/2 + weight * |forward differences|_1."""
-    from lattica.operators.reduce import L1Norm, ZeroFunctional
+def difference_terms(weights: dict[str, float]) -> tuple[list, list]:
+    """Functionals and operators of the sum over axes of weight * (|re| + |im|) of forward differences, with
+    zeros behind the last place."""
+    from lattica.operators.reduce import L1NormViewAsReal
     from lattica.operators.windowed import FiniteDifferenceOp
 
-    class Fidelity(ZeroFunctional):
+    return [L1NormViewAsReal(weight=w) for w in weights.values()], [FiniteDifferenceOp([a], "forward", "zeros") for a in weights]
+
+
+def distance_squared(target: TensorFrame):
+    """|x - target|^2 with its proximal maps."""
+    from lattica.operators.reduce import L2NormSquared
+
+    class Distance(L2NormSquared):
         def prox(self, x, sigma=1.0):
-            return (x + image * sigma) * (1 / (1 + sigma))
+            return (x + target * (2 * sigma)) * (1 / (1 + 2 * sigma))
+
+        def prox_convex_conj(self, x, sigma=1.0):
+            return (x - target * sigma) * (1 / (1 + sigma / 2))
+
+    return Distance()
+
+
+def total_variation_denoising(image: TensorFrame, axes: list[str], weight: float | list[float], max_iterations: int = 50, start: TensorFrame | None = None, **steps) -> TensorFrame:
+    """argmin_x |x - image|^2 + sum over axes of weight * (|re| + |im|) of its forward differences (zeros behind
+    the last place); a weight an axis, or one for all."""
+    weights = dict(zip(axes, weight if isinstance(weight, (list, tuple)) else [weight] * len(axes), strict=True))
+    from lattica.operators.reduce import ZeroFunctional
+    from lattica.plans.algebra import Identity
 
-    return pdhg([L1Norm(weight=weight)], Fidelity(), [FiniteDifferenceOp(axes, "forward", "circular")], image, max_iterations, norm=2 * math.sqrt(len(axes)))
+    terms, differences = difference_terms(weights)
+    if not steps:
+        steps = {"norm": math.sqrt(1 + 4 * len(axes))}
+    return pdhg([distance_squared(image), *terms], ZeroFunctional(), [Identity(), *differences], start or image, max_iterations, **steps)
 
 
 def direct_reconstruction(data: TensorFrame, fourier, maps=None, weights=None) -> TensorFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import models, rotation, scalar
 from lattica.functions.complexpair import Pair
-from lattica.operators import epg, fourier, gather, reduce, structure, windowed
+from lattica.operators import epg, fourier, gather, gridding, reduce, structure, windowed
 from lattica.plans import solvers
 from lattica.sources import acquisitions, generators
 from lattica.tensor import TensorFrame
@@ -581,17 +581,19 @@ def fourier_dft_join_inverse(spark, d):
     return values(TensorFrame(fourier.dft(x.df, ["y"], "x", 16, True), x.axes), 5)
 
 
+def _gridded(spark):
+    points = [F.pmod(F.col("id") * step, F.lit(16.0)) - 8 for step in (0.37, 0.73)]
+    track = spark.range(40).select(F.col("id").cast("int").alias("sample"), points[0].alias("k_y"), points[1].alias("k_x"))
+    return gridding.GriddedFourierOp({"y": 16, "x": 16}, track, {"sample": 40}, width=12)
+
+
 _NUFFT = "(-2 * pi() * (k_y * (y - 8) + k_x * (x - 8)) / 16)"
 
 
 @query(f"""WITH {IMAGE}, t AS (SELECT sample, (sample * 0.37) % 16 - 8 AS k_y, (sample * 0.73) % 16 - 8 AS k_x FROM (SELECT unnest(range(40))::INT AS sample))
 SELECT sample, round(sum(re * cos({_NUFFT}) - im * sin({_NUFFT})) / 16, 4) + 0.0 AS re, round(sum(re * sin({_NUFFT}) + im * cos({_NUFFT})) / 16, 4) + 0.0::DOUBLE AS im FROM img, t GROUP BY 1""")
 def fourier_nonuniform(spark, d):
-    import numpy as np
-
-    s = np.arange(40)
-    op = fourier.NonUniformFourierOp({"y": 16, "x": 16}, np.stack([s * 0.37 % 16 - 8, s * 0.73 % 16 - 8], 1))
-    return values(op(image(spark, d))[0], 4)
+    return values(_gridded(spark)(image(spark, d))[0], 4)
 
 
 @query(f"""WITH {IMAGE}, t AS (SELECT sample, (sample * 0.37) % 16 - 8 AS k_y, (sample * 0.73) % 16 - 8 AS k_x FROM (SELECT unnest(range(40))::INT AS sample)),
@@ -599,11 +601,7 @@ f AS (SELECT sample, k_y, k_x, sum(re * cos({_NUFFT}) - im * sin({_NUFFT})) / 16
 SELECT y, x, round(sum(a * cos({_NUFFT}) + b * sin({_NUFFT})) / 16, 4) + 0.0 AS re, round(sum(b * cos({_NUFFT}) - a * sin({_NUFFT})) / 16, 4) + 0.0 AS im
 FROM f, (SELECT unnest(range(16))::INT AS y), (SELECT unnest(range(16))::INT AS x) GROUP BY 1, 2""")
 def fourier_toeplitz_gram(spark, d):
-    import numpy as np
-
-    s = np.arange(40)
-    op = fourier.NonUniformFourierOp({"y": 16, "x": 16}, np.stack([s * 0.37 % 16 - 8, s * 0.73 % 16 - 8], 1))
-    return values(op.gram(image(spark, d))[0], 4)
+    return values(_gridded(spark).gram(image(spark, d))[0], 4)
 
 
 # Simulation, generators, solvers
@@ -687,4 +685,4 @@ def operator_norm(spark, d):
     return spark.createDataFrame([("norm", round(s, 3))], "name string, s double")
 
 
-from lattica import queries_files, queries_more  # noqa: E402, F401
+from lattica import queries_files, queries_fourier, queries_more  # noqa: E402, F401

@@ -11,7 +11,7 @@ from lattica.functions import rotation, scalar
 from lattica.operators import epg, fourier, gather, reduce, structure, windowed
 from lattica.plans import reconstruction, solvers
 from lattica.plans.algebra import Identity, Operator, OperatorMatrix
-from lattica.queries import IMAGE, LINES, _prox, image, lines, query, r, table, values
+from lattica.queries import IMAGE, LINES, VECTORS, _prox, image, lines, query, r, table, values, vector_frame
 from lattica.sources import generators, records
 from lattica.tensor import TensorFrame
 
@@ -435,3 +435,21 @@ def reconstruct_total_variation(spark, d):
     """Without weight on the differences the image comes back."""
     own = reconstruction.Reconstruction.from_readings(_readings(spark, d), {"y": 16, "x": 16}, maps=generators.birdcage(spark, 3, 16, 16))
     return values(own.total_variation(0.0, iterations=2), 3)
+
+
+def _tv_steps(steps: int, weight: float, size: float) -> str:
+    """Primal-dual steps on lines, by window: x and r are the iterate and the relaxed one, a and z the duals."""
+    w = "(PARTITION BY vec_id ORDER BY k)"
+    out = "s0 AS (SELECT vec_id, k, v AS b, v AS x, v AS r, 0.0::DOUBLE AS a, 0.0::DOUBLE AS z FROM v)"
+    for n in range(steps):
+        out += f""", d{n + 1} AS (SELECT vec_id, k, b, x, (a + {size} * (r - b)) / {1 + size / 2}::DOUBLE AS a,
+        greatest(-{weight}::DOUBLE, least({weight}::DOUBLE, z + {size} * (coalesce(lead(r) OVER {w}, 0) - r))) AS z FROM s{n}),
+        p{n + 1} AS (SELECT *, x - {size} * (a + coalesce(lag(z) OVER {w}, 0) - z) AS y FROM d{n + 1}),
+        s{n + 1} AS (SELECT vec_id, k, b, y AS x, 2 * y - x AS r, a, z FROM p{n + 1})"""
+    return out
+
+
+@query(f"WITH {VECTORS}, {_tv_steps(4, 0.05, 0.4)} SELECT vec_id::INT AS y, k::INT AS x, round(x, 6) + 0.0 AS re, 0.0 AS im FROM s4".replace("s4.x", "x"))
+def total_variation_lines(spark, d):
+    """Four steps of denoising every vector along its entries, with a weight that flattens them."""
+    return values(solvers.total_variation_denoising(vector_frame(spark, d), ["x"], 0.05, 4, primal_step=0.4, dual_step=0.4), 6)

@@ -96,18 +96,18 @@ def coil_lines(readings: DataFrame, headers: DataFrame | None = None, by: list[s
     number of coils, then the largest number of samples after those to discard. headers (by, vendor, misc)
     decides about time stamps and conjugation; without it Siemens is assumed for time stamps, and nothing
     is conjugated."""
-    most = readings.groupBy(*by).agg(F.max("active_channels").alias("__coils"))
+    samples = F.col("number_of_samples") - F.col("discard_pre") - F.col("discard_post")
+    kinds = readings.groupBy(*by, "active_channels").agg(F.max(samples).alias("samples")).groupBy(*by).agg(F.collect_list(F.struct("active_channels", "samples")).alias("__kinds"))
+    coils = F.array_max("__kinds")["active_channels"]
     if headers is not None:
-        said = F.col("misc")["acquisitionSystemInformation/receiverChannels"].cast("int")
-        most = most.join(headers.select(*by, F.lower("vendor").alias("__vendor"), said.alias("__said")), by, "left")
-        several = readings.groupBy(*by).agg(F.count_distinct("active_channels").alias("__kinds"))
-        most = most.join(several, by).withColumn("__coils", F.when(F.col("__kinds") > 1, F.coalesce("__said", "__coils")).otherwise(F.col("__coils"))).drop("__said", "__kinds")
+        said = F.col("misc")["acquisitionSystemInformation/receiverChannels"].cast("int").alias("__said")
+        kinds = kinds.join(headers.select(*by, F.lower("vendor").alias("__vendor"), said), by, "left")
+        coils = F.when(F.size("__kinds") > 1, F.coalesce("__said", coils)).otherwise(coils)
     else:
-        most = most.withColumn("__vendor", F.lit(None).cast("string"))
-    own = readings.join(most, by).where(F.col("active_channels") == F.col("__coils"))
-    own = own.withColumn("samples", F.col("number_of_samples") - F.col("discard_pre") - F.col("discard_post"))
-    own = longest_only(own, by, "samples")
-    labels = [c for c in ("k1", "k2", "average", "slice", "contrast", "phase", "repetition", "set", "segment", "flags", "center_sample", "sample_time_us") if c in own.columns]
+        kinds = kinds.withColumn("__vendor", F.lit(None).cast("string"))
+    kinds = kinds.withColumn("__coils", coils).select(*by, "__vendor", "__coils", F.array_max(F.filter("__kinds", lambda k: k["active_channels"] == F.col("__coils")))["samples"].alias("__samples"))
+    own = readings.withColumn("samples", samples).join(kinds, by).where((F.col("active_channels") == F.col("__coils")) & (F.col("samples") == F.col("__samples")))
+    labels = [c for c in ("k1", "k2", "average", "slice", "contrast", "phase", "repetition", "set", "segment", "flags", "center_sample", "sample_time_us", "scan_counter") if c in own.columns]
     meters = [F.transform(c, lambda v: v.cast("double") / 1000).alias(c) for c in ("position", "patient_table_position") if c in own.columns]
     step = F.when(F.col("__vendor") == "osi2", 0.001).otherwise(0.0025)
     line = lambda c, sign: F.transform(F.slice(c, F.col("coil") * F.col("number_of_samples") + F.col("discard_pre") + 1, F.col("samples")), lambda v: v.cast("double") * sign)

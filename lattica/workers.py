@@ -39,3 +39,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered_in_order(df: DataFrame, by: str, name: str) -> DataFrame:
+    """Rows numbered from 0 in the order of a column: within ranges side by side, then by the ranges' counts."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = kept(df.repartitionByRange(ranges, by).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy("__range").count()  # a row a range
+    before = counts.select("__range", (F.sum("count").over(Window.orderBy("__range")) - F.col("count")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(by)) - 1
+    return parts.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + F.col("__own")).cast("int")).drop("__range", "__own", "__before")

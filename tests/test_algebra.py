@@ -150,3 +150,41 @@ def test_moving_average_of_long_key(spark):
         e = float(i % 7) if i == 0 else 0.9 * e + 0.1 * (i % 7)
         want.append(e)
     assert np.allclose(got, want)
+
+
+def test_total_variation_steps(spark):
+    """Against the same steps in NumPy: zeros behind the last place, a weight an axis, parts of a complex value apart."""
+    b = RNG.normal(size=(4, 5)) + 1j * RNG.normal(size=(4, 5))
+    weights, step = {"y": 0.3, "x": 0.7}, 0.3
+
+    def difference(x, axis):
+        return np.concatenate([x.take(range(1, x.shape[axis]), axis), np.zeros_like(x.take([0], axis))], axis) - x
+
+    def back(z, axis):
+        return np.concatenate([np.zeros_like(z.take([0], axis)), z.take(range(z.shape[axis] - 1), axis)], axis) - z
+
+    clip = lambda z, w: np.clip(z.real, -w, w) + 1j * np.clip(z.imag, -w, w)
+    x = relaxed = b
+    a, z = np.zeros_like(b), [np.zeros_like(b)] * 2
+    for _ in range(5):
+        a = (a + step * (relaxed - b)) / (1 + step / 2)
+        z = [clip(z[k] + step * difference(relaxed, k), w) for k, w in enumerate(weights.values())]
+        new = x - step * (a + sum(back(z[k], k) for k in range(2)))
+        relaxed, x = 2 * new - x, new
+    t = TensorFrame.from_numpy(spark, b, ["y", "x"])
+    got = solvers.total_variation_denoising(t, ["y", "x"], [0.3, 0.7], 5, primal_step=step, dual_step=step)
+    assert np.allclose(got.to_numpy(), x) and not np.allclose(x, b, atol=0.1)
+    with pytest.raises(ValueError):
+        solvers.total_variation_denoising(t, ["y", "x"], [0.3], 5)
+
+
+def test_total_variation_flattens_a_reconstruction(spark):
+    """A weight that changes the image: its differences get smaller, the more the larger the weight."""
+    from lattica.plans import reconstruction
+
+    img = np.kron(np.array([[1.0, 3.0], [2.0, 0.0]]), np.ones((2, 2))) + 0.3 * RNG.normal(size=(4, 4))
+    t, maps = TensorFrame.from_numpy(spark, img, ["y", "x"]), generators.birdcage(spark, 2, 4, 4)
+    grid = np.stack(np.meshgrid(np.arange(4) - 2.0, np.arange(4) - 2.0, indexing="ij"), -1).reshape(-1, 2)
+    own = reconstruction.Reconstruction.from_readings(reconstruction.simulate(t, maps, grid), {"y": 4, "x": 4}, maps=maps)
+    rough = [abs(np.diff(own.total_variation(s, 4, primal_step=0.3, dual_step=0.3).to_numpy().real, axis=0)).sum() for s in (0.0, 1.0)]
+    assert rough[0] > rough[1] + 0.1
