@@ -3,9 +3,10 @@
 High-recall generators propose spans that may overlap. Every candidate is seen in two views that share
 nothing. The label view is what can be known of it for certain: for kinds with a validator (octets,
 Luhn sum, number of digits) its verdict, for the others whether a word for the kind stands in or before
-the match. The feature view is format and surroundings without what the label view reads: kinds with a
-validator keep their context words as features, the others do not, and no feature tells a validator's
-verdict or a secret's key word.
+the match, or whether a secret has the published form of some service's keys. The feature view is format
+and surroundings without what the label view reads: kinds with a validator keep their context words as
+features, the others do not, and no feature tells a validator's verdict, a secret's key word or a
+published form.
 
 `fit` counts candidates per feature vector, label and half (by a checksum of the text) over the whole
 table (one grouped aggregate; the number of vectors is bounded by MAX_CELLS). Trees are boosted on the
@@ -13,8 +14,8 @@ counts of one half on the driver, which is the same as boosting on its rows; the
 is the least score at which the isotonic rate of true labels in the other half reaches the precision.
 The trees come back as one expression, so scoring runs in the JVM, row by row, without shuffle or Python.
 
-Spans of the base rules always stay. Of the rest, a candidate is added if a word names it, or if its
-score reaches its kind's threshold; one that fails its validator must also stand behind a word for its
+Spans of the base rules always stay. Of the rest, a candidate is added if its score reaches its kind's
+threshold, and for no other reason; one that fails its validator must also stand behind a word for its
 kind. Added spans overlap neither base spans nor better added ones.
 
 Defined results: null text counts as empty and has no span. Repeated rows are treated alike, ties go
@@ -46,7 +47,7 @@ GENERATORS = (
     r"[0-9]++(?:[\x20-][0-9]++)*+",
     r"\+[0-9][\x20().0-9-]+[0-9]",
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]{2,63}){1,4}",
-    r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    r"(?<![0-9+])(?<!\+[0-9]{1,3}[\x20.(-]{1,2})\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     r"(?i:\b(?:token|api_?key|secret|password|passwd)\b\x20?[=:]\x20?[\"']?[A-Za-z0-9/+_-]{12,256}[\"']?)|(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+_-]{20,256}+(?![A-Za-z0-9/+_-])",
 )
@@ -63,9 +64,11 @@ CONTEXTS = (
     r"\b(?:token|key|secret|password|passwd)\b",
 )
 GROUP_OF = (0, 1, 2, 3, 0, 3, 4, 5)
+#: Published forms of keys of well-known services.
+KEY_FORMS = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^AIza[0-9A-Za-z_-]{35}$|^xox[abprs]-[0-9A-Za-z-]{10,}$|^sk-[A-Za-z0-9_-]{20,}$"
 #: Features and their number of values. named: 1 a word for the kind, 2 for another (kinds with a
-#: validator only); mix: 0 no letters, 1 no digits, 2 both, 3 both and both cases.
-FEATURES = {"kind": 8, "named": 3, "open": 2, "shut": 2, "seps": 4, "size": 5, "mix": 4}
+#: validator only); mix: 0 no letters, 1 no digits, 2 small letters, 3 capitals, 4 both with digits.
+FEATURES = {"kind": 8, "named": 3, "open": 2, "shut": 2, "seps": 4, "size": 5, "mix": 5}
 MAX_CELLS = math.prod(FEATURES.values()) * 4
 
 #: Code points of a block of text in `redact`.
@@ -117,16 +120,17 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     names = "array({})".format(", ".join("c.b rlike '{}'".format(rx.replace("\\", "\\\\")) for rx in CONTEXTS))
     docs = docs.withColumn("__p_v", F.expr(f"transform(__p_v, c -> named_struct('c', c, 'n', {names}))"))
+    forms = KEY_FORMS.replace("\\", "\\\\")
     own = "element_at(q.n, element_at(array({}), q.c.k + 1))".format(", ".join(str(g + 1) for g in GROUP_OF))
     return docs.withColumn("__p_h", F.expr("cast(crc32(cast(__p_t as binary)) % 2 as int)")).withColumn(
         "__p_c",
         F.expr(
-            f"transform(__p_v, q -> named_struct('k', q.c.k, 's', q.c.s, 'e', q.c.e, 'v', q.c.v, 'y', if(q.c.k < {BASE_KINDS}, q.c.v, {own} or q.c.i), 'f_kind', q.c.k,"
+            f"transform(__p_v, q -> named_struct('k', q.c.k, 's', q.c.s, 'e', q.c.e, 'v', q.c.v, 'y', if(q.c.k < {BASE_KINDS}, q.c.v, {own} or q.c.i or (q.c.k = 7 and q.c.m rlike '{forms}')), 'f_kind', q.c.k,"
             f" 'f_named', case when q.c.k >= {BASE_KINDS} then 0 when {own} then 1 when exists(q.n, x -> x) then 2 else 0 end,"
             " 'f_open', cast(q.c.k = 7 or q.c.b = '' or right(q.c.b, 1) rlike '[^a-z0-9]' as int), 'f_shut', cast(q.c.k = 7 or q.c.a rlike '^[^A-Za-z0-9]?$' as int),"
             " 'f_seps', least(3, length(q.c.m) - length(regexp_replace(q.c.m, '[ ().-]', ''))),"
             " 'f_size', case when length(q.c.m) < 8 then 0 when length(q.c.m) < 16 then 1 when length(q.c.m) < 24 then 2 when length(q.c.m) < 36 then 3 else 4 end,"
-            " 'f_mix', case when not q.c.m rlike '[A-Za-z]' then 0 when not q.c.m rlike '[0-9]' then 1 when q.c.m rlike '[a-z]' and q.c.m rlike '[A-Z]' then 3 else 2 end))"
+            " 'f_mix', case when not q.c.m rlike '[A-Za-z]' then 0 when not q.c.m rlike '[0-9]' then 1 when q.c.m rlike '[a-z]' and q.c.m rlike '[A-Z]' then 4 when q.c.m rlike '[A-Z]' then 3 else 2 end))"
         ),
     ).drop("__p_r", "__p_v")
 
@@ -231,7 +235,7 @@ def choose(found: DataFrame, model: Model) -> DataFrame:
     fixed = f"c.k < {BASE_KINDS} and c.v"
     found = found.withColumn("__p_base", once(F.expr(f"array_sort(transform(filter(__p_c, c -> {fixed}), c -> named_struct('s', c.s, 'k', c.k, 'e', c.e)))")))
     # All spans that may stay, by start; p is 2 for base spans, so that they win.
-    wanted = f"(c.k >= {BASE_KINDS} and c.y) or ((c.k >= {BASE_KINDS} or c.f_named = 1) and {model.sql()} >= {limit})"
+    wanted = f"((c.k >= {BASE_KINDS} or c.f_named = 1) and {model.sql()} >= {limit})"
     found = found.withColumn("__p_q", F.expr(f"array_sort(transform(filter(__p_c, c -> ({fixed}) or {wanted}), c -> named_struct('s', c.s, 'k', c.k, 'e', c.e, 'b', {fixed}, 'p', if({fixed}, 2D, {model.sql()}))))"))
     # The furthest end before each; runs of overlapping spans begin where it is passed.
     found = found.withColumn("__p_e", once(F.expr(f"transform(array(transform(__p_q, c -> c.e)), y -> {running('y', 'greatest({a}, {b})')})[0]")))

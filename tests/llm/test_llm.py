@@ -236,6 +236,35 @@ def test_shuffled_labels_change_spans(spark):
     assert (alone(true), alone(random)) == (1, 0)
 
 
+def test_spans_are_added_by_their_scores_alone(spark):
+    """With no score ever high enough, spans of sf0.01 change: only those of the base rules are left."""
+    from dataclasses import replace
+
+    found = pii.candidates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).cache()
+    model = pii.boost(found)
+    added = lambda m: {(r.doc_id, k) for r in pii.choose(found, m).select("doc_id", "__p_all", "__p_base").collect() for k in r["__p_all"] if k not in r["__p_base"]}
+    on, off = added(model), added(replace(model, thresholds=(1.1,) * len(pii.KINDS)))
+    assert on and not off
+
+
+def test_added_kinds_are_found(spark):
+    """Planted secrets: behind words, in published forms, and bare ones of the same look, among long words; at
+    least nine of ten are found and no word is."""
+    rng = np.random.default_rng(8)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    low, up, plain = "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnop"
+    out, want = [], {}
+    for k in range(900):
+        value, lead = ((pick(low, 40), "token = "), ("a1" + pick(low, 18), "password="), ("AKIA7" + pick(up, 15), ""), ("7b" + pick(low, 38), ""), (pick(plain, 22), ""))[k % 5]
+        if k % 5 == 3 and k > 100:  # few bare ones
+            continue
+        out.append((k, f"some text of row {k} with {lead}{value} and more of it"))
+        want[k] = (k % 5 != 4, value)
+    got = {r.doc_id: r.spans for r in pii.digest(spark, spark.createDataFrame(out, "doc_id long, text string")).collect()}
+    hit = [bool(got[k]) for k, (true, _) in want.items() if true]
+    assert np.mean(hit) >= 0.9 and not any(got[k] for k, (true, _) in want.items() if not true)
+
+
 def test_pii_of_very_long_texts(spark):
     """A million digits, and a hundred thousand matches."""
     import time
