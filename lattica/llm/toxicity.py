@@ -3,13 +3,15 @@
 Words, their stems (the first STEM letters of longer words), pairs of neighbours and pairs with one word between are hashed into 2 ** BITS places; a place
 that a text has counts once. FTRL-proximal keeps a rate for each coordinate, and its L1 term leaves
 most weights at zero, so the model is a short list of places and weights, which is broadcast (at most
-2 ** BITS of them). It is fitted on at most FIT_ROWS labelled rows, those with the least hash of their
-id, as far as their features take at most FIT_BYTES together; features are made on the executors, and
-one task runs the epochs over the features of that bounded sample.
+2 ** BITS of them). It is fitted on at most FIT_ROWS labelled ids, those with the least hash, one text for
+each (that of least hash where an id has several), and of a text on at most FIT_PLACES of its places, those of
+least hash under a seed from all of them. No row is left out for its size. Features are made on
+the executors, and one task runs the epochs over the features of that bounded sample (FIT_ROWS * FIT_PLACES * 4
+bytes at most). Scores are sums over all places of a text.
 
 Defined results: null and empty texts have no feature and get the model's prior. Without labelled
 rows the score is 0.5 everywhere. Documents labelled several times count as toxic if any label says
-so. Repeated rows get equal scores. A null id has no label and is not held out. Other columns do not
+so. Repeated rows get equal scores and count once in the fit. A null id has no label and is not held out. Other columns do not
 matter. Whole texts are read, of any length.
 """
 
@@ -20,13 +22,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import prepare
 
 BITS = 20
-FIT_ROWS, FIT_BYTES = 20_000, 256 << 20
+FIT_ROWS, FIT_PLACES = 20_000, 4096
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 STEM = 5
@@ -69,9 +71,20 @@ def places(text: str | None) -> np.ndarray:
     return np.concatenate([h, stems, *pairs]) >> np.uint64(64 - BITS)
 
 
+def fit_places(text: str | None) -> np.ndarray:
+    """The places of a text that a model is fitted on."""
+    found = np.unique(places(text)).astype("<u4")
+    if len(found) <= FIT_PLACES:
+        return found
+    seed = np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 13))
+    with np.errstate(over="ignore"):
+        turn = (found.astype(np.uint64) ^ seed) * np.uint64(0x9E3779B97F4A7C15)
+    return np.sort(found[np.argsort(turn ^ (turn >> np.uint64(32)), kind="stable")[:FIT_PLACES]])
+
+
 def _features(batches):
     for batch in batches:
-        made = [np.unique(places(x)).astype("<u4").tobytes() for x in batch.column(0).to_pylist()]
+        made = [fit_places(x).tobytes() for x in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), *batch.columns[1:]], ["places", "toxic", "turn"])
 
 
@@ -110,10 +123,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = FIT
     prepare(spark)
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "turn")  # at most `rows` rows
-    made = sample.mapInArrow(_features, "places binary, toxic int, turn long")
-    so_far = Window.orderBy("turn", "places").rowsBetween(Window.unboundedPreceding, 0)  # of at most `rows` rows
-    made = made.withColumn("__bytes", F.sum(F.octet_length("places")).over(so_far)).where(F.col("__bytes") <= FIT_BYTES).drop("__bytes")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = sample.groupBy("doc_id", "toxic", "turn").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # at most `rows` rows
+    made = one.select("text", "toxic", "turn").mapInArrow(_features, "places binary, toxic int, turn long")
     fitted = made.repartition(1).sortWithinPartitions("turn", "places").mapInArrow(_ftrl, "place long, weight double")
     return {r.place: r.weight for r in fitted.collect()}  # at most 2 ** BITS + 1 rows, few with L1
 

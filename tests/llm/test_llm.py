@@ -622,7 +622,7 @@ def test_held_out_rows_teach_nothing(spark):
     assert toxicity.fit(spark, big, marks) == toxicity.fit(spark, big, flipped)
 
 
-def test_toxicity_is_ftrl_proximal(spark, monkeypatch):
+def test_toxicity_is_ftrl_proximal(spark):
     """The weights of the operator against the update rule written out coordinate by coordinate, and its scores
     against features written out text by text."""
     rng, words = np.random.default_rng(2), [f"w{k}" for k in range(12)] + ["insulting", "insults"]
@@ -659,5 +659,18 @@ def test_toxicity_is_ftrl_proximal(spark, monkeypatch):
     scores = {r.doc_id: r.score for r in toxicity.score(spark, df, got).collect()}
     for i, t in df.collect():
         assert abs(scores[i] - 1 / (1 + np.exp(-sum(want.get(k, 0.0) for k in [*features(t), 2**20])))) < 1e-9
-    monkeypatch.setattr(toxicity, "FIT_BYTES", 400)
-    assert len(toxicity.fit(spark, df, marks)) < len(got)
+
+
+def test_toxicity_is_fitted_beside_long_and_repeated_texts(spark):
+    """A text of a million words early in the order, and an id with thousands of rows, leave the model fitted."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    out = [(k, " ".join(["vile"] * (k % 2) + [word() for _ in range(30)])) for k in range(1200)]
+    marks = spark.createDataFrame([(k, k % 2) for k in range(1200)] + [(9001, 0), (9002, 1)], "doc_id long, toxic int")
+    long_ = " ".join(f"{w}{k}" for k in range(200) for w in (word() for _ in range(5000)))
+    df = spark.createDataFrame([*out, (9001, long_)], "doc_id long, text string")
+    many = spark.range(5000).select(F.lit(9002).cast("long").alias("doc_id"), F.concat(F.lit("vile row "), "id").alias("text"))
+    weights = toxicity.fit(spark, df.unionByName(many), marks)
+    scores = {r.doc_id: r.score for r in toxicity.score(spark, df, weights).collect()}
+    odd, even = (np.array([scores[k] for k in range(r, 1200, 2)]) for r in (1, 0))
+    assert odd.min() > even.max() and len(toxicity.fit_places(long_)) == toxicity.FIT_PLACES
