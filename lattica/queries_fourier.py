@@ -10,8 +10,8 @@ from lattica.operators import gridding
 from lattica.queries import query, r, table
 from lattica.tensor import TensorFrame
 
-#: Trajectory of the events: a coordinate from the value, one from the user, both off the grid.
-_TRACK = "t AS (SELECT event_id, value::DOUBLE AS value, sin(event_id * 0.7::DOUBLE) * 4.5 AS ky, cos(value * 1.3::DOUBLE) * 30 AS kx FROM events)"
+#: A sample a vector, off the grid.
+_TRACK = "t AS (SELECT vec_id, embedding[2]::DOUBLE * 50 AS value, sin(vec_id * 0.7::DOUBLE) * 4.5 AS ky, cos(embedding[1]::DOUBLE * 90) * 30 AS kx FROM embeddings)"
 
 
 def _size(df, column: str) -> int:
@@ -19,9 +19,10 @@ def _size(df, column: str) -> int:
 
 
 def _track(spark, d):
-    e = table(spark, d, "events")
-    track = e.select(F.col("event_id").cast("int").alias("sample"), "value", (F.sin(F.col("event_id") * 0.7) * 4.5).alias("k_y"), (F.cos(F.col("value") * 1.3) * 30).alias("k_x"))
-    return track, {"sample": _size(e, "event_id")}
+    e = table(spark, d, "embeddings")
+    entry = lambda k: F.col("embedding")[k].cast("double")
+    track = e.select(F.col("vec_id").cast("int").alias("sample"), (entry(1) * 50).alias("value"), (F.sin(F.col("vec_id") * 0.7) * 4.5).alias("k_y"), (F.cos(entry(0) * 90) * 30).alias("k_x"))
+    return track, {"sample": _size(e, "vec_id")}
 
 
 def _label_image(spark, d) -> TensorFrame:
@@ -35,9 +36,9 @@ _PHASE = "2 * pi() * (ky * (y - 5) / 10 + kx * (x - 32) / 64)"
 
 
 @query(f"""WITH {_TRACK}, i AS (SELECT label AS y, x, avg(v::DOUBLE) AS v FROM (SELECT label, unnest(range(64)) AS x, unnest(embedding) AS v FROM embeddings) GROUP BY 1, 2)
-SELECT event_id AS sample, round(sum(v * cos({_PHASE})) / sqrt(640), 6) + 0.0 AS re, round(sum(0 - v * sin({_PHASE})) / sqrt(640), 6) + 0.0 AS im FROM t, i GROUP BY event_id""")
+SELECT vec_id AS sample, round(sum(v * cos({_PHASE})) / sqrt(640), 6) + 0.0 AS re, round(sum(0 - v * sin({_PHASE})) / sqrt(640), 6) + 0.0 AS im FROM t, i GROUP BY vec_id""")
 def fourier_gridded(spark, d):
-    """A sample an event of the image of mean vectors."""
+    """A sample a vector of the image of mean vectors."""
     track, samples = _track(spark, d)
     op = gridding.GriddedFourierOp({"y": 10, "x": 64}, track, samples, width=12)
     return op.forward(_label_image(spark, d)).df.select(F.col("sample").cast("long").alias("sample"), r("re").alias("re"), r("im").alias("im"))
@@ -46,20 +47,22 @@ def fourier_gridded(spark, d):
 @query(f"""WITH {_TRACK}, i AS (SELECT y, x FROM (SELECT unnest(range(10)) AS y), (SELECT unnest(range(64)) AS x))
 SELECT y::INT AS y, x::INT AS x, round(sum(value * cos({_PHASE})) / sqrt(640), 4) + 0.0 AS re, round(sum(value * sin({_PHASE})) / sqrt(640), 4) + 0.0 AS im FROM t, i GROUP BY y, x""")
 def fourier_gridded_adjoint(spark, d):
-    """The image of all events' values, summed on the finer grid."""
+    """The image of all vectors' values, summed on the finer grid."""
     track, samples = _track(spark, d)
     values = TensorFrame(track.select("sample", F.col("value").alias("re"), F.lit(0.0).alias("im")), samples)
     op = gridding.GriddedFourierOp({"y": 10, "x": 64}, track.drop("value"), samples, width=12)
     return op.adjoint(values).df.select("y", "x", r("re", 4).alias("re"), r("im", 4).alias("im"))
 
 
-@query("""WITH n AS (SELECT CAST(pow(2, ceil(log2(max(event_id) + 1))) AS BIGINT) AS n FROM events), k AS (SELECT unnest(range(n)) AS k, n FROM n),
-p AS (SELECT k, n, event_id, value, 2 * pi() * (((k - n // 2) * (event_id - n // 2)) % n) / n AS a FROM k, events)
-SELECT k::INT AS k, round(sum(value * cos(a)) / sqrt(max(n)), 4) + 0.0 AS re, round(0 - sum(value * sin(a)) / sqrt(max(n)), 4) + 0.0 AS im FROM p GROUP BY k""")
+@query("""WITH n AS (SELECT CAST(pow(2, ceil(log2(max(vec_id) + 1))) AS BIGINT) AS n FROM embeddings), k AS (SELECT unnest(range(n)) AS k, n FROM n),
+p AS (SELECT k, n, embedding[1]::DOUBLE AS re, embedding[2]::DOUBLE AS im, 2 * pi() * (((k - n // 2) * (vec_id - n // 2)) % n) / n AS a FROM k, embeddings)
+SELECT k::INT AS k, round(sum(re * cos(a) + im * sin(a)) / sqrt(max(n)), 6) + 0.0 AS re, round(sum(im * cos(a) - re * sin(a)) / sqrt(max(n)), 6) + 0.0 AS im FROM p GROUP BY k""")
 def fourier_split_axis(spark, d):
-    """The spectrum of all events' values as one line, padded to a power of two and transformed in four steps."""
-    e = table(spark, d, "events")
-    n = 1 << max(2, math.ceil(math.log2(_size(e, "event_id"))))
-    x = TensorFrame(e.select(F.col("event_id").cast("int").alias("k"), F.col("value").cast("double").alias("re"), F.lit(0.0).alias("im")), {"k": n})
+    """The spectrum of the first two entries of all vectors as one complex line, padded to a power of two and
+    transformed in four steps."""
+    e = table(spark, d, "embeddings")
+    n = 1 << max(2, math.ceil(math.log2(_size(e, "vec_id"))))
+    entry = lambda k: F.col("embedding")[k].cast("double")
+    x = TensorFrame(e.select(F.col("vec_id").cast("int").alias("k"), entry(0).alias("re"), entry(1).alias("im")), {"k": n})
     most = 1 << -(-n.bit_length() // 2)
-    return gridding.SplitFourierOp(["k"], most=most).forward(x).df.select("k", r("re", 4).alias("re"), r("im", 4).alias("im"))
+    return gridding.SplitFourierOp(["k"], most=most).forward(x).df.select("k", r("re").alias("re"), r("im").alias("im"))
