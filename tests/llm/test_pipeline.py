@@ -126,3 +126,57 @@ def test_pipeline_of_nothing(spark, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_chains_are_walked_in_blocks(spark, monkeypatch):
+    """A planted paragraph in all texts chains them; groups are the same, no task walks more than two blocks."""
+    import numpy as np
+
+    from lattica.llm import shingles
+
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    common = [word() for _ in range(60)]
+    texts = []
+    for k in range(70):
+        own = [word() for _ in range(int(rng.integers(5, 40)))]
+        texts.append([*common, *own])
+        for _ in range(k % 4):  # near copies, links of links among them
+            last = list(texts[-1])
+            last[int(rng.integers(60, len(last)))] = word()
+            texts.append(last)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * (both := len(a & b)) >= 4 * (len(a) + len(b) - both):
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(shingles, "BLOCK", 8)
+    got = {r.doc_id: r.component_id for r in shingles.groups(spark, df).collect()}
+    assert got == {k: top(k) for k in range(len(texts))} and 1 < len(set(got.values())) < len(texts)
+
+
+def test_runs_of_shingles_are_not_held(monkeypatch):
+    """Runs that pass COMMON, over many batches, with repeats: each row once, one count for a run."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lattica.llm import shingles
+
+    monkeypatch.setattr(shingles, "COMMON", 10)
+    rng = np.random.default_rng(2)
+    rows = sorted([(g, int(k)) for g, n in ((1, 1), (2, 2), (3, 9), (4, 95), (5, 3), (6, 41), (7, 1), (8, 10)) for k in rng.integers(0, 60, n)])
+    for size in (1, 3, 7, 1000):
+        parts = [rows[k : k + size] for k in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*p)], ["gram", "key"]) for p in parts]
+        got = sorted((r["gram"], r["key"], r["texts"]) for b in shingles._shared(iter(batches)) for r in b.to_pylist())
+        keys = {g: {k for h, k in rows if h == g} for g in range(1, 9)}
+        assert got == sorted((g, k, min(len(keys[g]), 10)) for g in keys for k in keys[g] if len(keys[g]) > 1)
