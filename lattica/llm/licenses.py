@@ -34,7 +34,7 @@ SIGNATURES = (
     ("mit", "this permission notice shall", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit-advertising", "except as contained", "except as contained in this notice the names? of (?:\\S+ ){1,12}shall not be used in advertising"),
     ("isc", "distribute this software", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
-    ("isc", "internet systems consortium", "(?:the author|internet systems consortium inc|isc) disclaims all warranties"),
+    ("isc", "disclaims all warranties", "(?:the author|internet systems consortium inc|isc) disclaims all warranties"),
     ("hpnd", "historical permission notice", "historical permission notice and disclaimer"),
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", "redistributions of source", "redistributions of source code must retain the above copyright notice"),
@@ -108,7 +108,7 @@ SIGNATURES = (
     ("artistic-2.0", "artistic license", "the artistic license 2 0"),
     ("perl", "perl", "(?:free software )?(?:you can|you may) redistribute it and or modify it under the same terms as perl(?: itself)?"),
     ("ofl-1.1", "font software", "this font software is licen[sc]ed under the sil open font licen[sc]e version 1 1"),
-    ("ofl", "reserved font name", "with reserved font names?"),
+    ("ofl", "with reserved font", "with reserved font names?"),
     ("python-2.0", "python software", "this license agreement is between the python software foundation"),
     ("python-2.0", "beopen", "beopen python open source license agreement"),
     ("cnri-python", "cnri", "cnri (?:open source )?license agreement"),
@@ -124,7 +124,7 @@ SIGNATURES = (
     ("sspl-1.0", "server side public", "server side public licen[sc]e(?: version 1)?"),
     ("busl-1.1", "business source", "business source licen[sc]e(?: 1 1)?"),
     ("busl-1.1", "change date", "change date (?:\\S+ ){1,10}change licen[sc]e"),
-    ("elastic-2.0", "elastic license", "elastic licen[sc]e (?:2 0|v2)"),
+    ("elastic-2.0", "elastic", "elastic licen[sc]e (?:2 0|v2)"),
     ("commons-clause", "commons clause", "commons clause (?:license )?condition"),
     ("polyform-noncommercial", "polyform", "polyform noncommercial licen[sc]e"),
     ("polyform-small-business", "polyform", "polyform small business licen[sc]e"),
@@ -177,7 +177,7 @@ SIGNATURES = (
     ("etalab", "etalab", "(?:licence ouverte )?etalab(?: 2 0)?"),
     ("openrail", "openrail", "(?:creativeml |bigscience |bigcode )?openrail(?: m)?"),
     ("rail", "responsible ai", "responsible ai licen[sc]e"),
-    ("llama-community", "community license", "llama (?:2|3|3 1|3 2|4) community licen[sc]e"),
+    ("llama-community", "llama", "llama (?:2|3|3 1|3 2|4) community licen[sc]e"),
     ("gemma", "gemma terms", "gemma terms of use"),
     ("proprietary", "strictly prohibited", "unauthorized (?:copying|reproduction|distribution|use)(?: or \\S+)? of this (?:file|software|document|material) (?:\\S+ ){0,6}strictly prohibited"),
     ("proprietary", "confidential and proprietary", "(?:this (?:file|software|document) (?:is|contains) )?confidential and proprietary(?: information)?"),

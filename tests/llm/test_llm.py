@@ -136,14 +136,58 @@ def test_licenses(docs, edge):
     assert licenses.digest(docs.limit(0)).count() == 0 and len(licenses.rules()) > 400
 
 
-def test_license_rules_are_distinct_and_gated(spark):
-    """No expression occurs twice, each compiles, and each keyword stands in some text that its rule matches."""
-    found = licenses.rules()
-    assert len({rx for *_, rx in found}) == len(found)
-    assert len({r[2] for r in found}) > 180
+def matches(rx, rng):
+    """A text that an expression matches, drawn from its parts."""
+    from re import _constants as c
+    from re import _parser
+
+    def of(items):
+        out = ""
+        for op, arg in items:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.IN:
+                kind, value = rng.choice(arg)
+                out += chr(value) if kind is c.LITERAL else "x"
+            elif op is c.BRANCH:
+                out += of(rng.choice(arg[1]))
+            elif op is c.SUBPATTERN:
+                out += of(arg[3])
+            else:
+                low, high, inner = arg
+                out += "".join(of(inner) for _ in range(rng.choice([low, min(high, low + 1)])))
+        return out
+
+    return of(_parser.parse(rx))
+
+
+def test_license_rules_are_distinct_and_gated():
+    """No expression occurs twice, and each keyword stands in all texts that its rule matches."""
+    import random
+
+    rng, found = random.Random(1), licenses.rules()
+    assert len({rx for *_, rx in found}) == len(found) and len({r[2] for r in found}) > 180
     for _, _, label, keyword, rx in found:
-        re.compile(rx)
-        assert re.fullmatch(r"[a-z0-9 ]+", keyword), label
+        for text in {matches(rx, rng) for _ in range(40)}:
+            assert re.fullmatch(rx, text) and f" {keyword} " in f" {text} ", (label, text)
+
+
+def test_license_rules_against_plain_matching(spark, docs):
+    """Labels of the corpus and of a text for each rule, against all rules tried on every text."""
+    import random
+
+    rng, found = random.Random(2), licenses.rules()
+    planted = [(5000 + k, f"Words before, {matches(rx, rng)} and, after it: {matches(found[(7 * k) % len(found)][4], rng)}.") for k, (*_, rx) in enumerate(found)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    compiled = [(p, conf, label, re.compile(f" (?:{rx})(?= )")) for p, conf, label, _, rx in found]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.digest(df).collect()}
+    for doc_id, text in rows(df):
+        x = " " + " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").lower())) + " "
+        spans = [(m.start(), m.end(), p, label, conf) for p, conf, label, rx in compiled for m in rx.finditer(x)]
+        kept = [a for a in spans if not any((b[0] <= a[0] and a[1] <= b[1] and b[2] <= a[2]) and (b[:3] != a[:3] or b[3] < a[3]) for b in spans)]
+        base = {label for phrase, label in licenses.BASE.items() if f" {phrase} " in x}
+        assert got[doc_id][0] == ",".join(sorted(base | {k[3] for k in kept})), (doc_id, text[-200:])
+        assert got[doc_id][1] == max([0.9] * bool(base) + [k[4] for k in kept], default=0.0)
 
 
 def test_license_texts(spark):
