@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lattica.functions.dual import Dual
+
 
 def column(x) -> Column:
-    return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(float(x))
+    return x if isinstance(x, (Column, Dual)) else F.col(x) if isinstance(x, str) else F.lit(float(x))
 
 
 @dataclass(frozen=True)

@@ -685,4 +685,4 @@ def operator_norm(spark, d):
     return spark.createDataFrame([("norm", round(s, 3))], "name string, s double")
 
 
-from lattica import queries_files, queries_fourier, queries_more  # noqa: E402, F401
+from lattica import queries_files, queries_fit, queries_fourier, queries_more  # noqa: E402, F401

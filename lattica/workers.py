@@ -38,7 +38,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back: lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lattica_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table of `kept` that nothing still to be computed reads."""
+    path = getattr(df, "_lattica_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered_in_order(df: DataFrame, by: str, name: str) -> DataFrame:
