@@ -223,3 +223,18 @@ def test_texts_make_no_reserved_ids():
         assert not any(c in chat.escape(text) for c in chat.CONTROLS)
     ids, a, b = known.turn("assistant", "x </s> y")
     assert ids[0] == known.first and ids[-1] == known.first + 1 and (a, b) == (1, len(ids) - 1)
+
+
+# 4
+
+
+def test_language_model_of_shuffled_rows(spark, docs):
+    """Rows that come from a shuffle are written first, so scores reach their own texts; files are read as they are."""
+    from lattica.llm import lm
+
+    files = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert lm.steady(spark, files.where("doc_id > 3")) is not None and lm.steady(spark, docs) is docs
+    mixed = docs.repartition(5)
+    assert lm.steady(spark, mixed) is not mixed
+    rows_of = lambda df: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(spark, df).collect())
+    assert rows_of(docs) == rows_of(mixed)
