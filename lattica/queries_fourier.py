@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from lattica.operators import gridding
-from lattica.queries import query, r, table
+from lattica.operators import gridding, wavelets
+from lattica.queries import VECTORS, query, r, table, values, vector_frame
 from lattica.tensor import TensorFrame
 
 #: A sample a vector, off the grid.
@@ -66,3 +66,16 @@ def fourier_split_axis(spark, d):
     x = TensorFrame(e.select(F.col("vec_id").cast("int").alias("k"), entry(0).alias("re"), entry(1).alias("im")), {"k": n})
     most = 1 << -(-n.bit_length() // 2)
     return gridding.SplitFourierOp(["k"], most=most).forward(x).df.select("k", r("re").alias("re"), r("im").alias("im"))
+
+
+def _taps(name: str) -> str:
+    """Both analysis filters as rows (band, j, c), band 1 the high one."""
+    return ", ".join(f"({band}, {j}, {float(c)!r}::DOUBLE)" for band, taps in enumerate(wavelets.filters(name)[:2]) for j, c in enumerate(taps))
+
+
+@query(f"""WITH {VECTORS}, f(band, j, c) AS (VALUES {_taps("db4")}), o AS (SELECT unnest(range({wavelets.size_of(64, "db4")})) AS o)
+SELECT vec_id::INT AS y, (band * {wavelets.size_of(64, "db4")} + o)::INT AS coefficient, round(sum(c * v), 6) + 0.0 AS re, 0.0 AS im
+FROM v JOIN f ON true JOIN o ON k = 2 * o + 1 - j GROUP BY vec_id, band, o""")
+def wavelet_borders(spark, d):
+    """Every vector in one level of db4 with zeros beyond its ends."""
+    return values(wavelets.BorderWaveletOp({"x": 64}, "db4").forward(vector_frame(spark, d)), 6)
