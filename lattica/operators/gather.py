@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattica.functions.complexpair import Pair
 from lattica.plans.algebra import LinearOperator
 from lattica.tensor import TensorFrame
+from lattica.workers import numbered_in_order
 from lattica.workers import reachable
 
 #: Rows of a dictionary or table that may be broadcast; larger ones are joined by shuffle.
@@ -323,7 +324,6 @@ def grid_from_displacement(moves: DataFrame, grid: dict[str, int], prefix: str =
 def append_atoms(atoms: DataFrame, more: DataFrame) -> DataFrame:
     """A dictionary with more atoms, numbered behind those there are."""
     last = atoms.agg(F.coalesce(F.max("atom_id") + 1, F.lit(0)).alias("__n"))
-    w = Window.orderBy("atom_id")
-    numbered = more.select("atom_id").distinct().withColumn("__k", F.row_number().over(w) - 1)
+    numbered = numbered_in_order(more.select("atom_id").distinct(), "atom_id", "__k")
     moved = more.join(numbered, "atom_id").join(F.broadcast(last)).withColumn("atom_id", F.col("__n") + F.col("__k"))
     return atoms.unionByName(moved.select(*atoms.columns))

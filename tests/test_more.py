@@ -353,3 +353,14 @@ def test_model_and_profile_objects(spark):
     box = scalar.SliceProfile(scalar.slice_smoothed_rectangular, 2.0, 0)
     drawn = np.array([r.x for r in box.sample(spark.range(4000), "x", -3.0, 3.0, 1).select("x").collect()])
     assert (abs(drawn) <= 1.01).all() and abs(drawn.mean()) < 0.06 and abs(drawn.var() - 1 / 3) < 0.03
+
+
+def test_rows_are_numbered_in_order(spark):
+    """Over ranges, with ties and a null; and nothing is numbered from nothing."""
+    from lattica.workers import numbered_in_order
+
+    values = [float(v) for v in RNG.integers(0, 30, 200)] + [None]
+    got = numbered_in_order(spark.createDataFrame([(v,) for v in values], "v double").repartition(7), "v", "k").collect()
+    assert sorted(r.k for r in got) == list(range(201))
+    assert [r.v for r in sorted(got, key=lambda r: r.k)] == sorted(values, key=lambda v: (v is not None, v or 0.0))
+    assert numbered_in_order(spark.createDataFrame([], "v double"), "v", "k").count() == 0
