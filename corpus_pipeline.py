@@ -17,8 +17,8 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group stays: the one with the smallest doc_id. Groups are chains of documents
-    whose sets of 5-word shingles have a Jaccard of at least 0.8; no radius of SimHash says that."""
+    """One document of each group stays: the one with the smallest doc_id. Candidates are documents with near
+    SimHash fingerprints of their sets of 5-word shingles; those whose sets have a Jaccard of at least 0.8 are linked."""
     return simhash.deduplicate(spark, docs, grouped=shingles.groups)
 
 

@@ -1,14 +1,21 @@
-"""Groups of texts by exact Jaccard of their sets of word shingles.
+"""SimHash near-dedup of sets of word shingles, with an exact check: links at a Jaccard of at least 4/5.
 
-Two texts are linked when their sets of 5-word shingles have a Jaccard of at least 4/5; groups are the
-components of these links. No pair is missed: shingles that only one text has cannot be common, and
+Each text has a SimHash fingerprint of BITS bits of its set of 5-word shingles. Two texts are candidates when their
+fingerprints differ in at most RADIUS bits, and linked when the sets then have a Jaccard of at least 4/5; groups are
+the components of these links. Nothing is linked but by its fingerprint. RADIUS is so wide that no linked pair is
+lost: at a Jaccard of 4/5 a bit differs with a chance below 0.19 (0.15 for long texts), so 48 of 256 bits are
+expected at most and 96 lie 7.7 standard deviations off; bits of unrelated texts differ by halves.
+
+Where candidates are looked for: the deletion variants of `simhash` on the first 64 bits join the near fingerprints.
+No index of variants reaches the wide radius (its keys would have five bits), so the rest are looked for among texts
+that share a rare shingle. No pair is missed there: shingles that only one text has cannot be common, and
 with the others in one order for all texts (rare ones first), linked texts of which n shingles are
 distinct share one of the first `shared - ceil(4 n / 5) + 1`. Texts with fewer than 4/5 of their
 shingles shared drop out at once, so little is left of texts that have no near-copy.
 
-Texts that meet in a shingle of these are chained to the smallest of them (a row a text, never a row a
-pair), and each chain holds whole groups. A chain of up to BLOCK texts is walked in one task, where each
-link is checked. A longer one is parted by size class (linked texts are of one class or of neighbours)
+Texts that meet in a variant or a shingle are chained to the smallest of them (a row a text, never a row a
+pair), and each chain holds whole groups. A chain of up to BLOCK texts is walked in one task, where fingerprints are
+compared and each candidate is checked. A longer one is parted by size class (linked texts are of one class or of neighbours)
 and by hash into blocks, and each two blocks that can hold a link are walked together and give the spanning
 forest of their links; groups are the components of all forests. So no task holds more than two blocks,
 however many texts a common passage chains, and no link is lost.
@@ -33,6 +40,8 @@ from lattica.llm import simhash
 from lattica.llm.common import prepare, written
 
 WORDS = 5
+#: Bits of a fingerprint, and how many of them may differ in a candidate.
+BITS, RADIUS = 256, 96
 #: Words and texts that a worker remembers; forgetting costs time only.
 HELD = 150_000
 #: Texts of a chain, or of a part of a longer one, that are walked together.
@@ -82,8 +91,9 @@ def _printer(batches):
     for batch in batches:
         got = [own.words(x) for x in batch.column(0).cast(pa.binary()).to_pylist()]
         fps = [own.identity(w) for w in got]
-        n = [len(own.shingles(w)) for w in got]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([f for f, _ in fps], pa.binary()), pa.array([k for _, k in fps], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "fp", "key", "n"])
+        sets = [own.shingles(w) for w in got]
+        prints = [simhash.sketch(x, own.BITS // 64) for x in sets]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([f for f, _ in fps], pa.binary()), pa.array([k for _, k in fps], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "fp", "key", "n", "print"])
 
 
 def _spread(batches):
@@ -142,10 +152,11 @@ def _shared(batches):
         yield out(gram, key, common)
 
 
-def walk(n: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
-    """The number of each text's group, by the links among texts with n shingles, of which lists are shared."""
+def walk(n: np.ndarray, lists: list[np.ndarray], prints: np.ndarray) -> np.ndarray:
+    """The number of each text's group, by the links among texts with n shingles, of which lists are shared.
+    prints: a row of 64-bit words a text; only texts within RADIUS bits are checked."""
     order = np.argsort(n, kind="stable")
-    n, lists = n[order], [lists[k] for k in order]
+    n, lists, prints = n[order], [lists[k] for k in order], prints[order]
     size = np.array([len(x) for x in lists])
     at = np.cumsum(size) - size
     values, flat = np.unique(np.concatenate(lists), return_inverse=True)
@@ -158,6 +169,7 @@ def walk(n: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
             x = front.pop()
             low, high = np.searchsorted(5 * n, 4 * n[x]), np.searchsorted(4 * n, 5 * n[x], "right")
             rest = low + np.flatnonzero(left[low:high])
+            rest = rest[np.bitwise_count(prints[rest] ^ prints[x]).sum(1) <= RADIUS]
             if not len(rest):
                 continue
             own = flat[at[x] : at[x] + size[x]]
@@ -177,29 +189,41 @@ def _walker(batches):
     """(node, root): each text and the smallest of its group; rows come sorted by chain."""
     from lattica.llm import shingles as own
 
-    now, keys, sizes, lists = None, [], [], []
+    now, keys, sizes, lists, prints = None, [], [], [], []
 
     def done():
         key = np.array(keys, np.int64)
-        group = own.walk(np.array(sizes, np.int64), lists)
+        group = own.walk(np.array(sizes, np.int64), lists, np.frombuffer(b"".join(prints), np.uint64).reshape(len(keys), -1))
         least = np.full(group.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, group, key)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(least[group])], ["key", "least"])
 
     for batch in batches:
         grams, cuts = batch.column(3).values.to_numpy(zero_copy_only=False), batch.column(3).offsets.to_numpy()
-        for k, (chain, key, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+        for k, (chain, key, n, fingerprint) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)))):
             if chain != now:
                 if keys:
                     yield done()
-                now, keys, sizes, lists = chain, [], [], []
+                now, keys, sizes, lists, prints = chain, [], [], [], []
             keys.append(key)
             sizes.append(n)
+            prints.append(fingerprint)
             lists.append(grams[cuts[k] : cuts[k + 1]].copy())
     if keys:
         yield done()
 
 
+def near(spark: SparkSession, few: DataFrame) -> DataFrame:
+    """(a, b): keys that connect all whose fingerprints are within the radius of the index of deletion variants."""
+    config = simhash.Config(words=WORDS, repeats=False)
+    prints = few.select(F.substring("print", 1, config.bits // 8).alias("fp"), "key")
+    firsts = prints.groupBy("fp").agg(F.min("key").alias("first"))
+    equal = prints.join(firsts, "fp").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    own = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    links = simhash.links(spark, firsts.select("fp"), config).join(own("a"), "a").join(own("b"), "b")
+    return equal.unionByName(links.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
+
+
 def roots(spark: SparkSession, docs: DataFrame, sizes: DataFrame, text: str = "text") -> DataFrame:
     """(key, least): the smallest key of the group, for texts that may have a near-copy."""
     rows = docs.select(text).mapInArrow(_spread, "gram long, key long")
@@ -207,17 +231,18 @@ def roots(spark: SparkSession, docs: DataFrame, sizes: DataFrame, text: str = "t
     lists = shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("texts", "gram"))).alias("x"))
     need = F.expr("(4 * n + 4) div 5")
     few = lists.join(sizes, "key").where(F.size("x") >= need)
-    few = few.select("key", "n", F.col("x.gram").alias("grams"), (F.size("x") - need + 1).cast("int").alias("reach"))
+    few = few.select("key", "n", "print", F.col("x.gram").alias("grams"), (F.size("x") - need + 1).cast("int").alias("reach"))
     few = written(spark, few, "shingles")
     meet = few.select("key", F.explode(F.slice("grams", F.lit(1), F.col("reach"))).alias("gram"))
     least = meet.groupBy("gram").agg(F.min("key").alias("a"))
-    chains = simhash.components(spark, meet.join(least, "gram").select("a", F.col("key").alias("b")).where("a < b").distinct())
+    met = meet.join(least, "gram").select("a", F.col("key").alias("b")).unionByName(near(spark, few))
+    chains = simhash.components(spark, met.where("a < b").distinct())
     chains = chains.select(F.col("node").alias("key"), "root").unionByName(chains.select(F.col("root").alias("key"), "root")).distinct()
     chains = written(spark, few.select("key", F.floor(F.log(F.col("n").cast("double")) / math.log(1.26)).cast("int").alias("class")).join(chains, "key"), "chains")
     blocks = chains.groupBy("root", "class").agg(F.count("*").alias("n")).groupBy("root").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("n") / BLOCK).cast("int")))).alias("blocks"))
     walked = lambda df: df.repartition("chain").sortWithinPartitions("chain").mapInArrow(_walker, "key long, least long")
     short = chains.join(blocks.where(F.col("n") <= BLOCK).select("root"), "root").select("key", F.col("root").alias("chain"))
-    short = walked(few.join(short, "key").select("chain", "key", "n", "grams"))
+    short = walked(few.join(short, "key").select("chain", "key", "n", "grams", "print"))
     # Two blocks of a class, or of neighbours: a text goes to each pair that its block is in.
     own = F.pmod(F.xxhash64("key"), F.col("blocks")[F.col("class")]).cast("int")
     places = lambda c: F.when(F.coalesce(F.col("blocks")[c], F.lit(0)) > 0, F.sequence(F.lit(0), F.col("blocks")[c] - 1)).otherwise(F.array().cast("array<int>"))
@@ -228,7 +253,7 @@ def roots(spark: SparkSession, docs: DataFrame, sizes: DataFrame, text: str = "t
         F.transform(places(c - 1), lambda j: F.xxhash64("root", c - 1, j, c, i)),
     )
     long_ = chains.join(blocks.where(F.col("n") > BLOCK), "root").withColumn("__own", own).select("key", F.explode(pairs).alias("chain"))
-    forest = walked(few.join(long_, "key").select("chain", "key", "n", "grams"))
+    forest = walked(few.join(long_, "key").select("chain", "key", "n", "grams", "print"))
     whole = simhash.components(spark, forest.where("least < key").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct())
     return short.unionByName(whole.select(F.col("node").alias("key"), F.col("root").alias("least")))
 
@@ -236,9 +261,9 @@ def roots(spark: SparkSession, docs: DataFrame, sizes: DataFrame, text: str = "t
 def groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): one row per document."""
     prepare(spark)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("fp", T.BinaryType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("fp", T.BinaryType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType())])
     prints = written(spark, docs.select(text, key).mapInArrow(_printer, schema), "fingerprints")
-    found = roots(spark, docs, prints.select("key", "n").distinct(), text)
+    found = roots(spark, docs, prints.select("key", "n", "print").distinct(), text)
     firsts = written(spark, prints.groupBy("fp", "key").agg(F.min("doc_id").alias("first")), "distinct")
     named = firsts.join(found, "key", "left").select("fp", "first", F.coalesce("least", "key").alias("root"))
     return simhash.named(spark, prints.select("doc_id", "fp"), named)

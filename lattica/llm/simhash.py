@@ -82,6 +82,20 @@ def _fingerprinter(config: Config):
     return run
 
 
+def sketch(hashes: np.ndarray, lanes: int) -> bytes:
+    """The fingerprint of 64 bits a lane of a set of 64-bit hashes: a bit is 1 if set in over half of them, each
+    lane by a mix of its own. Of no hashes it is zero."""
+    total = np.zeros((lanes, 64), np.int64)
+    seeds = np.arange(1, lanes + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 65536):
+        with np.errstate(over="ignore"):
+            x = (hashes[at : at + 65536].view(np.uint64) + seeds) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        x = (x ^ (x >> np.uint64(29))).astype(">u8")
+        total += np.unpackbits(x.view(np.uint8).reshape(lanes, -1, 8), axis=2).sum(1, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes)).tobytes()
+
+
 def fingerprints(spark: SparkSession, docs: DataFrame, config: Config, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): the key as it is and the fingerprint as 8 or 16 bytes, highest bit first."""
     prepare(spark)

@@ -180,3 +180,45 @@ def test_runs_of_shingles_are_not_held(monkeypatch):
         got = sorted((r["gram"], r["key"], r["texts"]) for b in shingles._shared(iter(batches)) for r in b.to_pylist())
         keys = {g: {k for h, k in rows if h == g} for g in range(1, 9)}
         assert got == sorted((g, k, min(len(keys[g]), 10)) for g in keys for k in keys[g] if len(keys[g]) > 1)
+
+
+def test_near_dedup_links_by_fingerprints(spark, monkeypatch):
+    """Candidates come from SimHash fingerprints: of texts that are linked, none is when no bit may differ."""
+    import numpy as np
+
+    from lattica.llm import shingles, simhash
+
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in (30, 60, 400, 3000):
+        texts.append([f"w{k}" for k in rng.integers(0, 5000, n)])
+        texts.append([*texts[-1][:-1], "other"])
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    groups = lambda: [r.component_id for r in sorted(shingles.groups(spark, df).collect())]
+    assert groups() == [0, 0, 2, 2, 4, 4, 6, 6]
+    kept = shingles.walk(np.array([3, 3]), [np.arange(3)] * 2, np.array([[0, 0, 0, 0], [2**64 - 1, 2**33 - 1, 0, 0]], np.uint64))
+    assert kept.tolist() == [0, 1]  # 97 bits differ
+    found = []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *args: found.append(links(*args)) or found[-1])
+    groups()
+    assert len(found) == 1 and found[0].count() >= 1  # the index of deletion variants is asked
+
+
+def test_fingerprints_lose_no_link():
+    """Distances of sets at a Jaccard of 4/5, of few and of many shingles, stay far below the radius; unrelated ones do not."""
+    import numpy as np
+
+    from lattica.llm import shingles, simhash
+
+    rng = np.random.default_rng(3)
+    far, apart = 0, 256
+    for common in [4] * 300 + [8] * 200 + [40] * 100 + [400] * 50 + [70_000]:
+        x = rng.integers(-(2**63), 2**63 - 1, common + common // 4)
+        a, b, c = (simhash.sketch(v, 4) for v in (x, x[:common], rng.integers(-(2**63), 2**63 - 1, common)))
+        bits = lambda p, q: int.from_bytes(p).__xor__(int.from_bytes(q)).bit_count()
+        far, apart = max(far, bits(a, b)), min(apart, bits(a, c) if common > 8 else 256)
+    assert far <= 80 and apart > shingles.RADIUS - 10
+    assert simhash.sketch(np.zeros(0, np.int64), 4) == bytes(32)
+    whole = rng.integers(-(2**63), 2**63 - 1, 70_001)
+    assert simhash.sketch(whole, 4) == simhash.sketch(rng.permutation(whole), 4)
