@@ -327,46 +327,133 @@ def density_1d(df: DataFrame, by: list[str], k: str, digits: int = 15) -> DataFr
     return df.withColumn("__k", point).join(weights, [*by, "__k"]).drop("__k")
 
 
+#: Points of a leaf of the search tree, and cells that are cut together.
+LEAF, CELLS = 8, 16384
+
+
+class _Nearest:
+    """The nearest of many points: a balanced tree of boxes, cut at the median of each box's longer side; all
+    queries go down together."""
+
+    def __init__(self, points: np.ndarray):
+        self.levels = max(0, math.ceil(math.log2(max(1, len(points) / LEAF))))
+        at = np.resize(np.arange(len(points)), (1, -(-len(points) // 2**self.levels) * 2**self.levels))  # the last places repeat points
+        self.boxes = []
+        for level in range(self.levels + 1):
+            x = points[at]
+            low, high = x.min(1), x.max(1)
+            self.boxes.append([np.ascontiguousarray(v) for v in (*low.T, *high.T)])
+            if level < self.levels:
+                along = np.take_along_axis(x, np.argmax(high - low, 1)[:, None, None], 2)[:, :, 0]
+                half = at.shape[1] // 2
+                at = np.take_along_axis(at, np.argpartition(along, half, 1), 1).reshape(-1, half)
+        self.at, (self.x, self.y) = at, np.moveaxis(points[at], 2, 0)
+
+    def _away(self, level, node, qx, qy):
+        left, low, right, high = self.boxes[level]
+        dx = np.maximum(np.maximum(left[node] - qx, qx - right[node]), 0)
+        dy = np.maximum(np.maximum(low[node] - qy, qy - high[node]), 0)
+        return dx * dx + dy * dy
+
+    def __call__(self, q: np.ndarray, bound: np.ndarray):
+        """(index, squared distance) of the nearest point within the bound; -1 if none is."""
+        bound, best = bound.copy(), np.full(len(q), -1)
+        qx, qy = np.ascontiguousarray(q.T)
+
+        def leaves(query, node):
+            d = (self.x[node] - qx[query, None]) ** 2 + (self.y[node] - qy[query, None]) ** 2
+            k = np.argmin(d, 1)
+            return d[np.arange(len(k)), k], self.at[node, k]
+
+        node = np.zeros(len(q), np.int64)
+        for level in range(self.levels):  # down to the nearer box each time: a first bound
+            left, right = self._away(level + 1, 2 * node, qx, qy), self._away(level + 1, 2 * node + 1, qx, qy)
+            node = 2 * node + (right < left)
+        d, which = leaves(np.arange(len(q)), node)
+        near = d < bound
+        bound[near], best[near] = d[near], which[near]
+        query, node = np.arange(len(q)), np.zeros(len(q), np.int64)
+        for level in range(self.levels):
+            query, node = np.repeat(query, 2), np.stack([2 * node, 2 * node + 1], 1).ravel()
+            open_ = self._away(level + 1, node, qx[query], qy[query]) < bound[query]
+            query, node = query[open_], node[open_]
+        if len(query):
+            d, which = leaves(query, node)
+            order = np.lexsort((which, d, query))
+            query, d, which = query[order], d[order], which[order]
+            first = np.r_[True, query[1:] != query[:-1]]
+            query, d, which = query[first], d[first], which[first]
+            near = d < bound[query]
+            bound[query[near]], best[query[near]] = d[near], which[near]
+        return best, bound
+
+
+def _cut(x, y, done, n, nx, ny, off):
+    """Polygons (rows of corners, n of each) cut to nx * x + ny * y <= off; done marks go with their corners."""
+    width = x.shape[1]
+    k = np.arange(width)
+    held = k < n[:, None]
+    after = np.where(k + 1 < n[:, None], k + 1, 0)
+    side = np.where(held, x * nx[:, None] + y * ny[:, None] - off[:, None], 0.0)
+    take = lambda v: np.take_along_axis(v, after, 1)
+    other = take(side)
+    inside, cross = held & (side <= 0), held & (side * other < 0)
+    t = side / np.where(cross, side - other, 1.0)
+    both = np.stack([inside, cross], 2).reshape(len(x), -1)
+    corner = lambda v, w: np.stack([v, w], 2).reshape(len(v), -1)
+    cols = [corner(x, x + (take(x) - x) * t), corner(y, y + (take(y) - y) * t), corner(done, np.zeros_like(done))]
+    n = both.sum(1)
+    row, col = np.nonzero(both)
+    to = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    out = []
+    for v in cols:
+        c = np.zeros((len(x), max(width, n.max(initial=0))), v.dtype)
+        c[row, to] = v[row, col]
+        out.append(c)
+    return *out, n
+
+
 def voronoi_2d(points: np.ndarray) -> np.ndarray:
-    """Areas of the Voronoi cells of distinct points inside a box ten times their extent, by cutting
-    the box with the bisectors of other points, nearest first, until none can reach the cell. Neighbours
-    are looked up nearest first in batches, and cells are cut in plain numbers: they have few corners."""
+    """Areas of the Voronoi cells of distinct points inside a box ten times their extent. A cell is whole when no
+    point is nearer to one of its corners than its own; else the nearest one's bisector cuts that corner off. Corners'
+    nearest points come from a tree, so the time grows like n log n however the points lie."""
     center, half = (points.max(0) + points.min(0)) / 2, np.maximum((points.max(0) - points.min(0)) / 2, 1e-9) * 10
-    (cx, cy), (hx, hy) = center.tolist(), half.tolist()
-    out = np.zeros(len(points))
-    for k, (px, py) in enumerate(points.tolist()):
-        cell = [(cx - hx, cy - hy), (cx + hx, cy - hy), (cx + hx, cy + hy), (cx - hx, cy + hy)]
-        far = max((x - px) ** 2 + (y - py) ** 2 for x, y in cell)
-        d, done, take, open_ = ((points - points[k]) ** 2).sum(1), 1, 32, True
-        while open_ and done < len(d):
-            if take < len(d):
-                near = np.argpartition(d, take - 1)[:take]
-                near = near[np.argsort(d[near], kind="stable")]
-            else:
-                near = np.argsort(d, kind="stable")
-            for j in near[done:].tolist():
-                if d[j] > 4 * far:
-                    open_ = False
-                    break
-                qx, qy = points[j].tolist()
-                nx, ny = qx - px, qy - py
-                off = ((qx + px) * nx + (qy + py) * ny) / 2
-                side = [x * nx + y * ny - off for x, y in cell]
-                if max(side) <= 0:
-                    continue
-                cut = []
-                for i, (a, sa) in enumerate(zip(cell, side)):
-                    n = i + 1 - len(cell)
-                    b, sb = cell[n], side[n]
-                    if sa <= 0:
-                        cut.append(a)
-                    if sa * sb < 0:
-                        t = sa / (sa - sb)
-                        cut.append((a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t))
-                cell = cut
-                far = max((x - px) ** 2 + (y - py) ** 2 for x, y in cell)
-            done, take = max(done, len(near)), take * 4
-        out[k] = abs(sum(x * cell[i + 1 - len(cell)][1] - y * cell[i + 1 - len(cell)][0] for i, (x, y) in enumerate(cell))) / 2
+    points, out = points - center, np.zeros(len(points))
+    # Some of the points first, by a sixteenth of the next ones: corners are near by when all are asked.
+    drawn, sizes = np.random.default_rng(0).permutation(len(points)), [len(points)]
+    while sizes[-1] > 64:
+        sizes.append(sizes[-1] // 16)
+    trees = [(drawn[:k], _Nearest(points[drawn[:k]])) for k in reversed(sizes)]
+    for at in range(0, len(points), CELLS):
+        own = np.arange(at, min(at + CELLS, len(points)))
+        m = len(own)
+        px, py = points[own].T
+        x, y = np.tile(half[0] * np.array([-1.0, 1, 1, -1]), (m, 1)), np.tile(half[1] * np.array([-1.0, -1, 1, 1]), (m, 1))
+        n = np.full(m, 4)
+        for names, tree in trees:
+            done, left = np.zeros(x.shape, bool), np.arange(m)
+            while len(left):
+                far = (x[left] - px[left, None]) ** 2 + (y[left] - py[left, None]) ** 2
+                far[done[left] | (np.arange(x.shape[1]) >= n[left, None])] = -1
+                k = far.argmax(1)
+                d = far[np.arange(len(left)), k]
+                left, k, d = left[d >= 0], k[d >= 0], d[d >= 0]
+                near, _ = tree(np.stack([x[left, k], y[left, k]], 1), d * (1 - 1e-12))
+                qx, qy = points[names[near]].T
+                nx, ny = qx - px[left], qy - py[left]
+                off = ((qx + px[left]) * nx + (qy + py[left]) * ny) / 2
+                cuts = (near >= 0) & (x[left, k] * nx + y[left, k] * ny > off)
+                done[left[~cuts], k[~cuts]] = True
+                rows = left[cuts]
+                if len(rows):
+                    cx, cy, cd, cn = _cut(x[rows], y[rows], done[rows], n[rows], nx[cuts], ny[cuts], off[cuts])
+                    more = ((0, 0), (0, max(0, cx.shape[1] - x.shape[1])))
+                    x, y, done = np.pad(x, more), np.pad(y, more), np.pad(done, more)
+                    x[rows], y[rows], done[rows], n[rows] = cx, cy, cd, cn
+        held = np.arange(x.shape[1]) < n[:, None]
+        after = np.where(np.arange(x.shape[1]) + 1 < n[:, None], np.arange(x.shape[1]) + 1, 0)
+        u, v = x - px[:, None], y - py[:, None]
+        out[own] = abs(np.where(held, u * np.take_along_axis(v, after, 1) - v * np.take_along_axis(u, after, 1), 0).sum(1)) / 2
     return out
 
 

@@ -188,3 +188,38 @@ def test_total_variation_flattens_a_reconstruction(spark):
     own = reconstruction.Reconstruction.from_readings(reconstruction.simulate(t, maps, grid), {"y": 4, "x": 4}, maps=maps)
     rough = [abs(np.diff(own.total_variation(s, 4, primal_step=0.3, dual_step=0.3).to_numpy().real, axis=0)).sum() for s in (0.0, 1.0)]
     assert rough[0] > rough[1] + 0.1
+
+
+def test_voronoi_cells_of_many_points():
+    """Against cells cut by all bisectors, on random points, lines and a lattice; and in n log n: 20,000 points on lines."""
+    import time
+
+    def brute(p):
+        center, half = (p.max(0) + p.min(0)) / 2, np.maximum((p.max(0) - p.min(0)) / 2, 1e-9) * 10
+        out = []
+        for a in p:
+            cell = [center + half * c for c in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+            for q in p:
+                n = q - a
+                if not n.any():
+                    continue
+                side, cut = [(c - (q + a) / 2) @ n for c in cell], []
+                for i, c in enumerate(cell):
+                    j = i + 1 - len(cell)
+                    if side[i] <= 0:
+                        cut.append(c)
+                    if side[i] * side[j] < 0:
+                        cut.append(c + (cell[j] - c) * side[i] / (side[i] - side[j]))
+                cell = cut
+            x, y = np.array(cell).T
+            out.append(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
+        return np.array(out)
+
+    rng = np.random.default_rng(5)
+    lines = lambda n: np.unique(np.stack([rng.integers(0, 31, n) * 1.0, rng.integers(-99999, 999999, n) / 50000], 1), axis=0)
+    lattice = np.stack(np.meshgrid(np.arange(6.0), np.arange(5.0)), -1).reshape(-1, 2)
+    for p in (rng.random((90, 2)), lines(90), lattice, lattice[:6], lattice[:2]):
+        np.testing.assert_allclose(reduce.voronoi_2d(p), brute(p), rtol=1e-7)
+    began = time.monotonic()
+    area = reduce.voronoi_2d(lines(20_000))
+    assert (area > 0).all() and time.monotonic() - began < 40
