@@ -3,6 +3,8 @@ sparse products, dictionary matching and table lookup."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,22 +182,29 @@ class GridSamplingOp(LinearOperator):
         return y.summed([], rows.withColumnsRenamed({f"__n_{a}": a for a in self.grid}), rest | self.grid)
 
 
-def dictionary_match(signals: DataFrame, atoms: DataFrame, key: str, scale: bool = False) -> DataFrame:
+#: Bytes of atoms that a worker holds, and of the products of a block of signals with a block of atoms.
+ATOM_BYTES, PRODUCT_BYTES = 32 << 20, 16 << 20
+
+
+def dictionary_match(signals: DataFrame, atoms: DataFrame, key: str, scale: bool = False, digits: int | None = None) -> DataFrame:
     """Best atom of each signal: the largest squared product with a normalized atom, the first atom
-    of a tie. signals: key, re [, im] arrays; atoms: atom_id, re [, im] arrays.
+    of a tie: of products equal when rounded to `digits`, or else to 40 bits. signals: key, re [, im] arrays;
+    atoms: atom_id, re [, im] arrays.
 
-    Atoms are packed into matrices of bounded size and broadcast; a larger dictionary is matched in
-    parts whose winners are compared. Returns key, atom_id, similarity [, scale_re, scale_im].
+    Atoms are packed into matrices of ATOM_BYTES at most and broadcast; a larger dictionary is matched in
+    parts whose winners are compared. Products are taken block by block, so a worker's memory grows neither with
+    signals nor with atoms. Returns key, atom_id, similarity [, scale_re, scale_im].
     """
     import pandas as pd
     from pyspark.sql import types as T
 
     reachable(signals.sparkSession)
     complex_ = "im" in signals.columns and "im" in atoms.columns
-    part_rows = 50_000
-    total = atoms.count()
-    parts = max(1, -(-total // part_rows))
-    schema = T.StructType([signals.schema[key], T.StructField("atom_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("scale_re", T.DoubleType()), T.StructField("scale_im", T.DoubleType())])
+    total, width = atoms.agg(F.count("*"), F.max(F.size("re"))).first()
+    number = 16 if complex_ else 8
+    parts = max(1, -(-total * max(1, width or 1) * number // ATOM_BYTES))
+    step = math.isqrt(PRODUCT_BYTES // number)
+    schema = T.StructType([signals.schema[key], T.StructField("atom_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("scale_re", T.DoubleType()), T.StructField("scale_im", T.DoubleType()), T.StructField("__rank", T.DoubleType())])
     sc = signals.sparkSession.sparkContext
 
     def matrix(rows):
@@ -203,32 +212,57 @@ def dictionary_match(signals: DataFrame, atoms: DataFrame, key: str, scale: bool
         norm = np.linalg.norm(x, axis=1)
         return np.array([r.atom_id for r in rows]), x / np.where(norm == 0, 1, norm)[:, None], np.where(norm == 0, 1, norm)
 
+    def rounded(power):
+        if digits is not None:
+            return np.round(power, digits)
+        part, exponent = np.frexp(power)
+        return np.ldexp(np.round(part * 2.0**40), exponent - 40)
+
+    def first_best(power):
+        """Place and rounded value of each row's largest: only rows with others close to it are rounded whole."""
+        k, top = np.arange(len(power)), power.max(1)
+        slack = 2 * 10.0**-digits if digits is not None else top * 2.0**-39
+        near, rank = np.argmax(power >= (top - slack)[:, None], axis=1), rounded(top)
+        unsure = np.flatnonzero(rounded(power[k, near]) != rank)
+        near[unsure] = np.argmax(rounded(power[unsure]), axis=1)
+        return near, rank
+
     def run_of(held):
         def run(batches):
             ids, unit, norm = held.value
             for pdf in batches:
-                x = np.stack(pdf.re.to_numpy()) + (1j * np.stack(pdf.im.to_numpy()) if complex_ else 0) if len(pdf) else np.zeros((0, unit.shape[1]))
-                for at in range(0, max(len(pdf), 1), 4096):
-                    dot = x[at : at + 4096] @ unit.conj().T
-                    best = np.argmax(np.abs(dot) ** 2, axis=1) if len(dot) else np.zeros(0, int)
-                    got = dot[np.arange(len(dot)), best]
+                for at in range(0, len(pdf), step):
+                    some = pdf.iloc[at : at + step]
+                    x = np.stack(some.re.to_numpy()) + (1j * np.stack(some.im.to_numpy()) if complex_ else 0)
+                    k, rank = np.arange(len(x)), None
+                    for low in range(0, len(ids), step):
+                        dot = x @ unit[low : low + step].conj().T
+                        near, value = first_best(np.abs(dot) ** 2 if complex_ else dot * dot)
+                        new = (value, low + near, dot[k, near])
+                        if rank is None:
+                            rank, best, got = new
+                            continue
+                        better = new[0] > rank
+                        rank, best, got = (np.where(better, a, b) for a, b in zip(new, (rank, best, got)))
                     factor = got / norm[best]
-                    yield pd.DataFrame({key: pdf[key].iloc[at : at + 4096].to_numpy(), "atom_id": ids[best], "similarity": np.abs(got) ** 2, "scale_re": factor.real, "scale_im": factor.imag if complex_ else np.zeros(len(got))})
+                    yield pd.DataFrame({key: some[key].to_numpy(), "atom_id": ids[best], "similarity": np.abs(got) ** 2, "scale_re": factor.real, "scale_im": factor.imag if complex_ else np.zeros(len(got)), "__rank": rank})
 
         return run
 
     out = None
-    for k in range(parts):
-        rows = atoms.where(F.pmod(F.col("atom_id"), F.lit(parts)) == k).orderBy("atom_id").collect()  # at most about part_rows
+    for k in range(parts):  # by hash: numbers may have common divisors
+        rows = atoms.where(F.pmod(F.xxhash64("atom_id"), F.lit(parts)) == k).orderBy("atom_id").collect()  # about ATOM_BYTES
         if not rows:
             continue
         cols = [key, "re", *(["im"] if complex_ else [])]
         one = signals.select(*cols).mapInPandas(run_of(sc.broadcast(matrix(rows))), schema)
         out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = signals.sparkSession.createDataFrame([], schema)
     if parts > 1:
-        best = F.max_by(F.struct("atom_id", "similarity", "scale_re", "scale_im"), F.struct("similarity", -F.col("atom_id"))).alias("b")
+        best = F.max_by(F.struct("atom_id", "similarity", "scale_re", "scale_im"), F.struct("__rank", -F.col("atom_id"))).alias("b")
         out = out.groupBy(key).agg(best).select(key, "b.*")
-    return out if scale else out.drop("scale_re", "scale_im")
+    return out.select(key, "atom_id", "similarity", *(["scale_re", "scale_im"] if scale else []))
 
 
 def interp(points: DataFrame, table: DataFrame, x: str = "x", xp: str = "xp", fp: str = "fp") -> DataFrame:

@@ -388,7 +388,7 @@ SELECT vec_id, arg_max(atom_id, (round(dot * dot / nn, 9), -atom_id)) AS atom_id
 def dictionary_matching(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("re"))
     atoms = e.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "atom_id")
-    return gather.dictionary_match(e, atoms, "vec_id").select("vec_id", "atom_id", r(F.col("similarity")).alias("similarity"))
+    return gather.dictionary_match(e, atoms, "vec_id", digits=9).select("vec_id", "atom_id", r(F.col("similarity")).alias("similarity"))
 
 
 @query("""WITH t AS (SELECT p_size::DOUBLE AS xp, avg(p_retailprice) AS fp FROM part GROUP BY 1), q AS (SELECT l_orderkey, l_linenumber, l_quantity * 1.1 - 2.05 AS x FROM lineitem),

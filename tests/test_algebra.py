@@ -240,3 +240,23 @@ def test_total_variation_is_solved_in_rows(spark, monkeypatch):
             m.setattr(solvers, "PACKED", 0)
             want = solvers.total_variation_denoising(t, axes, w, 4, **steps)
         np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), atol=1e-12)
+
+
+def test_dictionary_is_matched_in_blocks(spark, monkeypatch):
+    """Small blocks and several parts, even atom numbers, copies among the atoms: the first atom of a tie."""
+    from lattica.operators import gather
+
+    monkeypatch.setattr(gather, "ATOM_BYTES", 400)
+    monkeypatch.setattr(gather, "PRODUCT_BYTES", 200)
+    rng = np.random.default_rng(7)
+    atoms = rng.normal(size=(20, 4))
+    atoms = np.concatenate([atoms, atoms])
+    x = rng.normal(size=(50, 4))
+    a = spark.createDataFrame([(2 * k, v.tolist()) for k, v in enumerate(atoms)], "atom_id long, re array<double>")
+    s = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "key long, re array<double>").repartition(3)
+    power = (x @ (atoms / np.linalg.norm(atoms, axis=1)[:, None]).T) ** 2
+    for digits in (None, 9):
+        got = sorted(gather.dictionary_match(s, a, "key", digits=digits).collect())
+        assert [r.atom_id for r in got] == [2 * k for k in power[:, :20].argmax(1)]
+        np.testing.assert_allclose([r.similarity for r in got], power.max(1))
+    assert gather.dictionary_match(s, a.limit(0), "key").count() == 0
